@@ -127,6 +127,21 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
+def grams_at(h: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """The same hashes as ``grams``, of the k-grams that start at the words ``at``."""
+    out = h[at]
+    for i in range(1, k):
+        out = out * U64(0xC2B2AE3D27D4EB4F) + h[at + i]
+    return mix(out)
+
+
+def is_in(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of ``x`` the sorted array ``known`` holds."""
+    if not len(known):
+        return np.zeros(len(x), bool)
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
+
+
 def string_views(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column; nulls count as empty."""
     if column.null_count:
