@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lexiforge.llm.byte_bpe import op7_byte_bpe
 from lexiforge.llm.decontaminate import op5_decontamination
 from lexiforge.llm.quality import op6_quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_decontamination, op6_quality_rules)
+    f.__name__: f for f in (op5_decontamination, op6_quality_rules, op7_byte_bpe)
 }
 SQL: dict[str, str] = {}
