@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from lexiforge.llm.byte_bpe import op7_byte_bpe
 from lexiforge.llm.decontaminate import op5_decontamination
 from lexiforge.llm.quality import op6_quality_rules
+from lexiforge.llm.substrings import op10_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_decontamination, op6_quality_rules, op7_byte_bpe)
+    f.__name__: f for f in (op5_decontamination, op6_quality_rules, op7_byte_bpe, op10_substring_dedup)
 }
 SQL: dict[str, str] = {}
