@@ -13,12 +13,13 @@ worst of them; null labels and labels of unknown documents count for nothing; ot
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexiforge.llm.columns import let
 from lexiforge.llm.common import table
 
 #: At most so many labelled documents are used for training; those with the smallest hashed ids are taken.
@@ -36,11 +37,6 @@ BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 RATIOS = ("words", "word_length", "symbols", "dup_lines", "repeats", "upper", "marks", "digits", "distinct")
 
 
-def let(value: Column, then: Callable[[Column], Column]) -> Column:
-    """``then`` of a value that is worked out once, however often ``then`` names it and wherever the optimiser moves it."""
-    return F.element_at(F.transform(F.array(value), then), 1)
-
-
 def statistics(text: Column) -> Column:
     """A struct of n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words (long) and the ratios that rules may use."""
 
