@@ -13,11 +13,6 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), then), 1)
 
 
-def lower_ascii(text: Column) -> Column:
-    """``text`` with A-Z, and nothing else, in lower case."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def running_sums(values: Column) -> Column:
     """Inclusive sums of an array of numbers, in passes that each reach eight times as far back as the one before."""
 

@@ -10,11 +10,12 @@ from lexiforge.llm.byte_bpe import op7_byte_bpe
 from lexiforge.llm.decontaminate import op5_decontamination
 from lexiforge.llm.html_text import op9_html_extraction
 from lexiforge.llm.jaccard import op2_ngram_jaccard_join
+from lexiforge.llm.licenses import op4_license_scan
 from lexiforge.llm.personal_data import op3_personal_data
 from lexiforge.llm.quality import op6_quality_rules
 from lexiforge.llm.substrings import op10_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_ngram_jaccard_join, op3_personal_data, op5_decontamination, op6_quality_rules, op7_byte_bpe, op9_html_extraction, op10_substring_dedup)
+    f.__name__: f for f in (op2_ngram_jaccard_join, op3_personal_data, op4_license_scan, op5_decontamination, op6_quality_rules, op7_byte_bpe, op9_html_extraction, op10_substring_dedup)
 }
 SQL: dict[str, str] = {}
