@@ -15,8 +15,9 @@ from lexiforge.llm.personal_data import op3_personal_data
 from lexiforge.llm.quality import op6_quality_rules
 from lexiforge.llm.substrings import op10_substring_dedup
 from lexiforge.llm.token_files import op8_token_files
+from lexiforge.llm.warc import op1_warc_histories
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_ngram_jaccard_join, op3_personal_data, op4_license_scan, op5_decontamination, op6_quality_rules, op7_byte_bpe, op8_token_files, op9_html_extraction, op10_substring_dedup)
+    f.__name__: f for f in (op1_warc_histories, op2_ngram_jaccard_join, op3_personal_data, op4_license_scan, op5_decontamination, op6_quality_rules, op7_byte_bpe, op8_token_files, op9_html_extraction, op10_substring_dedup)
 }
 SQL: dict[str, str] = {}
