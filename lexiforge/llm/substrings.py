@@ -29,8 +29,9 @@ from lexiforge.llm.common import GROUP_BYTES, buckets_for, table
 
 WINDOW = 13
 MINIMISER = 4
+LEVEL = 3
 
-FLAGS = "doc_id long, row long, starts array<int>"
+FLAGS = "doc_id long, row long, low int, high int"
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -100,8 +101,8 @@ def pack(docs: np.ndarray, rows: np.ndarray, settled: list[tuple[int, np.ndarray
     string, and the strings."""
     lists = np.array([[i, len(s)] for i, s in settled], np.int64).reshape(-1, 2)
     flags = np.concatenate([s for _, s in settled]).astype(np.int32) if settled else np.zeros(0, np.int32)
-    parts = [_HEAD.pack(len(docs), len(lists), len(places)), docs.tobytes(), rows.tobytes(), lists.tobytes(), flags.tobytes(), places.astype(np.int64).tobytes(), *strings]
-    return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
+    parts = [_HEAD.pack(len(docs), len(lists), len(places)), docs.tobytes(), rows.tobytes(), lists.tobytes(), flags.tobytes(), *(np.diff(c, prepend=0).astype(np.int32).tobytes() for c in places.T[:2]), places[:, 2].astype(np.int32).tobytes(), *strings]
+    return zstandard.ZstdCompressor(level=LEVEL).compress(b"".join(parts))
 
 
 def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
@@ -116,7 +117,8 @@ def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray,
         return out
 
     docs, rows, lists = take(n, np.int64), take(n, np.int64), take(2 * m, np.int64).reshape(-1, 2)
-    flags, places = take(int(lists[:, 1].sum()), np.int32), take(3 * p, np.int64).reshape(-1, 3)
+    flags = take(int(lists[:, 1].sum()), np.int32)
+    places = np.stack((np.cumsum(take(p, np.int32), dtype=np.int64), np.cumsum(take(p, np.int32), dtype=np.int64), take(p, np.int32)), axis=1)
     return docs, rows, lists, flags, places, raw[at:]
 
 
@@ -179,17 +181,14 @@ def _piece(ids: np.ndarray, rows: np.ndarray, data: np.ndarray, offsets: np.ndar
 
 
 def settle(packed: DataFrame, k: int = WINDOW) -> DataFrame:
-    """(doc_id, row, starts): for each bucket the windows, by their first words, that a smaller document has as well."""
+    """(doc_id, row, low, high): runs of windows, from the first word of the first to that of the last, that a smaller
+    document has as well."""
 
     def run(group: pa.Table) -> pa.Table:
-        out_doc, out_row, out_starts = [], [], []
-        docs, rows, owner, place, texts, sizes, base = [], [], [], [], [], [], 0
+        docs, rows, owner, place, texts, sizes, base, late = [], [], [], [], [], [], 0, []
         for blob in group.column(1).to_pylist():
             d, r, lists, flags, places, raw = unpack(blob)
-            for (i, n), to in zip(lists.tolist(), np.cumsum(lists[:, 1]).tolist(), strict=True):
-                out_doc.append(int(d[i]))
-                out_row.append(int(r[i]))
-                out_starts.append(flags[to - n : to])
+            late.append((np.repeat(lists[:, 0], lists[:, 1]) + base, flags.astype(np.int64)))
             docs.append(d)
             rows.append(r)
             owner.append(places[:, 0] + base)
@@ -204,31 +203,30 @@ def settle(packed: DataFrame, k: int = WINDOW) -> DataFrame:
             starts, string = windows_of(first, k)
             doc = docs[owner[string]]
             number, least = smallest(W.grams_at(h, starts, k), doc, starts, h, k)
-            late = np.flatnonzero(doc > least[number])
-            which, at = owner[string[late]], (starts - first[string] + place[string])[late]
-            order = np.lexsort((at, which))
-            which, at = which[order], at[order]
-            for part in np.split(np.arange(len(which)), np.flatnonzero(np.diff(which)) + 1) if len(which) else ():
-                out_doc.append(int(docs[which[part[0]]]))
-                out_row.append(int(rows[which[part[0]]]))
-                out_starts.append(at[part])
-        lists = pa.array([x.astype(np.int32) for x in out_starts], pa.list_(pa.int32()))
-        return pa.table([pa.array(out_doc, pa.int64()), pa.array(out_row, pa.int64()), lists], names=["doc_id", "row", "starts"])
+            found = np.flatnonzero(doc > least[number])
+            late.append((owner[string[found]], (starts - first[string] + place[string])[found]))
+        which, at = map(np.concatenate, zip(*late, strict=True))
+        order = np.lexsort((at, which))
+        which, at = which[order], at[order]
+        head, tail = _runs(at, which[1:] == which[:-1]) if len(at) else (order, order)
+        which = which[head]
+        return pa.table([docs[which], rows[which], at[head].astype(np.int32), at[tail].astype(np.int32)], names=["doc_id", "row", "low", "high"])
 
     return packed.groupBy("bucket").applyInArrow(run, FLAGS)
 
 
-def kept_words(raw: bytes, starts: list[int] | None, k: int) -> tuple[int, int, bytes]:
-    """(words, words removed, kept words joined by a space) of a text whose windows at ``starts`` go; where a window
-    repeats within the text, ``starts`` may name one of them."""
+def kept_words(raw: bytes, runs: list[int] | None, k: int) -> tuple[int, int, bytes]:
+    """(words, words removed, kept words joined by a space) of a text whose windows in ``runs`` (low, high, low, high ...)
+    go; where a window repeats within the text, one of them may be named."""
     parts = raw.split()
-    if not starts:
+    if not runs:
         return len(parts), 0, b" ".join(parts)
     gone = np.zeros(len(parts) + 1, np.int64)
     data = np.frombuffer(raw, np.uint8)
     h = word_hashes(data, np.array([0, len(data)]))[0]
     spans = W.grams(h, k)
-    at = np.flatnonzero(W.is_in(spans, np.unique(spans[np.array(starts)])))
+    named = np.concatenate([np.arange(a, b + 1) for a, b in zip(runs[::2], runs[1::2], strict=True)])
+    at = np.flatnonzero(W.is_in(spans, np.unique(spans[named])))
     gone[at] += 1
     gone[at + k] -= 1
     keep = np.cumsum(gone)[:-1] == 0
@@ -240,8 +238,8 @@ def deduplicated(docs: DataFrame, k: int = WINDOW, m: int = MINIMISER, buckets:
     """(doc_id, n_words, n_removed, kept) for each row of ``docs`` (doc_id, text)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text")
     flags = settle(super_kmers(rows, buckets or buckets_for(docs), k, m), k)
-    flags = flags.groupBy("doc_id", "row").agg(F.flatten(F.collect_list("starts")).alias("starts"))
-    joined = rows.join(flags, ["doc_id", "row"], "left").select("doc_id", "text", "starts")
+    flags = flags.groupBy("doc_id", "row").agg(F.flatten(F.collect_list(F.array("low", "high"))).alias("runs"))
+    joined = rows.join(flags, ["doc_id", "row"], "left").select("doc_id", "text", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
