@@ -29,7 +29,7 @@ from lexiforge.llm.common import GROUP_BYTES, buckets_for, table
 
 WINDOW = 13
 MINIMISER = 4
-LEVEL = 3
+LEVEL = 6
 
 FLAGS = "doc_id long, row long, low int, high int"
 
