@@ -3,8 +3,9 @@
 Merges are compiled into a transducer whose states are found as they are needed.  The encoding of a text's prefixes
 obeys a local rule: the last token of a prefix is the one token that ends there and whose boundary with the last token
 of the shorter prefix survives all merges.  A state is a node of the token trie (the longest suffix that may still grow
-into a token) together with the encodings, back to where they agree, of the prefixes at which such a token could start.
-Tokens on which all of these agree are emitted; the lookahead is bounded by the longest token.  Decoding feeds token
+into a token) together with the last tokens of the prefixes at which such a token could start.  Tokens on which all of
+these prefixes agree are emitted, at the end of a piece or every few thousand bytes; the lookahead is bounded by the
+longest token.  Decoding feeds token
 bytes to an incremental UTF-8 machine.
 
 Defined results: a null or empty text has no tokens; repeated rows are encoded alike; a decoder that is left with an
@@ -26,9 +27,11 @@ from pyspark.sql.types import StructType
 from lexiforge.llm.common import table
 
 #: States and pieces a worker keeps; both are built again when they are full.
-MAX_STATES = 150_000
-MAX_PIECES = 150_000
+MAX_STATES = 400_000
+MAX_PIECES = 300_000
 DECODE_BLOCK = 4096
+#: Bytes of a long piece after which what is settled is emitted.
+SETTLE = 4096
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -85,10 +88,12 @@ class Merges:
 
 
 class Transducer:
-    """Bytes to tokens.  ``states[s]`` maps a byte to (next state, tokens emitted); it is filled on demand."""
+    """Bytes to tokens.  ``states[s]`` maps a byte to the next state and is filled on demand; ``last[s]`` is the last token
+    of the encoding of what has been read."""
 
     def __init__(self, ranks: dict[bytes, int], max_states: int = MAX_STATES) -> None:
         self.merges = Merges(ranks)
+        self.size = {r: len(t) for t, r in ranks.items()}
         self.max_states = max_states
         self.next: list[dict[int, int]] = [{}]
         self.depth, self.token = [0], [-1]
@@ -119,20 +124,21 @@ class Transducer:
         return self.next[node][byte]
 
     def _clear(self) -> None:
-        self.states: list[dict[int, tuple[int, tuple[int, ...]]]] = []
-        self.last: list[tuple[int, ...]] = []
-        self._of: list[tuple[int, tuple[tuple[int, ...], ...]]] = []
+        self.states: list[dict[int, int]] = []
+        self.last: list[int] = []
+        self._of: list[tuple[int, tuple[int, ...]]] = []
         self._known: dict[tuple, int] = {}
-        self._state(0, ((-1,),))
+        self._state(0, (-1,))
 
-    def _state(self, node: int, paths: tuple[tuple[int, ...], ...]) -> int:
-        key = node, paths
-        if key not in self._known:
-            self._known[key] = len(self.states)
+    def _state(self, node: int, ends: tuple[int, ...]) -> int:
+        key = node, ends
+        state = self._known.get(key)
+        if state is None:
+            state = self._known[key] = len(self.states)
             self.states.append({})
             self._of.append(key)
-            self.last.append(paths[-1][1:])
-        return self._known[key]
+            self.last.append(ends[-1])
+        return state
 
     def _chain(self, node: int) -> list[int]:
         """The suffixes that may grow into a token, as nodes, the longest first and the root last."""
@@ -142,41 +148,55 @@ class Transducer:
             out.append(node)
         return out
 
-    def step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """The transition, determinised when first taken.  A path begins with the last token emitted (-1: none)."""
-        node, paths = self._of[state]
-        path_at = {self.depth[n]: p for n, p in zip(self._chain(node), paths, strict=True)}
+    def step(self, state: int, byte: int) -> int:
+        """The transition, determinised when first taken.  A state holds, for each suffix that may still grow, the last
+        token before it (-1: none)."""
+        node, ends = self._of[state]
+        depth, token_of, part = self.depth, self.token, self.merges.part
+        end_at = {depth[n]: e for n, e in zip(self._chain(node), ends, strict=True)}
         to = self._go(node, byte)
         chain = self._chain(to)
         for n in chain:
-            token = self.token[n]
-            if token >= 0:
-                before = path_at[self.depth[n] - 1]
-                if before[-1] < 0 or self.merges.part(before[-1], token):
-                    break
+            token = token_of[n]
+            if token >= 0 and ((before := end_at[depth[n] - 1]) < 0 or part(before, token)):
+                break
         else:
             raise ValueError(f"byte {byte} is in no token")
-        grown = tuple(path_at[self.depth[n] - 1] for n in chain[:-1]) + ((*before, token),)
-        done, shortest = 1, min(map(len, grown))
-        while done < shortest and all(p[done] == grown[0][done] for p in grown):
-            done += 1
-        out = grown[0][1:done]
-        result = self._state(to, tuple(p[done - 1 :] for p in grown)), out
-        self.states[state][byte] = result
-        return result
+        out = self._state(to, (*[end_at[depth[n] - 1] for n in chain[:-1]], token))
+        self.states[state][byte] = out
+        return out
 
     def encode(self, data: bytes) -> tuple[int, ...]:
         if len(self.states) > self.max_states:
             self._clear()
-        state, out = 0, []
-        states = self.states
+        state, states, last, out, seen = 0, self.states, self.last, [], []
         for byte in data:
-            state, tokens = states[state].get(byte) or self.step(state, byte)
-            if tokens:
-                out += tokens
-        out += self.last[state]
+            state = states[state][byte] if byte in states[state] else self.step(state, byte)
+            seen.append(last[state])
+            if len(seen) >= SETTLE:
+                seen = self._settled(state, seen, out)
+        out += self._back(seen, len(seen))
         return tuple(out)
 
+    def _back(self, seen: list[int], at: int) -> list[int]:
+        """The tokens of the first ``at`` bytes, from the last token of each prefix."""
+        out = []
+        while at > 0:
+            out.append(seen[at - 1])
+            at -= self.size[seen[at - 1]]
+        return out[::-1]
+
+    def _settled(self, state: int, seen: list[int], out: list[int]) -> list[int]:
+        """Emits the tokens that all prefixes at which a token may still begin agree on; returns the rest of ``seen``."""
+        open_ = {len(seen) - self.depth[n] for n in self._chain(self._of[state][0])}
+        while len(open_) > 1:
+            at = max(open_)
+            open_.remove(at)
+            open_.add(at - self.size[seen[at - 1]])
+        at = open_.pop()
+        out += self._back(seen, at)
+        return seen[at:]
+
 
 class Utf8Machine:
     """Incremental UTF-8 decoding: the state is the unfinished sequence at the end of what was fed."""
