@@ -20,4 +20,30 @@ from lexiforge.llm.warc import op1_warc_histories
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_warc_histories, op2_ngram_jaccard_join, op3_personal_data, op4_license_scan, op5_decontamination, op6_quality_rules, op7_byte_bpe, op8_token_files, op9_html_extraction, op10_substring_dedup)
 }
-SQL: dict[str, str] = {}
+_SPACE = r"'[^\x20\x09-\x0D]+'"
+_ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: The other queries rest on trained models, tokenizer libraries or transitive links; tests hold them against brute-force
+#: versions.
+SQL: dict[str, str] = {
+    "op1_warc_histories": """with p as (select page_id, coalesce(html, '') as body, max(page_id) over (partition by coalesce(html, '')) as keep from pages)
+select page_id, octet_length(encode(body))::bigint as payload_bytes,
+  array_to_string(list_transform(range(32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(sha1(body), 5 * (j // 4) + 1, 5))::bigint >> (15 - 5 * (j % 4)))) & 31) + 1, 1)), '') as payload_digest,
+  case when keep is not null and (page_id is null or page_id < keep) then 'revisit' else 'response' end as record_type,
+  case when keep is not null and (page_id is null or page_id < keep) then keep end as refers_to from p""",
+    "op5_decontamination": f"""with d as (select doc_id, regexp_extract_all({_LOWER}, {_ALNUM}) as ws from documents),
+b as (select item_id, regexp_extract_all({_LOWER}, {_ALNUM}) as ws, least(10, len(ws)) as k from benchmark),
+bw as (select distinct item_id, k, array_to_string(ws[i:i + k - 1], ' ') as g from (select *, unnest(range(1, len(ws) - k + 2)) as i from b where k > 0)),
+dw as (select doc_id, k, i, array_to_string(ws[i:i + k - 1], ' ') as g from (select d.*, n.k, unnest(range(1, len(ws) - n.k + 2)) as i from d, (select distinct k from bw) n)),
+h as (select doc_id, item_id, i, k from dw join bw using (k, g)), n as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + k)) as p from h) group by doc_id),
+t as (select doc_id, count(*) as n_items, string_agg(x, ',' order by x) as ids from (select distinct doc_id, item_id::varchar as x from h) group by doc_id)
+select doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join n using (doc_id) left join t using (doc_id)""",
+    "op10_substring_dedup": f"""with d as (select doc_id, regexp_extract_all(coalesce(text, ''), {_SPACE}) as ws from documents),
+w as (select doc_id, i, array_to_string(ws[i:i + 12], ' ') as g from (select *, unnest(range(1, len(ws) - 11)) as i from d)),
+m as (select g, min(doc_id) as least_id from w group by g), gone as (select distinct doc_id, unnest(range(i, i + 13)) as p from w join m using (g) where least_id < doc_id),
+a as (select doc_id, unnest(ws) as word, unnest(range(1, len(ws) + 1)) as p from d),
+k as (select doc_id, string_agg(word, ' ' order by p) as kept, count(*) as n from a anti join gone using (doc_id, p) group by doc_id)
+select doc_id, len(ws)::bigint as n_words, (len(ws) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from d left join k using (doc_id)""",
+}

@@ -228,6 +228,6 @@ def histories(found: DataFrame, range_captures: int = RANGE_CAPTURES) -> DataFra
 def op1_warc_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "archives")
     write(table(spark, sf_dir, "pages"), path)
-    return histories(materialise(runs(spark, path), "runs")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured_at")
+    return histories(materialise(runs(spark, path), "runs")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
