@@ -88,7 +88,7 @@ def quality_score(text: Column, matches: Column, keyword_score: Column, profile:
         ]
         return F.greatest(F.lit(0.0), F.least(F.lit(10.0), reduce(lambda a, b: a + b, parts)))
 
-    return once(bigram_density(text), lambda d: once(bigram_entropy(text), lambda e: total(d, e)))
+    return F.when(text.isNotNull(), once(bigram_density(text), lambda d: once(bigram_entropy(text), lambda e: total(d, e))))
 
 
 def sentences(text: Column, enders: str = ".!?") -> Column:

@@ -81,7 +81,7 @@ def markdown_sections(docs: DataFrame, level: int = 2) -> DataFrame:
     mark = "#" * level
     parts = F.filter(F.split("text", rf"(?m)(?=^{mark} )", -1), lambda x: x.startswith(f"{mark} "))
     rows = docs.select("path", F.posexplode(parts).alias("index", "_p"))
-    return rows.select("path", "index", F.trim(F.regexp_extract("_p", rf"^{mark} ([^\n]*)", 1)).alias("title"), F.trim(F.regexp_replace("_p", rf"^{mark} [^\n]*\n?", "")).alias("body"))
+    return rows.select("path", "index", F.trim(F.regexp_extract("_p", rf"^{mark} ([^\n]*)", 1)).alias("title"), F.regexp_replace(F.regexp_replace("_p", rf"^{mark} [^\n]*\n?", ""), r"(?U)^\s+|\s+$", "").alias("body"))
 
 
 def write_collection(df: DataFrame, path: str, by: str | None = None) -> None:
