@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiforge.functions import text as T
-from lexiforge.operators import classify, dedup, discover, evaluate, retrieval, rollups, validate
+from lexiforge.operators import classify, dedup, discover, documents, evaluate, retrieval, rollups, rules, validate
 from lexiforge.profiles import LATIN
 from lexiforge.sources.files import strip_html
 from lexiforge.streaming import stateful
@@ -365,6 +365,43 @@ def json_snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("before is not null and not (before <=> after)").select("event_id", "before", "after")
 
 
+_POLARITY = {"negative": ("idiot", "moron", "disgusting", "pathetic", "scum", "worthless"), "positive": ("thank", "great", "good")}
+
+
+@query(f"""select doc_id, case when {_hits_sql(_POLARITY["negative"])} > 0 then 'negative' when {_hits_sql(_POLARITY["positive"])} > 0 then 'positive' end as polarity,
+ case when contains(text, '!!') then 3 when contains(text, '...') then 1 else 2 end::int as intensity from documents""")
+def feedback_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = rules.signals(F.col("text"), _POLARITY, ("!!",), ("...",))
+    return _t(spark, sf_dir, "documents").select("doc_id", s.alias("_s")).select("doc_id", "_s.polarity", "_s.intensity")
+
+
+@query(f"""with v as (select conv_id, turn, {_hits_sql((" the ", " and "))} as a, {_hits_sql((" der ", " die "))} as b, {_hits_sql((" le ", " les "))} as c from conversations)
+select conv_id, turn, case when greatest(a, b, c) = 0 then 'none' when a >= b and a >= c then 'english' when b >= c then 'german' else 'french' end as dimension from v""")
+def lexicon_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lexicons = {"english": (" the ", " and "), "german": (" der ", " die "), "french": (" le ", " les ")}
+    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", rules.vote(F.col("text"), lexicons, default="none").alias("dimension"))
+
+
+@query("""with s as (select user_id, least(greatest(value, 0.0), case event_type when 'purchase' then 50.0 when 'click' then 20.0 end) as s, case event_type when 'purchase' then 50.0 when 'click' then 20.0 end as m,
+ case event_type when 'purchase' then 0.7 when 'click' then 0.3 end as w from events where event_type in ('purchase', 'click'))
+select user_id, round(sum(s), 6) as total, round(sum(s / m * 100 * w), 6) as weighted from s group by user_id""")
+def weighted_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.weighted_score(_t(spark, sf_dir, "events"), "user_id", "event_type", "value", {"purchase": (50, 0.7), "click": (20, 0.3)})
+
+
+@query("""select event_id, key as path, value from (select event_id, unnest(json_keys(props)) as key, props from events), lateral (select json_extract_string(props, '$.' || key) as value)""")
+def json_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.flat_json(_t(spark, sf_dir, "events"), ["event_id"], "props")
+
+
+@query("""with b as (select distinct regexp_extract(p_type, '^[^ ]+') as name from part union select distinct regexp_extract(p_type, '^[^ ]+ [^ ]+') from part)
+select p_partkey, arg_max(name, length(name)) as name from part join b on starts_with(p_type, name) where name <> '' group by p_partkey""")
+def longest_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = _t(spark, sf_dir, "part").select("p_partkey", "p_type")
+    names = part.select(F.regexp_extract("p_type", "^[^ ]+", 0).alias("name")).union(part.select(F.regexp_extract("p_type", "^[^ ]+ [^ ]+", 0))).where("name <> ''").distinct()
+    return validate.longest_prefix(part, "p_type", names, "name").where("name is not null").select("p_partkey", "name")
+
+
 @query()
 def minhash_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _t(spark, sf_dir, "documents").select("doc_id", "text")
