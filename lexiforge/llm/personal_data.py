@@ -34,7 +34,7 @@ _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _SECRET = r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*+[0-9])[A-Za-z0-9_+/=-]{20,}+"
 _IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])"
 _SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-_MAC = r"(?<![0-9A-Fa-f:-])[0-9A-Fa-f]{2}(?:[:-][0-9A-Fa-f]{2}){5}(?![0-9A-Fa-f:-])"
+_MAC = r"(?<![0-9A-Fa-f:-])(?=[A-Fa-f:-]*[0-9])[0-9A-Fa-f]{2}(?:[:-][0-9A-Fa-f]{2}){5}(?![0-9A-Fa-f:-])"
 _LOCAL = r"(?<![0-9+().-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9-])"
 
 #: Kind: (what a text must hold to be searched at all, the pattern).  The base kinds come first, in the order of output.
@@ -90,13 +90,19 @@ def _found(text: Column, kind: str) -> Column:
 
 def base_spans(text: Column) -> Column:
     """The spans of the base patterns, by start and then kind."""
-    return F.sort_array(F.concat(*[_found(text, k) for k in BASE]))
+    found = lambda *kinds: F.concat(*[_found(text, k) for k in kinds])
+    numbers = F.when(text.rlike("[0-9]"), found("ip", "card", "phone")).otherwise(F.array().cast(CANDIDATES))
+    return F.sort_array(F.concat(F.when(F.contains(text, F.lit("@")), found("email")).otherwise(F.array().cast(CANDIDATES)), numbers))
 
 
 def wider_spans(text: Column, base: Column) -> Column:
     """Candidates of the wider patterns that touch no base span and no candidate that begins before them."""
-    free = F.filter(F.sort_array(F.concat(*[_found(text, k) for k in WIDER])), lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    return let(free, lambda a: F.filter(a, lambda x, i: ~F.exists(a, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]) & ((y["start"] < x["start"]) | ((y["start"] == x["start"]) & (y["kind"] < x["kind"]))))))
+    def free_of_base(t: Column) -> Column:
+        free = F.filter(F.sort_array(F.concat(*[_found(t, k) for k in WIDER])), lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+        return let(free, lambda a: F.filter(a, lambda x, i: ~F.exists(a, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]) & ((y["start"] < x["start"]) | ((y["start"] == x["start"]) & (y["kind"] < x["kind"]))))))
+
+    # all wider candidates hold a digit
+    return F.when(text.rlike("[0-9]"), free_of_base(text)).otherwise(F.array().cast(CANDIDATES))
 
 
 def _words(near: Column, words: tuple[str, ...]) -> Column:
