@@ -14,13 +14,13 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
 
 
 def running_sums(values: Column) -> Column:
-    """Inclusive sums of an array of numbers, in passes that each reach eight times as far back as the one before."""
+    """Inclusive sums of an array of whole numbers, in passes that each reach 64 times as far back as the one before."""
 
     def reach(a: Column, step: int) -> Column:
         if step > 1 << 30:
             return a
-        parts = lambda x, i: sum((F.coalesce(F.get(a, i - step * j), F.lit(0)) for j in range(1, 8)), x)
-        return F.when(F.size(a) <= step, a).otherwise(let(F.transform(a, parts), lambda b: reach(b, step * 8)))
+        back = lambda x, i: F.aggregate(F.sequence(F.lit(1), F.lit(63)), x.cast("int"), lambda s, j: s + F.coalesce(F.get(a, i - j * step), F.lit(0)))
+        return F.when(F.size(a) <= step, a).otherwise(let(F.transform(a, back), lambda b: reach(b, step * 64)))
 
     return let(values, lambda a: reach(a, 1))
 
