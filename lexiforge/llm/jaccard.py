@@ -163,10 +163,13 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percen
 
 
 def meeting(pairs: DataFrame, feats: DataFrame, orders: int) -> DataFrame:
-    """The ``pairs`` whose prefixes share a token in each of the other orders too."""
+    """The ``pairs`` whose prefixes share a token in each of the other orders too.  Only prefixes of nodes in ``pairs``
+    are moved."""
     if orders < 2:
         return pairs
-    carried = feats.where("others is not null").groupBy("node").agg(F.first("others").alias("others"))
+    used = materialise(pairs.select(F.col("x").alias("node")).union(pairs.select(F.col("y").alias("node"))).distinct(), "used")
+    carried = feats.where("others is not null").select("node", "others").join(small_or_shuffled(used, used.count()), "node")
+    carried = materialise(carried.dropDuplicates(["node"]), "prefixes")
     side = lambda c: carried.select(F.col("node").alias(c), F.col("others").alias(f"_{c}"))
     both = pairs.join(side("x"), "x").join(side("y"), "y")
     for i in range(orders - 1):
@@ -178,6 +181,12 @@ def size_fits(a: str, b: str, percent: int) -> Column:
     return 100 * F.least(a, b).cast("long") >= percent * F.greatest(a, b).cast("long")
 
 
+def room_for(n_x: str, pos_x: str, n_y: str, pos_y: str, percent: int) -> Column:
+    """Whether two sets whose first common token is at these positions can still overlap as much as they must."""
+    left = F.least(F.col(n_x) - F.col(pos_x), F.col(n_y) - F.col(pos_y)).cast("long")
+    return left * (100 + percent) >= percent * (F.col(n_x) + F.col(n_y)).cast("long")
+
+
 def linked_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, orders: int = ORDERS) -> DataFrame:
     """(doc_id, row, n_shingles, component_id) per row of ``docs``; component_id is the smallest doc_id that links
     reach.  ``row`` is a hash of the text."""
@@ -188,13 +197,17 @@ def linked_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, o
     mask = (1 << 47) - 1
     postings = feats.where("doc_id is not null").select("node", "n", F.posexplode("first").alias("pos", "token"))
     rank = F.least("pos", F.lit(32767)).cast("long") * (1 << 47) + F.col("node").bitwiseAND(mask)
-    shared = postings.groupBy("token").agg(F.min("node").alias("_low"), F.max("node").alias("_high"), F.min(rank).alias("lead")).where("_low < _high").select("token", "lead")
+    # a node has one place for a token, so a token whose ranks differ is shared
+    shared = postings.groupBy("token").agg(F.min(rank).alias("lead"), F.max(rank).alias("_last")).where("lead < _last").select("token", "lead")
     postings = materialise(postings.join(shared, "token"), "postings")
 
     # step 1: each node against its most common leader
     leaders = nodes.select(F.col("node").alias("y"), F.col("n").alias("n_y"), F.col("node").bitwiseAND(mask).alias("lead"))
-    star = postings.groupBy("node", "n", F.col("lead").bitwiseAND(mask).alias("lead")).count().join(leaders, "lead").where(F.col("node") != F.col("y")).where(size_fits("n", "n_y", percent))
+    # a pair's first common token comes first in both sets, so the least positions are those of one token
+    star = postings.groupBy("node", "n", F.col("lead").bitwiseAND(mask).alias("lead")).agg(F.count("*").alias("count"), F.min("pos").alias("pos"), F.min(F.shiftright("lead", 47)).alias("pos_y"))
+    star = star.join(leaders, "lead").where(F.col("node") != F.col("y")).where(size_fits("n", "n_y", percent) & room_for("n", "pos", "n_y", "pos_y", percent))
     star = star.groupBy("node").agg(F.max(F.struct("count", "y")).alias("_y")).select(F.col("node").alias("x"), F.col("_y.y").alias("y"))
+    star = materialise(star, "leaders")
     star = materialise(meeting(star, feats, orders), "star")
     links = materialise(verified(star, docs, nodes, k, percent), "links")
     roots = components(links)
@@ -202,7 +215,7 @@ def linked_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, o
     # step 2: what may still join different components
     n_roots = roots.count()
     of = lambda df: df.join(small_or_shuffled(roots, n_roots), "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
-    pairs = materialise(meeting(across(of(postings), percent), feats, orders), "across")
+    pairs = materialise(meeting(materialise(across(of(postings), percent), "across"), feats, orders), "meeting")
     if not pairs.isEmpty():
         more = materialise(verified(pairs, docs, nodes, k, percent), "links")
         roots = components(links.union(more))
@@ -227,8 +240,7 @@ def across(postings: DataFrame, percent: int) -> DataFrame:
     small = p.where(room >= 2 * percent * F.col("n")).select("token", size_class(F.col("n")).alias("size"), *[F.col(c).alias(f"{c}_x") for c in ("node", "n", "pos", "comp", "is_main")])
     low, high = F.ceil(F.col("n") * percent / 100), F.least("n", F.floor(room / percent) - F.col("n"))
     large = p.withColumns({"_low": low, "_high": high}).where("_low <= _high").select("token", F.explode(F.sequence(size_class(F.col("_low")), size_class(F.col("_high")))).alias("size"), *[F.col(c).alias(f"{c}_y") for c in ("node", "n", "pos", "comp", "is_main")])
-    room_for = F.least(F.expr("n_x - pos_x"), F.expr("n_y - pos_y")).cast("long") * (100 + percent) >= percent * (F.col("n_x") + F.col("n_y"))
-    fits = (F.col("comp_x") != F.col("comp_y")) & (F.col("n_x") <= F.col("n_y")) & size_fits("n_x", "n_y", percent) & room_for
+    fits = (F.col("comp_x") != F.col("comp_y")) & (F.col("n_x") <= F.col("n_y")) & size_fits("n_x", "n_y", percent) & room_for("n_x", "pos_x", "n_y", "pos_y", percent)
     met = small.where("not is_main_x").join(large, ["token", "size"]).where(fits).union(small.where("is_main_x").join(large.where("not is_main_y"), ["token", "size"]).where(fits))
     return met.select(F.least("node_x", "node_y").alias("x"), F.greatest("node_x", "node_y").alias("y")).distinct()
 
