@@ -405,4 +405,4 @@ def longest_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def minhash_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _t(spark, sf_dir, "documents").select("doc_id", "text")
-    return dedup.greedy(docs, dedup.near_duplicates(docs), "doc_id")
+    return dedup.greedy_near(docs, "doc_id")

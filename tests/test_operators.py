@@ -94,6 +94,31 @@ def test_near_duplicates(spark):
     assert [tuple(r) for r in dedup.near_duplicates(docs).collect()] == [(1, 2)]
 
 
+def test_near_families_against_brute_force(spark):
+    rng = random.Random(5)
+    docs = []
+    for _ in range(3):
+        family = [[rng.choice("abcdefghij klmnop") for _ in range(400)]]
+        while len(family) < 25:
+            text = list(rng.choice(family))
+            for at in rng.sample(range(400), rng.randint(0, 10)):
+                text[at] = rng.choice("uvwxyz")
+            family.append(text)
+        docs += ["".join(t) for t in family]
+    rng.shuffle(docs)
+    docs += docs[:5]
+    sets = [{t[i : i + 5] for i in range(len(t) - 4)} for t in docs]
+    kept = []
+    for i, s in enumerate(sets):
+        if not any(len(s & sets[k]) >= 0.85 * len(s | sets[k]) for k in kept):
+            kept.append(i)
+    items = [*enumerate(docs), (900, ""), (901, None), (None, docs[0])]
+    df = spark.createDataFrame(items, "doc_id long, text string").repartition(3)
+    out = {r.doc_id: r.kept for r in dedup.greedy_near(df, rows=1).collect()}  # families share buckets
+    assert set(out) == {r[0] for r in items} and 3 < len(kept) < 70
+    assert {d for d, stays in out.items() if stays} == {*kept, 900, 901, None}
+
+
 def test_evaluation(spark):
     ranked = spark.createDataFrame([("a", 1, 0), ("a", 2, 2), ("b", 1, None)], "query_id string, rank long, relevance int")
     out = {r.query_id: r for r in evaluate.scores(ranked, 5, expected=spark.createDataFrame([("a", 4)], "query_id string, n_relevant long")).collect()}
