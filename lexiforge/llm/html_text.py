@@ -5,9 +5,11 @@ each line the text-to-tag ratio is the number of its characters outside links ov
 Lines inside elements that are boilerplate by their nature or by their names (menus, headers of the page, footers,
 sidebars, notices, adverts, forms, comments) have ratio 0.  The ratios are smoothed with a Gaussian window, and a
 threshold, found by clustering the logarithms of the smoothed ratios in two, splits the page into content and the rest.
-The content region is the outermost container that holds most of the content cluster's text and nothing but content:
-the article or main element if the page has one, else the block that holds the clustered lines.  Within the region all
-lines that are not boilerplate stay, so that short paragraphs are not lost.
+The content region is the article and main elements that are not boilerplate, all of them, if they hold half of the
+content cluster's text or one is a main; else the innermost block that holds nine tenths of it, with the blocks and lines
+beside it, at any height, that are not boilerplate, and all lines of the cluster.  A block is boilerplate if most of its
+text lies in boilerplate lines or in lines that are mostly links.  Within the region all lines that are not boilerplate
+stay, so that short paragraphs are not lost.
 
 Defined results: null, empty and unparsable pages give an empty text; repeated rows are handled alike; other columns
 pass unused.  A page is worked on whole by one task, in memory of a small multiple of its size.
@@ -173,27 +175,38 @@ def main_text(html: str) -> str:
     content = open_ & (level > cut) & (ratio > 0)
     if not content.any():
         content = open_ & (ratio > 0)
-    region = _region(page, lines, content, ratio)
-    return " ".join(text for (line, text), is_open in zip(lines, open_, strict=True) if is_open and (region is None or region in line.path))
+    stays = _region(page, lines, content)
+    return " ".join(text for (_, text), is_open, inside in zip(lines, open_, stays, strict=True) if is_open and inside)
 
 
-def _region(page: Lines, lines: list[tuple[Line, str]], content: np.ndarray, ratio: np.ndarray) -> int | None:
-    """The container that the content is taken from; None for the whole page."""
+def _region(page: Lines, lines: list[tuple[Line, str]], content: np.ndarray) -> list[bool]:
+    """Which lines lie in the region that the content is taken from."""
     held: dict[int, int] = {}
+    size: dict[int, int] = {}  # characters of a container's good lines less those of its others
     total = 0
-    for (line, text), is_content in zip(lines, content, strict=True):
-        if is_content:
-            total += len(text)
-            for n in line.path:
+    linked = [2 * line.link_chars > len(text) - text.count(" ") for line, text in lines]
+    for (line, text), is_content, is_linked in zip(lines, content, linked, strict=True):
+        total += len(text) if is_content else 0
+        for n in line.path:
+            size[n] = size.get(n, 0) + (-len(text) if line.dull or is_linked else len(text))
+            if is_content:
                 held[n] = held.get(n, 0) + len(text)
-    named = [n for n in held if page.tags[n] in ("article", "main")]
+    named = {n for n in size if page.tags[n] in ("article", "main") and (size[n] > 0 or n in held)}
     if named:
-        best = max(held[n] for n in named)
-        inner = [n for n in named if held[n] == best]
-        if best >= 0.5 * total or page.tags[inner[0]] == "main":
-            return max(inner)
-    most = [n for n, size in held.items() if size >= 0.9 * total]
-    return max(most) if most else None
+        in_named = [not named.isdisjoint(line.path) for line, _ in lines]
+        found = sum(len(text) for (_, text), is_content, inside in zip(lines, content, in_named, strict=True) if is_content and inside)
+        if found and (found >= 0.5 * total or any(page.tags[n] == "main" and n in held for n in named)):
+            return in_named
+    most = [n for n, chars in held.items() if chars >= 0.9 * total]
+    if not most:
+        return [True] * len(lines)
+    core = max(most)
+    way = set(next(line.path for line, _ in lines if core in line.path))
+    stays = []
+    for (line, _), is_content, is_linked in zip(lines, content, linked, strict=True):
+        beside = next((n for n in line.path if n not in way), None)
+        stays.append(core in line.path or bool(is_content) or (not is_linked if beside is None else size[beside] > 0))
+    return stays
 
 
 def extracted(pages: DataFrame, html: str = "html") -> DataFrame:

@@ -36,6 +36,18 @@ def test_pages(body, want):
     assert X.main_text(page(body)) == want
 
 
+def test_sections_and_articles():
+    many, few = [f"{LONG} " * 10 + f"{i}." for i in range(10)], [f"A short paragraph, number {i}, that belongs to the text." for i in range(3)]
+    p = lambda texts: "".join(f"<p>{t}</p>" for t in texts)
+    menu = "<div><a href=1>One thing</a> <a href=2>Another thing</a></div>"
+    want = " ".join(many + few)
+    assert X.main_text(page(f"<div id=content><div class=part1>{p(many)}</div><div class=part2>{p(few)}</div></div>{menu}")) == want
+    assert X.main_text(page(f"{menu}<div class=col><div class=part1>{p(many)}</div></div><section>{p(few)}</section><footer>{LONG}</footer>")) == want
+    assert X.main_text(page(f"{menu}<article>{p(many)}</article><article>{p(few)}</article><aside><article>{LONG}</article></aside>")) == want
+    assert X.main_text(page(f"<article>{p(many[:6])}</article><article>{p(many[6:])}</article>")) == " ".join(many)
+    assert X.main_text(page(f"<main><article>{p(many)}</article><article>{p(few)}</article></main>")) == want
+
+
 def test_broken_and_large_pages():
     for text in ("<", "<a", "<!", "&", "</", "<p <p>", "<div" * 100, "<!--", "\x00"):
         X.main_text(text)
