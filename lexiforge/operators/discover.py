@@ -1,10 +1,13 @@
-"""Discovery: keywords of a group against the rest, and word pairs that occur together."""
+"""Discovery: keywords of a group against the rest, word pairs that occur together, and clusters of keyword pairs."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiforge.functions.text import once
+from lexiforge.profiles import Scene
+
 
 def keywords(texts: DataFrame, by: str, pattern: str, k: int, least: int = 3) -> DataFrame:
     """Per group the k words with the highest share of its texts over their share of all, smoothed by one text; words
@@ -26,3 +29,26 @@ def cooccurrence(items: DataFrame, key: str, terms: tuple[str, ...]) -> DataFram
     held = F.filter(F.array(*[F.lit(t) for t in sorted(terms)]), lambda t: F.contains(F.lower("text"), t))
     pairs = items.select(held.alias("_h")).where(F.size("_h") > 1).select(F.explode(F.flatten(F.transform("_h", lambda a, i: F.transform(F.slice("_h", i + 2, F.size("_h")), lambda b: F.struct(a.alias("a"), b.alias("b")))))).alias("_p"))
     return pairs.groupBy("_p.a", "_p.b").agg(F.count("*").alias("n"))
+
+
+def top_words(text: Column, pattern: str, stop: tuple[str, ...], k: int) -> Column:
+    """The k most frequent words of a text of two characters at least that are no stop words, ties by their first place."""
+    words = F.filter(F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0)), lambda w: (F.length(w) > 1) & ~w.isin(*stop))
+    placed = lambda w: F.array_sort(F.transform(w, lambda x, i: F.struct(x.alias("w"), i.alias("i"))))
+    # in sorted order a word is a run; its length is the distance to the next run's start
+    starts = lambda p: F.filter(F.transform(p, lambda x, j: F.when((j == 0) | (x["w"] != F.get(p, j - 1)["w"]), j)), lambda j: j.isNotNull())
+    count = lambda p, s, n, j: F.coalesce(F.get(s, n + 1), F.size(p)) - j
+    ranked = lambda p: once(starts(p), lambda s: F.array_sort(F.transform(s, lambda j, n: F.struct((-count(p, s, n, j)).alias("n"), F.get(p, j)["i"].alias("i"), F.get(p, j)["w"].alias("w")))))
+    return once(placed(words), lambda p: F.transform(F.slice(ranked(p), 1, k), lambda x: x["w"]))
+
+
+def keyword_clusters(texts: DataFrame, pattern: str, stop: tuple[str, ...], scenes: tuple[Scene, ...] = (), k: int = 5, least: int = 10, top: int = 50) -> DataFrame:
+    """(name, keywords, n): pairs among each text's k keywords, counted over all texts; the ``top`` pairs of ``least``
+    texts at least are merged by name.  A pair is named after the first scene that has one of its words, else after
+    itself.  A text gives k (k - 1) / 2 rows at most, which are added up before they are shuffled."""
+    words = texts.select(F.array_sort(top_words(F.col("text"), pattern, stop, k)).alias("_h"))
+    pairs = words.select(F.explode(F.flatten(F.transform("_h", lambda a, i: F.transform(F.slice("_h", i + 2, F.size("_h")), lambda b: F.struct(a.alias("a"), b.alias("b")))))).alias("_p"))
+    often = pairs.groupBy("_p.a", "_p.b").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.col("n").desc(), "a", "b").limit(top)
+    named = [F.when(F.col("a").isin(*known) | F.col("b").isin(*known), s.name) for s in scenes if (known := [w.strip() for w in s.keywords])]
+    name = F.coalesce(*named, F.concat_ws(" ", "a", "b"))
+    return often.withColumn("name", name).groupBy("name").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array("a", "b"))))).alias("keywords"), F.sum("n").alias("n"))

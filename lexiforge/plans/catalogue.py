@@ -19,6 +19,7 @@ SQL: dict[str, str] = {}
 
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _TERMS = ("the", "and", "der", "die", "les", "que", "para", "con", "token", "license")
+_STOP = tuple("the and of to in is it that for on with as was at by an be this der die das und ist ein eine den mit von zu le la les de des du et est un une en que el los las del por para con se".split())
 _INTENTS = [("question", r"\?", 0), ("request", r"(?i)\b(?:please|could you|can you|write|explain)\b", 1), ("thanks", r"(?i)\bthank", 1), ("statement", r"\.", 2)]
 _RULES = [("symbols", r"[#$%&*]{3}", 1), ("shouting", "!!", 5), ("pipes", r" \| ", 3)]
 
@@ -406,3 +407,8 @@ def longest_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def minhash_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _t(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup.greedy_near(docs, "doc_id")
+
+
+@query()
+def keyword_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return discover.keyword_clusters(_t(spark, sf_dir, "documents"), _WORD, _STOP, LATIN.scenes, least=5)

@@ -6,8 +6,8 @@ import zipfile
 
 import pytest
 from lexiforge.functions import text as T
-from lexiforge.operators import classify, dedup, evaluate, retrieval, rollups, validate
-from lexiforge.profiles import CJK, LATIN
+from lexiforge.operators import classify, dedup, discover, evaluate, retrieval, rollups, validate
+from lexiforge.profiles import CJK, LATIN, Scene
 from lexiforge.sources import files
 from lexiforge.streaming import stateful
 from pyspark.sql import functions as F
@@ -119,6 +119,16 @@ def test_near_families_against_brute_force(spark):
     assert {d for d, stays in out.items() if stays} == {*kept, 900, 901, None}
 
 
+def test_keyword_clusters(spark):
+    assert one(spark, "Bee ant the bee, cat x ant bee dog eel", discover.top_words(F.col("text"), "[a-z]+", ("the",), 4)) == ["bee", "ant", "cat", "dog"]
+    texts = [("sail wind other sail",)] * 3 + [("sail rope",), ("rope sail",), ("wind mast",)] + [("",), (None,)]
+    df = spark.createDataFrame(texts, "text string")
+    found = {r.name: (r.keywords, r.n) for r in discover.keyword_clusters(df, "[a-z]+", ("other",), least=2).collect()}
+    assert found == {"sail wind": (["sail", "wind"], 3), "rope sail": (["rope", "sail"], 2)}
+    sea = (Scene("sea", ("sail",)),)
+    assert [tuple(r) for r in discover.keyword_clusters(df, "[a-z]+", ("other",), sea, least=2).collect()] == [("sea", ["rope", "sail", "wind"], 5)]
+
+
 def test_evaluation(spark):
     ranked = spark.createDataFrame([("a", 1, 0), ("a", 2, 2), ("b", 1, None)], "query_id string, rank long, relevance int")
     out = {r.query_id: r for r in evaluate.scores(ranked, 5, expected=spark.createDataFrame([("a", 4)], "query_id string, n_relevant long")).collect()}
