@@ -25,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     a temporary folder of this session's own."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="spark-lexiforge-")
         atexit.register(shutil.rmtree, where, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", where)
@@ -35,14 +37,52 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark's own setting: shuffle files go when the query that wrote them has ended.
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: cuts lineage, and survives lost executors."""
+    """Write ``df`` to the shared folder and read it again: cuts lineage, and survives lost executors.  As nothing goes
+    back to the shuffles behind the table, their files are deleted once it is written."""
+    return _written(df, shared_path(df.sparkSession, name))
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
     spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN_UP, None)
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEAN_UP)
+        else:
+            spark.conf.set(_CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Materialised tables that are deleted as soon as their successors are written."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self._paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = shared_path(self.spark, name)
+        out = _written(df, path)
+        self._paths[id(out)] = out, path
+        return out
+
+    def drop(self, *tables: DataFrame | None) -> None:
+        """Delete these tables; what was not written here is passed over."""
+        for t in tables:
+            _, where = self._paths.pop(id(t), (None, None))
+            if where:
+                path = self.spark._jvm.org.apache.hadoop.fs.Path(where)
+                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_or_shuffled(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` hinted for a broadcast if its counted ``rows`` are within ``bound``; else as it is, for a shuffle join."""
     return F.broadcast(df) if rows <= bound else df.hint("merge")

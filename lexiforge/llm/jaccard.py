@@ -23,6 +23,7 @@ doc_id is in no component; other columns pass unused.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiforge.llm import words as W
-from lexiforge.llm.common import materialise, small_or_shuffled, table
+from lexiforge.llm.common import Scratch, small_or_shuffled, table
 from lexiforge.llm.components import components
 
 WORDS = 3
@@ -41,8 +42,8 @@ ORDERS = 3
 SLOTS = 1 << 20
 _BLOCK = 1 << 14
 _FAN = 64
-#: Size classes a factor of e.
-_CLASSES = 64
+#: Nodes from which on a token is split by size classes.
+_HOT = 512
 
 
 def token_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
@@ -115,7 +116,7 @@ def features(docs: DataFrame, k: int, percent: int, orders: int) -> DataFrame:
                 n, node, first, others = [], [], [], []
                 named = part.column(0).is_valid().to_pylist()
                 for s, has_id in zip(token_sets(data, offsets, k), named, strict=True):
-                    key = int((W.mix(s).sum() + W.U64(len(s)) * seeds[0]).view(np.int64)) if len(s) else 0
+                    key = int(np.uint64((int(W.mix(s).sum()) + len(s) * int(seeds[0])) % 2**64).view(np.int64)) if len(s) else 0
                     n.append(len(s))
                     node.append(key)
                     if not len(s) or not has_id or key in seen:
@@ -140,11 +141,18 @@ def features(docs: DataFrame, k: int, percent: int, orders: int) -> DataFrame:
     return docs.select("doc_id", "row", "text").mapInArrow(run, FEATURES)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
+def _ends(tables: Scratch, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The nodes in ``pairs``: the written table, and as it is to be joined."""
+    used = tables.write(pairs.select(F.col("x").alias("node")).union(pairs.select(F.col("y").alias("node"))).distinct(), "used")
+    return used, small_or_shuffled(used, used.count())
+
+
+def verified(tables: Scratch, pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
     """The ``pairs`` (x, y) of nodes whose sets are linked, worked out on the whole texts."""
-    used = materialise(pairs.select(F.col("x").alias("node")).union(pairs.select(F.col("y").alias("node"))).distinct().join(nodes, "node").select("node", "doc_id", "row"), "used")
-    texts = docs.join(small_or_shuffled(used, used.count()), ["doc_id", "row"]).select("node", "text").dropDuplicates(["node"])
-    texts = materialise(texts, "texts")
+    used, ends = _ends(tables, pairs)
+    places = tables.write(nodes.join(ends, "node").select("node", "doc_id", "row"), "places")
+    # both sides of a pair read the one shuffle that deals texts to nodes
+    texts = docs.join(small_or_shuffled(places, places.count()), ["doc_id", "row"]).select("node", "text").dropDuplicates(["node"])
     side = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
     both = pairs.select("x", "y").join(side("x"), "x").join(side("y"), "y").select("x", "y", "text_x", "text_y")
 
@@ -159,22 +167,25 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percen
                     keep.append(100 * common >= percent * (len(a) + len(b) - common))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "x long, y long")
+    links = tables.write(both.mapInArrow(run, "x long, y long"), "links")
+    tables.drop(used, places)
+    return links
 
 
-def meeting(pairs: DataFrame, feats: DataFrame, orders: int) -> DataFrame:
+def meeting(tables: Scratch, pairs: DataFrame, feats: DataFrame, orders: int) -> DataFrame:
     """The ``pairs`` whose prefixes share a token in each of the other orders too.  Only prefixes of nodes in ``pairs``
     are moved."""
     if orders < 2:
         return pairs
-    used = materialise(pairs.select(F.col("x").alias("node")).union(pairs.select(F.col("y").alias("node"))).distinct(), "used")
-    carried = feats.where("others is not null").select("node", "others").join(small_or_shuffled(used, used.count()), "node")
-    carried = materialise(carried.dropDuplicates(["node"]), "prefixes")
+    used, ends = _ends(tables, pairs)
+    carried = feats.where("others is not null").select("node", "others").join(ends, "node").dropDuplicates(["node"])
     side = lambda c: carried.select(F.col("node").alias(c), F.col("others").alias(f"_{c}"))
     both = pairs.join(side("x"), "x").join(side("y"), "y")
     for i in range(orders - 1):
         both = both.where(F.arrays_overlap(F.col("_x")[i], F.col("_y")[i]))
-    return both.select(*pairs.columns)
+    met = tables.write(both.select(*pairs.columns), "meeting")
+    tables.drop(used, pairs)
+    return met
 
 
 def size_fits(a: str, b: str, percent: int) -> Column:
@@ -190,16 +201,18 @@ def room_for(n_x: str, pos_x: str, n_y: str, pos_y: str, percent: int) -> Column
 def linked_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, orders: int = ORDERS) -> DataFrame:
     """(doc_id, row, n_shingles, component_id) per row of ``docs``; component_id is the smallest doc_id that links
     reach.  ``row`` is a hash of the text."""
+    tables = Scratch(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text")
-    feats = materialise(features(docs, k, percent, orders), "features")
+    feats = tables.write(features(docs, k, percent, orders), "features")
     nodes = feats.where("n > 0 and doc_id is not null").groupBy("node", "n").agg(F.min(F.struct("doc_id", "row")).alias("_of")).select("node", "n", "_of.doc_id", "_of.row")
-    nodes = materialise(nodes, "nodes")
+    nodes = tables.write(nodes, "nodes")
     mask = (1 << 47) - 1
-    postings = feats.where("doc_id is not null").select("node", "n", F.posexplode("first").alias("pos", "token"))
+    # dealt by token once: what is counted and what is kept name the same columns, so they read the same shuffle
+    dealt = feats.where("doc_id is not null").select("node", "n", F.posexplode("first").alias("pos", "token")).where("token is not null").repartition("token")
     rank = F.least("pos", F.lit(32767)).cast("long") * (1 << 47) + F.col("node").bitwiseAND(mask)
     # a node has one place for a token, so a token whose ranks differ is shared
-    shared = postings.groupBy("token").agg(F.min(rank).alias("lead"), F.max(rank).alias("_last")).where("lead < _last").select("token", "lead")
-    postings = materialise(postings.join(shared, "token"), "postings")
+    shared = dealt.groupBy("token").agg(F.min(rank).alias("lead"), F.max(rank).alias("_last"), F.max("n").alias("_n")).where("lead < _last and _n > 0").select("token", "lead")
+    postings = tables.write(dealt.join(shared.hint("merge"), "token"), "postings")
 
     # step 1: each node against its most common leader
     leaders = nodes.select(F.col("node").alias("y"), F.col("n").alias("n_y"), F.col("node").bitwiseAND(mask).alias("lead"))
@@ -207,19 +220,20 @@ def linked_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, o
     star = postings.groupBy("node", "n", F.col("lead").bitwiseAND(mask).alias("lead")).agg(F.count("*").alias("count"), F.min("pos").alias("pos"), F.min(F.shiftright("lead", 47)).alias("pos_y"))
     star = star.join(leaders, "lead").where(F.col("node") != F.col("y")).where(size_fits("n", "n_y", percent) & room_for("n", "pos", "n_y", "pos_y", percent))
     star = star.groupBy("node").agg(F.max(F.struct("count", "y")).alias("_y")).select(F.col("node").alias("x"), F.col("_y.y").alias("y"))
-    star = materialise(star, "leaders")
-    star = materialise(meeting(star, feats, orders), "star")
-    links = materialise(verified(star, docs, nodes, k, percent), "links")
+    star = meeting(tables, tables.write(star, "leaders"), feats, orders)
+    links = verified(tables, star, docs, nodes, k, percent)
     roots = components(links)
 
     # step 2: what may still join different components
     n_roots = roots.count()
     of = lambda df: df.join(small_or_shuffled(roots, n_roots), "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
-    pairs = materialise(meeting(materialise(across(of(postings), percent), "across"), feats, orders), "meeting")
+    pairs = meeting(tables, tables.write(across(of(postings), percent), "across"), feats, orders)
+    tables.drop(postings, star)
     if not pairs.isEmpty():
-        more = materialise(verified(pairs, docs, nodes, k, percent), "links")
+        more = verified(tables, pairs, docs, nodes, k, percent)
         roots = components(links.union(more))
         n_roots = roots.count()
+    tables.drop(pairs, links)
     rooted = of(nodes)
     least = rooted.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     named = rooted.join(least, "comp").select("node", "component_id")
@@ -230,18 +244,26 @@ def linked_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, o
 def across(postings: DataFrame, percent: int) -> DataFrame:
     """Pairs (x, y) of nodes of different components that share a token of their first prefixes at positions which leave
     room for the overlap they need.  The smaller set must have it within its first n * (100 - percent) / (100 + percent)
-    tokens; the larger one is sent to the size classes its position allows."""
-    mixed = postings.groupBy("token").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).where("_low < _high").select("token")
-    p = materialise(postings.join(mixed, "token").select("token", "node", "n", "pos", "comp").distinct(), "mixed")
-    main = p.groupBy("token", "comp").count().groupBy("token").agg(F.max(F.struct("count", "comp")).alias("_m")).select("token", F.col("_m.comp").alias("main"))
-    p = p.join(main, "token").withColumn("is_main", F.col("comp") == F.col("main")).drop("main")
-    size_class = lambda n: F.floor(F.log(n.cast("double")) * _CLASSES).cast("int")
+    tokens.  Pairs are drawn where the tokens lie; a token of many nodes is split by size classes, of which the larger
+    set is sent to those that its position allows."""
+    whole = postings.select("token", "node", "n", "pos", "comp").repartition("token").distinct()
+    main = (
+        whole.groupBy("token", "comp").count().groupBy("token").agg(F.count("*").alias("_comps"), F.sum("count").alias("nodes"), F.max(F.struct("count", "comp")).alias("_m"))
+        .where("_comps > 1").select("token", "nodes", F.col("_m.comp").alias("main"))
+    )
+    p = whole.join(main.hint("merge"), "token").withColumn("is_main", F.col("comp") == F.col("main")).drop("main")
     room = (F.col("n") - F.col("pos")).cast("long") * (100 + percent)
-    small = p.where(room >= 2 * percent * F.col("n")).select("token", size_class(F.col("n")).alias("size"), *[F.col(c).alias(f"{c}_x") for c in ("node", "n", "pos", "comp", "is_main")])
     low, high = F.ceil(F.col("n") * percent / 100), F.least("n", F.floor(room / percent) - F.col("n"))
-    large = p.withColumns({"_low": low, "_high": high}).where("_low <= _high").select("token", F.explode(F.sequence(size_class(F.col("_low")), size_class(F.col("_high")))).alias("size"), *[F.col(c).alias(f"{c}_y") for c in ("node", "n", "pos", "comp", "is_main")])
-    fits = (F.col("comp_x") != F.col("comp_y")) & (F.col("n_x") <= F.col("n_y")) & size_fits("n_x", "n_y", percent) & room_for("n_x", "pos_x", "n_y", "pos_y", percent)
-    met = small.where("not is_main_x").join(large, ["token", "size"]).where(fits).union(small.where("is_main_x").join(large.where("not is_main_y"), ["token", "size"]).where(fits))
+    # a pair's sizes lie in one class or in neighbouring ones
+    size_class = lambda n: F.floor(F.log(n.cast("double")) / math.log(100 / min(percent, 95))).cast("int")
+    side = lambda c: [F.col(x).alias(f"{x}_{c}") for x in ("node", "n", "pos", "comp", "is_main")]
+    small, large = p.where(room >= 2 * percent * F.col("n")), p.withColumns({"_low": low, "_high": high}).where("_low <= _high")
+    fits = (F.col("comp_x") != F.col("comp_y")) & ~(F.col("is_main_x") & F.col("is_main_y")) & (F.col("n_x") <= F.col("n_y")) & size_fits("n_x", "n_y", percent) & room_for("n_x", "pos_x", "n_y", "pos_y", percent)
+    cold = small.where(F.col("nodes") < _HOT).select("token", *side("x")).join(large.where(F.col("nodes") < _HOT).select("token", *side("y")).hint("merge"), "token").where(fits)
+    classes = F.explode(F.sequence(size_class(F.col("_low")), size_class(F.col("_high"))))
+    hot = small.where(F.col("nodes") >= _HOT).select("token", size_class(F.col("n")).alias("size"), *side("x"))
+    hot = hot.join(large.where(F.col("nodes") >= _HOT).select("token", classes.alias("size"), *side("y")), ["token", "size"]).where(fits)
+    met = cold.union(hot.select(*cold.columns))
     return met.select(F.least("node_x", "node_y").alias("x"), F.greatest("node_x", "node_y").alias("y")).distinct()
 
 
@@ -252,6 +274,6 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` but for those whose component has a smaller doc_id.  Rows that repeat a doc_id and its text
     stay or go together; rows with empty sets and with a null doc_id all stay."""
-    found = linked_components(docs, k, percent).where("n_shingles > 0 and component_id <> doc_id").select(F.col("doc_id").alias("_doc_id"), F.col("row").alias("_row")).distinct()
-    keyed = docs.withColumns({"_row": F.xxhash64("text"), "_doc_id": F.col("doc_id")})
-    return keyed.join(found, ["_doc_id", "_row"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = linked_components(docs, k, percent).where("n_shingles > 0 and component_id <> doc_id").select("doc_id", "row").distinct()
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"))
+    return keyed.join(found, ["doc_id", "row"], "left_anti").select("doc.*")
