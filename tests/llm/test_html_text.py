@@ -3,6 +3,8 @@ import re
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from lexiforge.llm import html_text as X
 
 DATA = "/root/testdata/sf0.01"
@@ -48,9 +50,40 @@ def test_sections_and_articles():
     assert X.main_text(page(f"<main><article>{p(many)}</article><article>{p(few)}</article></main>")) == want
 
 
+def test_names_inside_an_article_are_weak():
+    body = f"<article><header class='entry-header'><h1>Head</h1></header><p>{LONG}</p><h2 class='section-header'>Part</h2><p class='side note'>{LONG}</p><div class='share'>Share it</div><p>{LONG}</p></article>"
+    assert X.main_text(page(body)) == f"Head {LONG} Part {LONG} {LONG}"
+
+
+def _plain_page(tail):
+    """A page that says nothing by its tags and names: short loose lines, then text, then ``tail``."""
+    loose = "".join(f"<div>{w}</div>" for w in ("Start", "World", "Sport", "Money", "Shop", "Log in"))
+    return page(f"{loose}<div><p>{LONG} {LONG}</p><p>{LONG} {LONG} {LONG}</p>{tail}</div>" + "".join(f"<div>{w}</div>" for w in ("About", "Terms", "Help", "Jobs", "Press", "Imprint")))
+
+
+def test_ratios_decide_where_tags_and_names_do_not(monkeypatch):
+    want = f"{LONG} {LONG} {LONG} {LONG} {LONG} Yes. {LONG} {LONG}"
+    html = _plain_page(f"<div>Yes.</div><p>{LONG} {LONG}</p>")
+    assert X.main_text(html) == want
+    with monkeypatch.context() as m:  # without smoothing nothing vouches for the short block
+        m.setattr(X, "smoothed", lambda x, side=0: x)
+        assert X.main_text(html) == want.replace(" Yes.", "")
+    with monkeypatch.context() as m:  # without a threshold the menus stay
+        m.setattr(X, "split_in_two", lambda x: -1.0)
+        assert "Sport" in X.main_text(html) and "Terms" in X.main_text(html)
+    with monkeypatch.context() as m:  # without ratios the same
+        m.setattr(X, "smoothed", lambda x, side=0: np.ones(len(x)))
+        assert "Sport" in X.main_text(html)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.sampled_from(["<![foo[x]]>", "<![ x ]>", "<![CDATA[y]]>", "<!x>", "<!DOCTYPE", "<?p", "</", "<a href='", "<p>", "</div>", "<script>", "<!--", "-->", "&#x110000;", "&amp", "]]>", "<article>", "\x00", "text "]), st.text(max_size=5))).map("".join))
+def test_never_raises(html):
+    X.main_text(html)
+
+
 def test_broken_and_large_pages():
-    for text in ("<", "<a", "<!", "&", "</", "<p <p>", "<div" * 100, "<!--", "\x00"):
-        X.main_text(text)
+    assert X.main_text(page(f"<p>{LONG}</p><![foo[x]]><p>{LONG}</p><![ x ]>")) == f"{LONG} {LONG}"
     assert X.main_text("<div>" * 2000 + LONG + "</div>" * 2000) == LONG
     big = page("<article>" + f"<p>{LONG}</p>" * 5000 + "</article>")
     assert X.main_text(big) == " ".join([LONG] * 5000)
@@ -59,11 +92,13 @@ def test_broken_and_large_pages():
 def test_smoothing_and_threshold():
     x = np.array([0.0, 0, 10, 0, 0])
     assert X.smoothed(x).argmax() == 2 and X.smoothed(np.ones(4)) == pytest.approx(np.ones(4))
+    assert X.smoothed(x, -1)[1] == 0 < X.smoothed(x, -1)[3] and X.smoothed(x, 1)[3] == 0 < X.smoothed(x, 1)[1]
     assert 1 < X.split_in_two(np.array([0.0, 1, 9, 10])) < 9
 
 
 def test_rows(spark):
     rows = [(1, "u", None), (2, None, ""), (2, None, ""), (None, "v", page(f"<p>{LONG}</p>"))]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as n_chars")
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as n_chars", "'own' as text")
+    assert X.extracted(df).columns == ["page_id", "url", "n_chars", "text"]
     assert sorted(r.text for r in X.extracted(df).collect()) == ["", "", "", LONG]
     assert X.extracted(df.limit(0)).collect() == []
