@@ -1,9 +1,10 @@
 """Token-id files compressed by grammars.
 
 Documents are encoded in ascending doc_id order and cut into shards of consecutive ids.  In each shard frequent pairs of
-ids are replaced by nonterminals again and again (Re-Pair): each round counts all pairs, gives the most frequent ones a
-symbol each, and replaces them from left to right where they do not overlap.  A shard stores its rules, the length of
-each rule's expansion, and the remaining sequence; with the lengths any range of ids is decoded without the rest.
+ids are replaced by nonterminals again and again (Re-Pair) until no pair is frequent any more.  A round counts pairs
+and replaces each place whose pair is more frequent than those that overlap it; the next round need only look at what
+was frequent before and at the neighbours of new nonterminals.  A shard stores its rules, the length of each rule's
+expansion, and the remaining sequence; with the lengths any range of ids is decoded without the rest.
 
 Shards are rows of a Parquet table, so that writing is atomic for each task: ``part`` and ``shard`` give their order.
 
@@ -17,6 +18,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +31,14 @@ from lexiforge.llm.common import shared_path, small_or_shuffled, table, text_byt
 
 END = 1
 SHARD_IDS = 1 << 20
-ROUNDS = 8
-#: A pair is replaced from this many places on, and at most so many pairs a round.
+#: A pair is frequent from this many places on: a rule takes three numbers, each place saves one.
 LEAST = 6
-PAIRS = 8192
 PART_BYTES = 32 << 20
-#: Words a worker remembers the ids of.
-MAX_WORDS = 2_000_000
+#: Pieces a worker remembers the ids of.
+MAX_PIECES = 2_000_000
+#: Ids that reading back expands at a time, and parts whose starts are summed together.
+READ_IDS = 1 << 16
+PARTS = 1024
 
 
 @dataclass
@@ -53,19 +56,25 @@ class Grammar:
         out[big] = self.lengths[symbols[big] - self.base]
         return out
 
+    @cached_property
+    def ends(self) -> np.ndarray:
+        """Where the expansion of each symbol of the sequence ends."""
+        return np.cumsum(self._length(self.sequence))
+
     def expand(self, symbols: np.ndarray) -> np.ndarray:
-        while len(big := np.flatnonzero(symbols >= self.base)):
-            times = np.ones(len(symbols), np.int64)
-            times[big] = 2
-            at = np.cumsum(times) - times
-            out = np.repeat(symbols, times)
-            out[at[big]], out[at[big] + 1] = self.rules[symbols[big] - self.base].T
-            symbols = out
-        return symbols
+        size = self._length(symbols)
+        at = np.cumsum(size) - size
+        out = np.empty(int(size.sum()), np.int64)
+        while len(symbols):
+            big = symbols >= self.base
+            out[at[~big]] = symbols[~big]
+            left, right = self.rules[symbols[big] - self.base].T
+            symbols, at = np.concatenate((left, right)), np.concatenate((at[big], at[big] + self._length(left)))
+        return out
 
     def ids(self, start: int = 0, stop: int | None = None) -> np.ndarray:
         """The ids [start, stop); only the symbols that cover them are expanded."""
-        ends = np.cumsum(self._length(self.sequence))
+        ends = self.ends
         total = int(ends[-1]) if len(ends) else 0
         stop = total if stop is None else min(stop, total)
         if start >= stop:
@@ -75,41 +84,60 @@ class Grammar:
         return self.expand(self.sequence[a:b])[skip : skip + stop - start]
 
 
-def compress(ids: np.ndarray, rounds: int = ROUNDS, least: int = LEAST, pairs: int = PAIRS) -> Grammar:
+_SLOT_BITS = 20
+
+
+def _frequent(key: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Which of the keys occur ``least`` times or more, the distinct ones, the number of each that does, and counts."""
+    slot = ((key.astype(W.U64) * W.U64(0x9E3779B97F4A7C15)) >> W.U64(64 - _SLOT_BITS)).astype(np.int32)
+    at = np.flatnonzero(np.bincount(slot, minlength=1 << _SLOT_BITS)[slot] >= least)
+    known, which, count = np.unique(key[at], return_inverse=True, return_counts=True)
+    often = count[which] >= least
+    return at[often], known, which[often], count
+
+
+def compress(ids: np.ndarray, least: int = LEAST) -> Grammar:
     base = int(ids.max()) + 1 if len(ids) else 0
     sequence, rules, lengths = ids.astype(np.int64), [np.zeros((0, 2), np.int64)], np.zeros(0, np.int64)
-    slots = 1 << 20
-    for _ in range(rounds):
-        if len(sequence) < 2:
+    active = np.arange(len(sequence) - 1)  # every place of every pair that may be frequent
+    while len(active):
+        hit, known, which, count = _frequent((sequence[active] << 32) | sequence[active + 1], least)
+        active = active[hit]
+        if not len(active):
             break
-        key = (sequence[:-1] << 32) | sequence[1:]
-        slot = ((key.astype(W.U64) * W.U64(0x9E3779B97F4A7C15)) >> W.U64(44)).astype(np.int64)
-        often = np.bincount(slot, minlength=slots)[slot] >= least
-        known, count = np.unique(key[often], return_counts=True)
-        best = np.argsort(-count, kind="stable")[:pairs]
-        best = best[count[best] >= least]
-        if not len(best):
+        # equal ranks side by side are a run of one symbol, of whose places every other one may be taken
+        rank = count[which] * len(known) + which
+        beside = np.diff(active) == 1
+        same, rises, falls = beside & (rank[1:] == rank[:-1]), beside & (rank[1:] > rank[:-1]), beside & (rank[1:] < rank[:-1])
+        place = np.arange(len(active))
+        head = np.maximum.accumulate(np.where(np.append(True, ~same), place, 0))
+        take = (place - head) % 2 == 0
+        take[:-1] &= ~rises
+        take[1:] &= ~falls
+        tally = np.bincount(which[take], minlength=len(known))
+        used = np.flatnonzero(tally >= min(2, least))
+        if not len(used):
             break
         symbol = np.full(len(known), -1, np.int64)
-        symbol[best] = base + len(lengths) + np.arange(len(best))
-        at = np.flatnonzero(often)
-        new = symbol[np.searchsorted(known, key[at])]
-        at, new = at[new >= 0], new[new >= 0]
-        # of a run of places that overlap every other one is taken
-        head = np.ones(len(at), bool)
-        head[1:] = np.diff(at) != 1
-        run = np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))
-        take = (np.arange(len(at)) - run) % 2 == 0
-        at, new = at[take], new[take]
-        made = np.stack((known[best] >> 32, known[best] & 0xFFFFFFFF), axis=1)
+        symbol[used] = base + len(lengths) + np.arange(len(used))
+        take &= symbol[which] >= 0
+        made = np.stack((known[used] >> 32, known[used] & 0xFFFFFFFF), axis=1)
         rules.append(made)
         size = np.ones(made.shape, np.int64)
         size[made >= base] = lengths[made[made >= base] - base]
         lengths = np.append(lengths, size.sum(axis=1))
-        sequence[at] = new
+        at = active[take]
+        sequence[at] = symbol[which[take]]
         keep = np.ones(len(sequence), bool)
         keep[at + 1] = False
-        sequence = sequence[keep]
+        look = np.zeros(len(sequence), bool)
+        look[active] = True
+        look, sequence = look[keep], sequence[keep]
+        at -= np.arange(len(at))  # one symbol less for each place before
+        look[at] = True
+        look[at[at > 0] - 1] = True
+        look[len(sequence) - 1 :] = False
+        active = np.flatnonzero(look)
     return Grammar(base, np.concatenate(rules), lengths, sequence)
 
 
@@ -140,55 +168,136 @@ def read_shard(row: dict) -> tuple[list[int | None], np.ndarray, Grammar]:
     return [int(d) if k else None for k, d in zip(known, docs, strict=True)], _loosened(row["counts"], "<i8"), g
 
 
-class WordEncoder:
-    """A tokenizer that drops white space, asked word by word: what stands between white space is encoded on its own
-    and remembered, so each distinct word costs the tokenizer one call for as long as it is remembered."""
-
-    def __init__(self, path: str) -> None:
+#: Bytes by kind: white space, letters, digits, others, and those whose word is left to the tokenizer whole.
+_KIND = np.full(256, 3, np.uint8)
+_KIND[W.SPACE] = 0
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = 1
+_KIND[0x30:0x3A] = 2
+_KIND[[*range(0x80, 0x100), 0x27, 0x3C, *range(0x00, 0x09), *range(0x0E, 0x20), 0x7F]] = 4
+#: Second bytes, after 0xC3, of the letters from U+00C0 to U+00FF, and how far small ones lie behind.
+_LATIN = np.zeros(256, bool)
+_LATIN[0x80:0xC0] = True
+_LATIN[[0x97, 0xB7]] = False
+_SMALL = np.zeros(256, np.uint8)
+_SMALL[0x41:0x5B] = 32
+_SMALL_LATIN = np.zeros(256, np.uint8)
+_SMALL_LATIN[0x80:0x9F] = 32
+_SMALL_LATIN[0x97] = 0
+
+
+def pieces(data: np.ndarray, offsets: np.ndarray) -> W.Words:
+    """What the tokenizer encodes each on its own: of a word of letters up to U+00FF, digits and ASCII marks its runs of
+    letters, in small letters, its single digits and its runs of marks; any other word is a piece, unchanged."""
+    w = W.scan(data, offsets, W.SPACE)
+    if not len(w.begin):
+        return w
+    kind = _KIND[data]
+    lead = np.flatnonzero((data[:-1] == 0xC3) & _LATIN[data[1:]])
+    kind[lead] = kind[lead + 1] = 1
+    small = data + np.where(kind == 1, _SMALL[data], 0).astype(np.uint8)
+    small[lead + 1] = data[lead + 1] + _SMALL_LATIN[data[lead + 1]]
+    odd = np.zeros(len(data) + 1, np.int32)
+    np.cumsum(kind == 4, out=odd[1:])
+    whole = odd[w.end] > odd[w.begin]
+    inside = np.zeros(len(data) + 1, np.int8)
+    inside[w.begin[whole]] += 1
+    inside[w.end[whole]] -= 1
+    inside = np.cumsum(inside[:-1], dtype=np.int8).view(bool)
+    cut = np.zeros(len(data) + 1, bool)
+    cut[1:-1] = ((kind[1:] != kind[:-1]) | (kind[1:] == 2)) & (kind[1:] > 0) & (kind[:-1] > 0) & ~(inside[1:] & inside[:-1])
+    begins, ends = cut.copy(), cut
+    begins[w.begin] = ends[w.end] = True
+    begin = np.flatnonzero(begins)
+    return W.Words(np.where(inside, data, small), begin, np.flatnonzero(ends), np.searchsorted(begin, offsets), offsets)
+
+
+class _Grown:
+    """An array that is appended to."""
+
+    def __init__(self, kind) -> None:
+        self.data, self.size = np.zeros(1 << 16, kind), 0
+
+    def append(self, x: np.ndarray) -> None:
+        if self.size + len(x) > len(self.data):
+            self.data = np.concatenate((self.data[: self.size], np.zeros(max(len(x), self.size), self.data.dtype)))
+        self.data[self.size : self.size + len(x)] = x
+        self.size += len(x)
+
+
+class PieceEncoder:
+    """A tokenizer that drops white space, asked piece by piece: each distinct piece costs the tokenizer one call for as
+    long as it is remembered.  Pieces are found by one 64-bit hash and recognised by another."""
+
+    def __init__(self, path: str, limit: int = MAX_PIECES) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
         self._forget()
 
     def _forget(self) -> None:
-        self.known, self.size, self.at, self.flat = np.zeros(0, W.U64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []  # sorted hashes and the pieces' numbers; few large, then small ones
+        self.ids, self.ends, self.second = _Grown(np.int32), _Grown(np.int64), _Grown(W.U64)
+        self.ends.append(np.zeros(1, np.int64))
+
+    def _ask(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, h: np.ndarray, words: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    def _learn(self, h: np.ndarray, second: np.ndarray, texts: list[str]) -> np.ndarray:
+        found = self._ask(texts)
+        numbers = np.arange(self.ends.size - 1, self.ends.size - 1 + len(h))
         size = np.array([len(x) for x in found], np.int64)
-        flat = np.fromiter((i for x in found for i in x), np.int32, int(size.sum()))
-        if len(self.known) + len(h) > MAX_WORDS:
-            self._forget()
-        at = len(self.flat) + np.cumsum(size) - size
-        self.flat = np.concatenate((self.flat, flat))
-        where = np.searchsorted(self.known, h)
-        self.known, self.size, self.at = np.insert(self.known, where, h), np.insert(self.size, where, size), np.insert(self.at, where, at)
+        self.ends.append(self.ids.size + np.cumsum(size))
+        self.ids.append(np.fromiter((i for x in found for i in x), np.int32, int(size.sum())))
+        self.second.append(second)
+        level = h, numbers
+        while self.levels and len(self.levels[-1][0]) <= 2 * len(level[0]):
+            both = np.concatenate((self.levels[-1][0], level[0]))
+            order = np.argsort(both, kind="stable")
+            level = both[order], np.concatenate((self.levels.pop()[1], level[1]))[order]
+        self.levels.append(level)
+        return numbers
+
+    def _numbers(self, h: np.ndarray) -> np.ndarray:
+        """The numbers of the pieces with these sorted hashes, -1 for unknown ones."""
+        out = np.full(len(h), -1, np.int64)
+        for known, numbers in self.levels:
+            at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+            hit = known[at] == h
+            out[hit] = numbers[at[hit]]
+        return out
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and how many each text has."""
-        w = W.scan(data, offsets, W.SPACE)
-        distinct, example, number = np.unique(w.hashes(), return_index=True, return_inverse=True)
-        new = ~W.is_in(distinct, self.known)
-        if len(self.known) + new.sum() > MAX_WORDS:
+        w = pieces(data, offsets)
+        distinct, example, which = np.unique(w.hashes(), return_index=True, return_inverse=True)
+        number = self._numbers(distinct)
+        new = number < 0
+        if self.ends.size + new.sum() > self.limit:
             self._forget()
             new[:] = True
+        raw, second = w.data.tobytes(), w.second_hashes()
+        texts = lambda pick: [raw[a:b].decode() for a, b in zip(w.begin[pick].tolist(), w.end[pick].tolist(), strict=True)]
         if new.any():
-            raw = data.tobytes()
-            pick = example[new]
-            self._learn(distinct[new], [raw[a:b].decode() for a, b in zip(w.begin[pick].tolist(), w.end[pick].tolist(), strict=True)])
-        where = np.searchsorted(self.known, distinct)[number]
-        ids, ends = W.gather(self.flat, self.at[where], self.at[where] + self.size[where])
+            number[new] = self._learn(distinct[new], second[example[new]], texts(example[new]))
+        number = number[which]
+        begin, end, flat = self.ends.data[number], self.ends.data[number + 1], self.ids.data[: self.ids.size]
+        if (other := np.flatnonzero(self.second.data[number] != second)).size:  # two pieces with one hash
+            found = self._ask(texts(other))
+            size = np.array([len(x) for x in found])
+            end[other] = len(flat) + np.cumsum(size)
+            begin[other] = end[other] - size
+            flat = np.concatenate((flat, np.fromiter((i for x in found for i in x), np.int32)))
+        ids, ends = W.gather(flat, begin, end)
         return ids, np.diff(ends[w.first])
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[str, PieceEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str) -> PieceEncoder:
     if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
+        _ENCODERS[path] = PieceEncoder(path)
     return _ENCODERS[path]
 
 
@@ -229,26 +338,41 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = END) -> None:
     shards(docs, tokenizer, end).write.parquet(path)
 
 
+def _starts(totals: DataFrame) -> DataFrame:
+    """(part, shard, first): the ids before each shard of ``totals`` (part, shard, n_ids).  Sums run within parts, within
+    PARTS parts, and over these groups, of which there is one for some 32 GB of text."""
+    before = lambda w: F.sum("n_ids").over(w) - F.col("n_ids")
+    group = F.floor(F.col("part") / PARTS).alias("group")
+    parts = totals.groupBy("part").agg(F.sum("n_ids").alias("n_ids")).select("part", "n_ids", group)
+    groups = parts.groupBy("group").agg(F.sum("n_ids").alias("n_ids"))
+    groups = groups.select("group", before(Window.orderBy("group")).alias("_group"))
+    parts = parts.select("part", "group", before(Window.partitionBy("group").orderBy("part")).alias("_part"))
+    shards = totals.select("part", "shard", before(Window.partitionBy("part").orderBy("shard")).alias("_shard"))
+    return shards.join(parts, "part").join(groups, "group").select("part", "shard", (F.col("_shard") + F.col("_part") + F.col("_group")).alias("first"))
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document in the files at ``path``."""
     files = spark.read.schema(SHARD).parquet(path)
-    # one row a shard: a running sum over the shards' totals
-    totals = files.select("part", "shard", "n_ids")
-    starts = totals.withColumn("first", F.sum("n_ids").over(Window.orderBy("part", "shard")) - F.col("n_ids")).drop("n_ids")
+    starts = _starts(files.select("part", "shard", "n_ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 docs, counts, grammar = read_shard(row)
-                raw, ends = grammar.ids().astype("<u4").tobytes(), np.cumsum(counts)
-                view = memoryview(raw)
-                crc = [zlib.crc32(view[4 * int(a) : 4 * int(b)]) for a, b in zip(ends - counts, ends, strict=True)]
+                ends, crc, at = np.cumsum(counts), [], 0
+                while at < len(docs):  # by the expansion lengths, so many documents at a time as hold about READ_IDS
+                    low = int(ends[at] - counts[at])
+                    to = max(at + 1, int(np.searchsorted(ends, low + READ_IDS, side="right")))
+                    view = memoryview(grammar.ids(low, int(ends[to - 1])).astype("<u4").tobytes())
+                    crc += [zlib.crc32(view[4 * (b - n - low) : 4 * (b - low)]) for b, n in zip(ends[at:to].tolist(), counts[at:to].tolist(), strict=True)]
+                    at = to
                 columns = [pa.array([row["part"]] * len(docs), pa.int32()), pa.array([row["shard"]] * len(docs), pa.int32()), pa.array(docs, pa.int64()), pa.array(ends - counts), pa.array(counts), pa.array(crc, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=["part", "shard", "doc_id", "at", "n_tokens", "ids_crc32"])
 
     found = files.mapInArrow(run, "part int, shard int, doc_id long, at long, n_tokens long, ids_crc32 long")
-    placed = found.join(small_or_shuffled(starts, totals.count()), ["part", "shard"])
+    placed = found.join(small_or_shuffled(starts, files.count()), ["part", "shard"])
     return placed.select("doc_id", (F.col("first") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 

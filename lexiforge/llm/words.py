@@ -42,6 +42,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _LETTER = mix(np.arange(1, 257, dtype=U64) * _STEP)
+_LETTER_2 = mix(np.arange(1001, 1257, dtype=U64) * _STEP)
 
 
 class _Powers:
@@ -82,7 +83,7 @@ class Words:
     def text_of(self) -> np.ndarray:
         return np.repeat(np.arange(self.texts), self.counts)
 
-    def hashes(self) -> np.ndarray:
+    def hashes(self, letter: np.ndarray = _LETTER) -> np.ndarray:
         """A 64-bit hash of each word's bytes."""
         if not len(self.begin):
             return np.zeros(0, U64)
@@ -90,10 +91,14 @@ class Words:
         up, down = _Powers.of(n + 1)
         total = np.empty(n + 1, U64)
         total[0] = 0
-        np.cumsum(_LETTER[self.data] * up[:n], out=total[1:])
+        np.cumsum(letter[self.data] * up[:n], out=total[1:])
         value = (total[self.end] - total[self.begin]) * down[self.begin]
         return mix(value + (self.end - self.begin).astype(U64) * _STEP)
 
+    def second_hashes(self) -> np.ndarray:
+        """Another 64-bit hash of each word's bytes; both together identify a word."""
+        return self.hashes(_LETTER_2)
+
 
 def scan(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray, lower: bool = False) -> Words:
     """The words of the texts ``data[offsets[i]:offsets[i + 1]]``; offsets start at 0."""

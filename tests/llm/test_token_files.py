@@ -15,7 +15,6 @@ def theirs():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(T.public_tokenizer())
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
@@ -26,8 +25,11 @@ def ours(texts):
     return [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from(" \n\t\x0b'stΣσİ́각　\x85\x1c"), st.characters(exclude_categories=["Cs"])), max_size=30), min_size=1, max_size=5))
+PARTS = [*" \n\t\x0b'stΣσİ́각　\x85\x1cÀÿ×÷ßÉé12.,A<|>", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "'S", "I'LL"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.lists(st.one_of(st.sampled_from(PARTS), st.characters(exclude_categories=["Cs"])), max_size=30).map("".join), min_size=1, max_size=5))
 def test_word_by_word_equals_whole_texts(theirs, texts):
     assert ours(texts) == [theirs(t) for t in texts]
 
@@ -68,10 +70,36 @@ def test_edge_cases(spark, theirs):
     assert T.read(spark, path).collect() == []
 
 
-def test_forgetting(monkeypatch, theirs):
-    monkeypatch.setattr(T, "MAX_WORDS", 5)
-    texts = ["a b c d e f g h", "a b c", "x y z a"]
-    assert [ours([t])[0] for t in texts] == [theirs(t) for t in texts]
+def test_forgetting_and_equal_hashes(monkeypatch, theirs):
+    texts = ["a b c d e f g h", "a b c", "x y z a", "one two three", "six seven"]
+    want = [theirs(t) for t in texts]
+    for limit, width in ((5, 64), (1000, 3)):
+        monkeypatch.setattr(T.W.Words, "hashes", lambda w, *a, f=T.W.Words.hashes, width=width: f(w, *a) if a else f(w) >> np.uint64(64 - width))
+        monkeypatch.setitem(T._ENCODERS, T.public_tokenizer(), T.PieceEncoder(T.public_tokenizer(), limit))
+        assert [ours([t])[0] for t in texts] == want
+        assert ours(texts) == want
+        monkeypatch.undo()
+
+
+def test_no_frequent_pair_is_left():
+    rng = np.random.default_rng(1)
+    passage = rng.integers(0, 1000, 600)
+    ids = np.concatenate([x for _ in range(40) for x in (passage, rng.integers(0, 1000, 50))] + [np.full(5000, 7)])
+    g = T.compress(ids)
+    assert g.ids().tolist() == ids.tolist() and g.lengths.max() >= 600
+    pairs, count = np.unique(np.stack((g.sequence[:-1], g.sequence[1:]), axis=1), axis=0, return_counts=True)
+    # a run of one symbol holds the same pair at places that overlap
+    assert count[pairs[:, 0] != pairs[:, 1]].max() < T.LEAST
+
+
+def test_starts_of_many_parts(spark):
+    rows = [(p, s, (p * 7 + s * 3) % 11) for p in range(0, 3000, 3) for s in range(p % 4)]
+    want, total = {}, 0
+    for p, s, n in rows:
+        want[p, s] = total
+        total += n
+    got = T._starts(spark.createDataFrame(rows, "part int, shard int, n_ids long"))
+    assert {(r.part, r.shard): r["first"] for r in got.collect()} == want
 
 
 def test_whole_table(spark, theirs):
