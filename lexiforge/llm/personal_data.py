@@ -1,10 +1,12 @@
 """Personal data by weak supervision.
 
-Base patterns (email, ip, card, phone) are exact.  Wider patterns propose further candidates.  Labelers look at each
-candidate: its form, lists of words near it, its surroundings, its characters, a checksum; each votes for, against or not
-at all.  Expectation-maximisation estimates the labelers' reliabilities from the counts of all vote patterns, and a
-logistic classifier of a candidate's features is trained on the resulting probabilities.  Candidates that it accepts and
-that touch no base span are added.
+Base patterns (email, ip, card, phone) are exact, always reported, and no part of what is learned.  One wider pattern
+proposes further candidates, among them many that are no personal data: order numbers, versions, dates, hashes, numbers that
+fail their check.  Labelers look at each candidate: its format, gazetteers of announcing and of counting words near it, names
+and what follows them, its surroundings, its characters, a checksum.  Each votes for, against or, by default, not at all.
+Expectation-maximisation estimates the labelers' reliabilities from the counts of all vote patterns, and a logistic classifier
+of a candidate's features is trained on the resulting probabilities.  Candidates that it accepts and that touch no base span
+are added.
 
 Everything on the corpus is column expressions and one aggregate.  What comes to the driver are counts of equal vote and
 feature patterns, whose number is bounded by the labelers' and features' values and not by the corpus.
@@ -31,23 +33,52 @@ _EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-
 _IP = r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++){3}"
 _CARD = r"[0-9](?:[\x20-]?[0-9])++"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-_SECRET = r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*+[0-9])[A-Za-z0-9_+/=-]{20,}+"
-_IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])"
-_SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-_MAC = r"(?<![0-9A-Fa-f:-])(?=[A-Fa-f:-]*[0-9])[0-9A-Fa-f]{2}(?:[:-][0-9A-Fa-f]{2}){5}(?![0-9A-Fa-f:-])"
-_LOCAL = r"(?<![0-9+().-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9-])"
+
+# What the wider pattern may match, by kind; the first that fits at a place is taken.
+_SHAPES = {
+    "mac": r"[0-9A-Fa-f]{2}(?:[:-][0-9A-Fa-f]{2}){5}(?![0-9A-Fa-f:-])",
+    "iban": r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9_+/-])",
+    "secret": r"(?=[A-Za-z_+/-]*+[0-9])(?=[0-9_+/-]*+[A-Za-z])[A-Za-z0-9_+/-]{16,}+={0,2}",
+    "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "local_phone": r"[0-9]{3}[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9-])",
+    "identifier": r"[0-9]{1,19}(?:[./-][0-9]{1,12}){1,5}+(?![A-Za-z0-9])|[0-9]{6,}+(?![A-Za-z0-9])",
+}
 
 #: Kind: (what a text must hold to be searched at all, the pattern).  The base kinds come first, in the order of output.
 BASE = {"email": (r"@", _EMAIL), "ip": (r"[0-9]\.[0-9]", _IP), "card": (r"[0-9](?:[\x20-]?[0-9]){13}", _CARD), "phone": (r"\+[0-9]", _PHONE)}
-WIDER = {"secret": (_SECRET, _SECRET), "iban": (_IBAN, _IBAN), "ssn": (_SSN, _SSN), "mac": (_MAC, _MAC), "local_phone": (_LOCAL, _LOCAL)}
-KINDS = [*BASE, *WIDER]
-
-#: Words that announce personal data.
-GAZETTEER = ("token", "secret", "password", "passwd", "pwd", "api key", "apikey", "api_key", "key", "bearer", "iban", "account", "ssn", "social security", "mac", "phone", "tel", "call", "fax", "mobile", "mail", "contact", "card", "visa", "ip", "address")
-#: Words before a number that is none.
-COUNTERS = ("page", "figure", "fig", "table", "version", "vol", "no", "issue", "chapter", "isbn", "doi", "commit", "sha", "md5", "checksum")
-
-LABELERS = ("form", "words", "surroundings", "characters", "checksum")
+KINDS = [*BASE, "secret", "iban", "ssn", "mac", "local_phone", "person", "identifier"]
+
+#: Given names that begin a person's name.
+GIVEN = (
+    "James John Robert Michael William David Richard Joseph Thomas Charles Christopher Daniel Matthew Anthony Andrew Joshua Kenneth Kevin Brian George Edward Ronald Timothy Jason Jeffrey "
+    "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Nancy Margaret Ashley Kimberly Emily Michelle Amanda Melissa Deborah Stephanie Rebecca Laura Cynthia "
+    "Hans Peter Klaus Wolfgang Jürgen Dieter Manfred Günther Helmut Uwe Stefan Andreas Ursula Monika Petra Sabine Renate Helga Brigitte Ingrid Claudia Katrin "
+    "Jean Pierre Michel Philippe Alain Nicolas Jacques François Laurent Marie Nathalie Isabelle Sylvie Catherine Françoise Valérie "
+    "José Antonio Manuel Francisco Javier Carlos Miguel Rafael Pedro María Carmen Josefa Dolores Pilar Teresa Mercedes"
+).split()
+TITLES = ("mr", "mrs", "ms", "dr", "prof", "herr", "frau", "monsieur", "madame", "mme", "señor", "señora", "sr", "sra", "dear", "liebe", "lieber", "cher", "chère", "estimado", "estimada")
+#: Words after a name that make it that of a place or a body.
+BODIES = ("street", "avenue", "road", "university", "college", "school", "hospital", "inc", "ltd", "corp", "company", "foundation", "institute", "award", "prize", "museum", "church", "square", "bridge", "airport", "park", "island", "straße", "platz")
+#: Words that announce each kind.
+GAZETTEER = {
+    "secret": ("token", "secret", "password", "passwd", "passphrase", "pwd", "api key", "apikey", "api_key", "access key", "secret key", "private key", "key", "bearer", "authorization", "credential", "client secret", "session"),
+    "iban": ("iban", "account", "konto", "compte", "cuenta", "bank", "sparkasse", "volksbank", "barclays", "hsbc", "deutsche bank", "commerzbank", "santander", "bbva", "bnp paribas", "société générale", "ing", "unicredit", "lloyds"),
+    "ssn": ("ssn", "social security", "taxpayer id", "tax id", "itin"),
+    "mac": ("mac", "ether", "hwaddr", "hardware address", "physical address", "bssid"),
+    "local_phone": ("phone", "telephone", "tel", "call", "fax", "mobile", "cell", "telefon", "téléphone", "teléfono", "reach"),
+    "person": (*TITLES, "name", "contact", "signed", "regards", "sincerely", "attn", "attention", "patient", "customer", "employee"),
+    "identifier": ("passport", "driver license", "license number", "account", "customer id", "patient id", "member id", "national id", "steuernummer", "dni", "nie", "date of birth", "dob", "born", "birthday"),
+}
+#: Words before a number or a name of another sort.
+COUNTERS = (
+    "page", "figure", "fig", "table", "version", "release", "build", "vol", "volume", "no", "issue", "chapter", "section", "isbn", "issn", "doi", "commit", "revision", "sha", "md5", "checksum", "hash", "digest",
+    "order", "invoice", "ticket", "ref", "reference", "model", "part", "serial", "article", "item", "sku", "tracking", "case", "at", "in", "from", "since", "until", "about",
+)
+_NAME = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?(?:\x20\p{Lu}\p{Ll}+)?"
+_PERSON = rf"(?<![\p{{L}}0-9])(?=\p{{Lu}})(?:{'|'.join(GIVEN)})\x20{_NAME}"
+_NUMBERS = r"(?<![A-Za-z0-9_+/.-])(?:" + "|".join(_SHAPES.values()) + ")"
+
+LABELERS = ("format", "announced", "counted", "surroundings", "characters", "checksum")
 ROUNDS = 60
 ACCEPT = 0.5
 
@@ -66,6 +97,14 @@ def luhn(m: Column) -> Column:
     return let(_digits(m), lambda d: F.length(d).between(1, 19) & of(d))
 
 
+def iban_valid(m: Column) -> Column:
+    """Whether the number that letters (A is 10) and digits make, country and check digits last, is 1 modulo 97."""
+    turned = F.concat(F.substring(m, 5, 40), F.substring(m, 1, 4))
+    # a letter has two digits, which move what stands before by a factor of 100
+    step = lambda r, x: F.when(x.rlike("[0-9]"), (r * 10 + F.coalesce(x.try_cast("int"), F.lit(0))) % 97).otherwise((r * 100 + F.ascii(x) - 55) % 97)
+    return F.aggregate(F.filter(F.split(turned, ""), lambda x: x != ""), F.lit(0), step) == 1
+
+
 def _valid(kind: str, m: Column) -> Column:
     if kind == "ip":
         small = lambda p: let(F.regexp_replace(p, "^0+", ""), lambda q: (F.length(q) < 3) | ((F.length(q) == 3) & (q <= "255")))
@@ -81,7 +120,7 @@ CANDIDATES = "array<struct<start:int,kind:int,end:int,match:string,before:string
 
 
 def _found(text: Column, kind: str) -> Column:
-    asked, pattern = (BASE | WIDER)[kind]
+    asked, pattern = BASE[kind]
     number = KINDS.index(kind)
     hits = F.filter(spans(text, pattern), lambda x: _valid(kind, x["match"]))
     rows = F.transform(hits, lambda x: F.struct(x["start"].alias("start"), F.lit(number).alias("kind"), x["end"].alias("end"), x["match"].alias("match"), x["before"].alias("before"), x["after"].alias("after")))
@@ -95,18 +134,28 @@ def base_spans(text: Column) -> Column:
     return F.sort_array(F.concat(F.when(F.contains(text, F.lit("@")), found("email")).otherwise(F.array().cast(CANDIDATES)), numbers))
 
 
+def _kind(m: Column) -> Column:
+    """The kind of a wider candidate, by its shape."""
+    out = F.when(m.rlike(r"^\p{Lu}\p{Ll}+\x20"), KINDS.index("person"))
+    for kind, shape in _SHAPES.items():
+        out = out.when(m.rlike(f"^(?:{shape})$"), KINDS.index(kind))
+    return out.otherwise(KINDS.index("secret"))
+
+
 def wider_spans(text: Column, base: Column) -> Column:
-    """Candidates of the wider patterns that touch no base span and no candidate that begins before them."""
-    def free_of_base(t: Column) -> Column:
-        free = F.filter(F.sort_array(F.concat(*[_found(t, k) for k in WIDER])), lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-        return let(free, lambda a: F.filter(a, lambda x, i: ~F.exists(a, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]) & ((y["start"] < x["start"]) | ((y["start"] == x["start"]) & (y["kind"] < x["kind"]))))))
+    """Candidates of the wider patterns that touch no base span; numbers and names do not overlap."""
 
-    # all wider candidates hold a digit
-    return F.when(text.rlike("[0-9]"), free_of_base(text)).otherwise(F.array().cast(CANDIDATES))
+    def found(t: Column, pattern: str) -> Column:
+        rows = F.transform(spans(t, pattern, 64), lambda x: F.struct(x["start"].alias("start"), _kind(x["match"]).alias("kind"), x["end"].alias("end"), x["match"].alias("match"), x["before"].alias("before"), x["after"].alias("after")))
+        return F.filter(rows, lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
 
+    none = F.array().cast(CANDIDATES)
+    return F.concat(F.when(text.rlike("[0-9]"), found(text, _NUMBERS)).otherwise(none), F.when(text.rlike(_PERSON), found(text, _PERSON)).otherwise(none))
 
-def _words(near: Column, words: tuple[str, ...]) -> Column:
-    return F.lower(near).rlike(r"(?:^|[^a-z])(?:" + "|".join(words) + r")s?[^a-z]*(?:(?:is|was|at|to|no|number)[^a-z]*)?$")
+
+def _announced(near: Column, words: tuple[str, ...]) -> Column:
+    """Whether one of the words comes right before, but for marks and a few small words."""
+    return F.lower(near).rlike(r"(?:^|[^\p{L}])(?:" + "|".join(words) + r")s?[^\p{L}]*(?:(?:is|was|to|id|no|nr|number|address|ist|est|es)[^\p{L}]*){0,2}$")
 
 
 def votes(c: Column) -> dict[str, Column]:
@@ -114,25 +163,38 @@ def votes(c: Column) -> dict[str, Column]:
     kind, m = c["kind"], c["match"]
     is_kind = lambda *names: kind.isin(*[KINDS.index(n) for n in names])
     distinct = lambda x: F.size(F.array_distinct(F.split(x, "")))
-    strict = m.rlike(r"^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|gh[a-z]_[A-Za-z0-9]{36}|AKIA[0-9A-Z]{16}|[A-Za-z0-9+/]{40,}={0,2})$")
+    known_key = m.rlike(r"^(?:gh[opsur]_[A-Za-z0-9]{36}|github_pat_|glpat-|AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|AIza[A-Za-z0-9_-]{30,}|sk-[A-Za-z0-9-]{20,}|xox[abprs]-|eyJ[A-Za-z0-9_-]{10,})")
+    date = m.rlike(r"^(?:(?:19|20)[0-9]{2}[./-][01]?[0-9][./-][0-3]?[0-9]|[0-3]?[0-9][./-][0-3]?[0-9][./-](?:19|20)?[0-9]{2})$")
+    version = m.rlike(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){1,4}$")
+    own_word = F.lit(0)
+    for name, words in GAZETTEER.items():
+        own_word = F.when(is_kind(name), _announced(c["before"], words).cast("int")).otherwise(own_word)
+    quoted = c["before"].rlike(r"""[:=]\s*["'<(]?$""") & ~c["after"].rlike(r"^[\p{L}]")
+    in_prose = c["before"].rlike(r"\p{L},?\s$") & c["after"].rlike(r"^\s\p{Ll}")
+    glued = c["before"].rlike(r"[\p{L}0-9/_#@]$") | c["after"].rlike(r"^(?:[\p{L}0-9/_%@]|\.[\p{L}0-9])")
     return {
-        "form": F.when(is_kind(*BASE) | ~is_kind("secret"), 1).when(strict, 1).when(m.rlike("[-_=+/]{3}") | m.rlike("^[0-9-]+$"), -1).otherwise(0),
-        "words": F.when(_words(c["before"], GAZETTEER), 1).when(_words(c["before"], COUNTERS), -1).otherwise(0),
-        "surroundings": F.when(c["before"].rlike(r"""[:=]\s*["'<(]?$"""), 1).when(c["before"].rlike(r"[A-Za-z0-9/_]$") | c["after"].rlike(r"^(?:[A-Za-z0-9/_%]|\.[A-Za-z0-9])"), -1).otherwise(0),
-        "characters": let(distinct(m), lambda n: F.when(n >= 10, 1).when(n <= 4, -1).otherwise(0)),
-        "checksum": F.when(is_kind("card"), 1).when(is_kind("secret") & m.rlike("^[0-9]+$"), F.when(luhn(m), 1).otherwise(-1)).otherwise(0),
-    }
+        "format": F.when(known_key, 1).when(date | version | m.rlike("[-_=+/]{3}") | m.rlike("^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-"), -1).when(is_kind("person") & (F.lower(m).rlike(r"\s(?:" + "|".join(BODIES) + ")$") | F.lower(c["after"]).rlike(r"^\s(?:" + "|".join(BODIES) + r")(?![\p{L}])")), -1).otherwise(0),
+        "announced": own_word,
+        "counted": F.when(_announced(c["before"], COUNTERS), -1).otherwise(0),
+        "surroundings": F.when(quoted, 1).when(glued, -1).when(in_prose & ~is_kind("person"), -1).otherwise(0),
+        "characters": F.when(is_kind("identifier"), F.when(m.rlike("^[0-9]+$") & (F.length(m) > 12), -1).otherwise(0)).when(is_kind("secret"), let(distinct(m), lambda n: F.when((n >= 10) & m.rlike("[A-Za-z][0-9]|[0-9][A-Za-z]"), 1).when(n <= 6, -1).otherwise(0))).otherwise(0),
+        "checksum": F.when(is_kind("iban"), F.when(iban_valid(m), 1).otherwise(-1)).when(is_kind("ssn"), F.when(m.rlike("^(?:000|666|9)|-00-|-0000$"), -1).otherwise(0))
+        .when(is_kind("local_phone"), F.when(m.rlike(r"^[2-9][0-9]{2}.[2-9]"), 0).otherwise(-1)).when(is_kind("identifier") & F.length(_digits(m)).between(13, 19), F.when(luhn(m), 0).otherwise(-1)).otherwise(0),
+    }
 
 
 def traits(c: Column) -> dict[str, Column]:
     """A candidate's features, each with a few values."""
     m = c["match"]
     share = lambda pattern: F.floor(4 * F.length(F.regexp_replace(m, pattern, "")) / F.greatest(F.length(m), F.lit(1))).cast("int")
+    own_word = F.lit(0)
+    for name, words in GAZETTEER.items():
+        own_word = F.when(c["kind"] == KINDS.index(name), _announced(c["before"], words).cast("int")).otherwise(own_word)
     return {
         "kind": c["kind"], "length": F.least(F.floor(F.length(m) / 8), F.lit(8)).cast("int"), "digits": share("[^0-9]"), "upper": share("[^A-Z]"),
-        "before": F.when(c["before"] == "", 0).when(c["before"].rlike(r"\s$"), 1).when(c["before"].rlike(r"""["'(<\[]$"""), 2).when(c["before"].rlike("[:=]$"), 3).otherwise(4),
+        "before": F.when(c["before"] == "", 0).when(c["before"].rlike(r"\s$"), 1).when(c["before"].rlike(r"""["'<(\[]$"""), 2).when(c["before"].rlike("[:=]$"), 3).otherwise(4),
         "after": F.when(c["after"] == "", 0).when(c["after"].rlike(r"^\s"), 1).when(c["after"].rlike(r"""^[")'>\]]"""), 2).when(c["after"].rlike("^[.,;:!?]"), 3).otherwise(4),
-        "words": F.when(_words(c["before"], GAZETTEER), 1).otherwise(0),
+        "words": F.when(own_word == 1, 1).when(_announced(c["before"], COUNTERS), 2).otherwise(0),
     }
 
 
@@ -141,9 +203,9 @@ Pattern = tuple[tuple[int, ...], tuple[int, ...], int]  # votes, traits, count
 
 
 def patterns(docs: DataFrame) -> list[Pattern]:
-    """How often each combination of votes and traits occurs among all candidates of the corpus."""
+    """How often each combination of votes and traits occurs among the wider candidates of the whole corpus."""
     text = F.coalesce("text", F.lit(""))
-    found = docs.select(let(text, lambda t: let(base_spans(t), lambda b: F.concat(b, wider_spans(t, b)))).alias("_all")).where(F.size("_all") > 0)
+    found = docs.select(let(text, lambda t: wider_spans(t, base_spans(t))).alias("_all")).where(F.size("_all") > 0)
     each = found.select(F.explode("_all").alias("_c"))
     c = F.col("_c")
     each = each.select(*[v.cast("int").alias(f"v_{n}") for n, v in votes(c).items()], *[v.cast("int").alias(f"t_{n}") for n, v in traits(c).items()])
