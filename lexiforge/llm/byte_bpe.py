@@ -3,13 +3,13 @@
 Merges are compiled into a transducer whose states are found as they are needed.  The encoding of a text's prefixes
 obeys a local rule: the last token of a prefix is the one token that ends there and whose boundary with the last token
 of the shorter prefix survives all merges.  A state is a node of the token trie (the longest suffix that may still grow
-into a token) together with the last tokens of the prefixes at which such a token could start.  Tokens on which all of
-these prefixes agree are emitted, at the end of a piece or every few thousand bytes; the lookahead is bounded by the
-longest token.  Decoding feeds token
-bytes to an incremental UTF-8 machine.
+into a token) together with, for each place at which such a token could start, the last token before it and the tokens
+before it that are not emitted yet.  A transition emits the tokens on which all these places agree, so the lookahead is
+bounded by the longest token.  Decoding runs an incremental UTF-8 machine, whose transitions on whole tokens are found
+as they are needed too.
 
 Defined results: a null or empty text has no tokens; repeated rows are encoded alike; a decoder that is left with an
-unfinished or a wrong sequence puts U+FFFD there; other columns pass unused.
+unfinished or a wrong sequence puts U+FFFD there; added columns replace those of their names; other columns pass unused.
 """
 
 from __future__ import annotations
@@ -27,11 +27,8 @@ from pyspark.sql.types import StructType
 from lexiforge.llm.common import table
 
 #: States and pieces a worker keeps; both are built again when they are full.
-MAX_STATES = 400_000
+MAX_STATES = 250_000
 MAX_PIECES = 300_000
-DECODE_BLOCK = 4096
-#: Bytes of a long piece after which what is settled is emitted.
-SETTLE = 4096
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -87,9 +84,13 @@ class Merges:
                 return True
 
 
+#: Ids one after another.
+Tokens = tuple[int, ...]
+
+
 class Transducer:
-    """Bytes to tokens.  ``states[s]`` maps a byte to the next state and is filled on demand; ``last[s]`` is the last token
-    of the encoding of what has been read."""
+    """Bytes to tokens.  ``states[s]`` maps a byte to the next state and the tokens that the transition emits, and is filled
+    on demand; ``rest[s]`` are the tokens still to be emitted if the piece ends there."""
 
     def __init__(self, ranks: dict[bytes, int], max_states: int = MAX_STATES) -> None:
         self.merges = Merges(ranks)
@@ -124,20 +125,20 @@ class Transducer:
         return self.next[node][byte]
 
     def _clear(self) -> None:
-        self.states: list[dict[int, int]] = []
-        self.last: list[int] = []
-        self._of: list[tuple[int, tuple[int, ...]]] = []
+        self.states: list[dict[int, tuple[int, Tokens]]] = []
+        self.rest: list[Tokens] = []
+        self._of: list[tuple[int, tuple[tuple[int, Tokens], ...]]] = []
         self._known: dict[tuple, int] = {}
-        self._state(0, (-1,))
+        self._state(0, ((-1, ()),))
 
-    def _state(self, node: int, ends: tuple[int, ...]) -> int:
-        key = node, ends
+    def _state(self, node: int, places: tuple[tuple[int, Tokens], ...]) -> int:
+        key = node, places
         state = self._known.get(key)
         if state is None:
             state = self._known[key] = len(self.states)
             self.states.append({})
             self._of.append(key)
-            self.last.append(ends[-1])
+            self.rest.append(places[-1][1])
         return state
 
     def _chain(self, node: int) -> list[int]:
@@ -148,82 +149,101 @@ class Transducer:
             out.append(node)
         return out
 
-    def step(self, state: int, byte: int) -> int:
+    def step(self, state: int, byte: int) -> tuple[int, Tokens]:
         """The transition, determinised when first taken.  A state holds, for each suffix that may still grow, the last
-        token before it (-1: none)."""
-        node, ends = self._of[state]
+        token before it (-1: none) and the tokens before it that are not emitted."""
+        node, places = self._of[state]
         depth, token_of, part = self.depth, self.token, self.merges.part
-        end_at = {depth[n]: e for n, e in zip(self._chain(node), ends, strict=True)}
+        before_at = {depth[n]: p for n, p in zip(self._chain(node), places, strict=True)}
         to = self._go(node, byte)
         chain = self._chain(to)
         for n in chain:
             token = token_of[n]
-            if token >= 0 and ((before := end_at[depth[n] - 1]) < 0 or part(before, token)):
+            if token >= 0 and ((before := before_at[depth[n] - 1])[0] < 0 or part(before[0], token)):
                 break
         else:
             raise ValueError(f"byte {byte} is in no token")
-        out = self._state(to, (*[end_at[depth[n] - 1] for n in chain[:-1]], token))
+        now = [*(before_at[depth[n] - 1] for n in chain[:-1]), (token, (*before[1], token))]
+        agreed = 0
+        for same in zip(*(tokens for _, tokens in now), strict=False):
+            if same.count(same[0]) < len(same):
+                break
+            agreed += 1
+        emitted = now[0][1][:agreed]
+        out = self._state(to, tuple((last, tokens[agreed:]) for last, tokens in now)), emitted
         self.states[state][byte] = out
         return out
 
-    def encode(self, data: bytes) -> tuple[int, ...]:
+    def encode(self, data: bytes) -> Tokens:
         if len(self.states) > self.max_states:
             self._clear()
-        state, states, last, out, seen = 0, self.states, self.last, [], []
+        state, states, out = 0, self.states, []
         for byte in data:
-            state = states[state][byte] if byte in states[state] else self.step(state, byte)
-            seen.append(last[state])
-            if len(seen) >= SETTLE:
-                seen = self._settled(state, seen, out)
-        out += self._back(seen, len(seen))
+            to = states[state].get(byte)
+            state, emitted = to if to is not None else self.step(state, byte)
+            if emitted:
+                out += emitted
+        out += self.rest[state]
         return tuple(out)
 
-    def _back(self, seen: list[int], at: int) -> list[int]:
-        """The tokens of the first ``at`` bytes, from the last token of each prefix."""
-        out = []
-        while at > 0:
-            out.append(seen[at - 1])
-            at -= self.size[seen[at - 1]]
-        return out[::-1]
-
-    def _settled(self, state: int, seen: list[int], out: list[int]) -> list[int]:
-        """Emits the tokens that all prefixes at which a token may still begin agree on; returns the rest of ``seen``."""
-        open_ = {len(seen) - self.depth[n] for n in self._chain(self._of[state][0])}
-        while len(open_) > 1:
-            at = max(open_)
-            open_.remove(at)
-            open_.add(at - self.size[seen[at - 1]])
-        at = open_.pop()
-        out += self._back(seen, at)
-        return seen[at:]
-
 
 class Utf8Machine:
-    """Incremental UTF-8 decoding: the state is the unfinished sequence at the end of what was fed."""
+    """Incremental UTF-8 decoding.  The state is the sequence begun, at most three bytes; a wrong or unfinished sequence
+    gives one U+FFFD, and the byte that breaks it begins anew.  ``tokens`` may give whole tokens names; the machine's
+    way through them is remembered by state."""
 
-    def __init__(self) -> None:
-        self.pending = b""
+    def __init__(self, tokens: dict[int, bytes] | None = None) -> None:
+        self.tokens = tokens or {}
+        self.ways: dict[bytes, dict[int, tuple[str, bytes]]] = {}
+        self.state = b""
 
     @staticmethod
-    def unfinished(data: bytes) -> int:
-        """How many bytes at the end begin a sequence whose rest has not come."""
-        for back in range(1, min(3, len(data)) + 1):
-            byte = data[-back]
+    def step(state: bytes, byte: int) -> tuple[str, bytes]:
+        """What a byte makes known, and the next state."""
+        if not state:
             if byte < 0x80:
-                return 0
-            if byte >= 0xC0:
-                return back if back < 2 + (byte >= 0xE0) + (byte >= 0xF0) else 0
-        return 0
+                return chr(byte), b""
+            return ("", bytes((byte,))) if 0xC2 <= byte <= 0xF4 else ("\ufffd", b"")
+        lead = state[0]
+        low = {0xE0: 0xA0, 0xF0: 0x90}.get(lead, 0x80) if len(state) == 1 else 0x80
+        high = {0xED: 0x9F, 0xF4: 0x8F}.get(lead, 0xBF) if len(state) == 1 else 0xBF
+        if not low <= byte <= high:
+            text, state = Utf8Machine.step(b"", byte)
+            return "\ufffd" + text, state
+        more = lead >= 0xE0, lead >= 0xF0
+        if len(state) < 1 + sum(more):
+            return "", state + bytes((byte,))
+        code = lead & (0x1F, 0x0F, 0x07)[sum(more)]
+        for b in (*state[1:], byte):
+            code = code << 6 | b & 0x3F
+        return chr(code), b""
 
     def feed(self, data: bytes) -> str:
-        data = self.pending + data
-        back = self.unfinished(data)
-        self.pending = data[len(data) - back :]
-        return data[: len(data) - back].decode("utf-8", "replace")
+        out, state = [], self.state
+        for byte in data:
+            text, state = self.step(state, byte)
+            out.append(text)
+        self.state = state
+        return "".join(out)
+
+    def feed_tokens(self, ids: Iterable[int]) -> str:
+        out, ways, state = [], self.ways, self.state
+        for i in ids:
+            way = ways.get(state)
+            if way is None:
+                way = ways[state] = {}
+            found = way.get(i)
+            if found is None:
+                self.state = state
+                found = way[i] = self.feed(self.tokens[i]), self.state
+            text, state = found
+            out.append(text)
+        self.state = state
+        return "".join(out)
 
     def end(self) -> str:
-        rest, self.pending = self.pending, b""
-        return rest.decode("utf-8", "replace")
+        rest, self.state = self.state, b""
+        return "\ufffd" if rest else ""
 
 
 class Codec:
@@ -234,6 +254,7 @@ class Codec:
         self.split = regex.compile(pattern).findall
         self.transducer = Transducer(ranks)
         self.bytes_of = self.transducer.merges.bytes_of
+        self.utf8 = Utf8Machine(self.bytes_of)
         self.pieces: dict[str, tuple[int, ...]] = {}
 
     def encode(self, text: str) -> list[int]:
@@ -256,10 +277,7 @@ class Codec:
         return tokens
 
     def decode(self, ids: Iterable[int]) -> str:
-        ids, machine = list(ids), Utf8Machine()
-        part = self.bytes_of.__getitem__
-        blocks = (b"".join(map(part, ids[i : i + DECODE_BLOCK])) for i in range(0, len(ids), DECODE_BLOCK))
-        return "".join(map(machine.feed, blocks)) + machine.end()
+        return self.utf8.feed_tokens(ids) + self.utf8.end()
 
 
 _CODECS: dict[tuple[int, str], Codec] = {}
@@ -309,14 +327,16 @@ def _mapped(df: DataFrame, ranks: bytes, pattern: str, column: str, added: str,
     """``df`` with columns that ``of`` makes of ``column``; a batch is worked through a few hundred rows at a time."""
     shared = df.sparkSession.sparkContext.broadcast((ranks, pattern))
     at = df.columns.index(column)
-    schema = StructType([*df.schema.fields, *StructType.fromDDL(added).fields])
+    new = StructType.fromDDL(added).fields
+    kept = [i for i, c in enumerate(df.columns) if c not in {f.name for f in new}]
+    schema = StructType([*(df.schema[i] for i in kept), *new])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(*shared.value)
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                yield pa.RecordBatch.from_arrays([*part.columns, *of(c, part.column(at))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*(part.column(j) for j in kept), *of(c, part.column(at))], names=schema.names)
 
     return df.mapInArrow(run, schema)
 
