@@ -2,8 +2,9 @@
 
 Statistics are built-in column expressions.  The decision list is learned by sequential covering: a rule is a
 conjunction of thresholds that is grown on two thirds of the labelled rows, pruned on the rest and kept if it is
-precise; the rows it covers are taken out before the next rule is grown.  The list is emitted as one ordered
-CASE WHEN expression.
+precise; the rows it covers are taken out before the next rule is grown.  The bad rows that a rule covers which is not
+kept are no longer sought, and the search goes on until none is left.  The list is emitted as one ordered CASE WHEN
+expression.
 
 Defined results: a null text counts as empty, and empty texts fail the base rules; repeated rows are judged alike;
 without labels of both kinds the list is empty and only the base rules hold; a document with several labels has the
@@ -26,11 +27,10 @@ from lexiforge.llm.common import table
 TRAINING_ROWS = 20_000
 #: Thresholds tried for each statistic lie between so many quantiles of the training rows.
 CUTS = 40
-MAX_RULES = 16
-MAX_CONDITIONS = 4
-#: A rule must be right about this share of the rows it covers, and cover this many.
+#: A rule must be right about this share of the rows it covers, and cover so many bad ones, some of them for pruning.
 MIN_PRECISION = 0.97
 MIN_COVER = 5
+MIN_COVER_PRUNING = 1
 
 _WORD = r"[^\x20\x09-\x0D]+"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -155,7 +155,7 @@ def cover(counts: list[tuple[tuple[int, ...], bool, bool, int]], edges: dict[str
 
     def grow(rows):
         rule: list[tuple[int, bool, int]] = []
-        while len(rule) < MAX_CONDITIONS:
+        while True:
             bad = sum(n for _, b, _, n in rows if b)
             good = sum(n for _, b, _, n in rows if not b)
             if not bad or not good:
@@ -181,21 +181,21 @@ def cover(counts: list[tuple[tuple[int, ...], bool, bool, int]], edges: dict[str
         return rule
 
     rules: list[Rule] = []
-    left = counts
-    while len(rules) < MAX_RULES:
-        rule = grow([r for r in left if not r[2]])
-        if not rule:
-            break
+    left = sought = counts
+    while rule := grow([r for r in sought if not r[2]]):
         kept_out = [r for r in left if r[2]]
         worth = lambda rule: (lambda p, q: (p - q) / (p + q) if p + q else -1.0)(*tally(kept_out, rule))
         while len(rule) > 1 and worth(rule[:-1]) >= worth(rule):
             rule = rule[:-1]
         bad, good = tally(left, rule)
         out_bad, out_good = tally(kept_out, rule)
-        if bad < MIN_COVER or bad < MIN_PRECISION * (bad + good) or out_bad < MIN_PRECISION * (out_bad + out_good):
-            break
-        rules.append(tuple(Condition(RATIOS[i], above, edges[RATIOS[i]][cut]) for i, above, cut in rule))
-        left = [r for r in left if not all(holds(c, r[0]) for c in rule)]
+        covered = lambda r: all(holds(c, r[0]) for c in rule)
+        if bad >= MIN_COVER and out_bad >= MIN_COVER_PRUNING and bad >= MIN_PRECISION * (bad + good) and out_bad >= MIN_PRECISION * (out_bad + out_good):
+            rules.append(tuple(Condition(RATIOS[i], above, edges[RATIOS[i]][cut]) for i, above, cut in rule))
+            left = [r for r in left if not covered(r)]
+            sought = [r for r in sought if not covered(r)]
+        else:
+            sought = [r for r in sought if not (r[1] and covered(r))]
     return rules
 
 

@@ -66,3 +66,21 @@ def test_covering_prefers_precise_rules():
     counts = [(bins, is_bad, prune, n) for bins, is_bad, n in ((bad, True, 40), (zero, False, 60)) for prune in (False, True)]
     rules = Q.cover(counts, edges)
     assert [str(c) for r in rules for c in r] == ["symbols > 0.5"]
+
+
+def test_covering_goes_on_after_an_imprecise_rule():
+    edges = {x: [0.5] for x in Q.RATIOS}
+    at = lambda **on: tuple(int(x in on) for x in Q.RATIOS)
+    # most bad rows have many digits, but so have many good ones; the others have many marks, and no good one has
+    groups = [(at(digits=1), True, 90), (at(digits=1), False, 30), (at(marks=1), True, 20), (at(), False, 200)]
+    counts = [(bins, is_bad, prune, n) for bins, is_bad, n in groups for prune in (False, True)]
+    assert [str(c) for r in Q.cover(counts, edges) for c in r] == ["marks > 0.5"]
+
+
+def test_verdict_is_the_ordered_list(spark):
+    rules = [(Q.Condition("symbols", True, 0.1), Q.Condition("words", False, 60.0)), (Q.Condition("marks", True, 0.05),)]
+    texts = ["# " * 55, "# " * 90, "wo! " * 70, "word " * 70, "short"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select("doc_id", Q.judged(F.col("text"), rules).alias("s")).select("doc_id", "s.*")
+    for r in df.collect():
+        want = not r.base_failed and not (r.symbols > 0.1 and r.words <= 60) and not r.marks > 0.05
+        assert r.kept == want, r
