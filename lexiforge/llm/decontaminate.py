@@ -149,14 +149,14 @@ def contamination(
     docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", window: int = WINDOW, k: int = KGRAM, block_items: int = BLOCK_ITEMS, block_bytes: int = BLOCK_BYTES, carry: bool = False
 ) -> DataFrame:
     """One row per row of ``docs``: key, n_words, n_hit, n_items, items_sha256, contaminated; with ``carry`` instead
-    the columns of ``docs`` and contaminated."""
+    ``row``, a struct of the columns of ``docs``, and contaminated."""
     payload = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if carry else F.col(f"`{key}`")
     rows = docs.select(payload.alias("key"), "text", F.lit(0).cast("long").alias("n_words"), F.expr("array()").cast("array<int>").alias("spans"), F.expr("array()").cast("array<string>").alias("items"))
     for i, block in enumerate(read_blocks(benchmark, window, k, block_items, block_bytes)):
         rows = hold_against(materialise(rows, "hits") if i else rows, "key", block)
     hit = F.expr("aggregate(transform(spans, (x, i) -> if(i % 2 = 1, x, -x)), 0L, (s, x) -> s + x)")
     if carry:
-        return rows.select("key.*", (F.size("spans") > 0).alias("contaminated"))
+        return rows.select(F.col("key").alias("row"), (F.size("spans") > 0).alias("contaminated"))
     return rows.select(
         F.col("key").alias(key), "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"),
@@ -165,7 +165,7 @@ def contamination(
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` in which no benchmark window occurs."""
-    return contamination(docs, benchmark, carry=True).where(~F.col("contaminated")).drop("contaminated")
+    return contamination(docs, benchmark, carry=True).where(~F.col("contaminated")).select("row.*")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

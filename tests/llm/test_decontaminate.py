@@ -59,3 +59,13 @@ def test_whole_table_against_brute_force(spark):
     want = brute(read("documents", ["doc_id", "text"]), read("benchmark", ["item_id", "text"]))
     assert rows(got) == sorted(want, key=str)
     assert any(r[2] for r in want)
+
+
+def test_clean_with_clashing_names(spark):
+    item = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, f"so {item} then", "a", 1), (2, "nothing of it", "b", 2), (None, None, "c", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, contaminated string, row int")
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    out = D.clean(docs, benchmark)
+    assert out.columns == docs.columns and sorted(r.contaminated for r in out.collect()) == ["b", "c"]
+    assert D.clean(docs.limit(0), benchmark).collect() == [] and D.clean(docs, benchmark.limit(0)).count() == 3
