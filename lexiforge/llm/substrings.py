@@ -8,6 +8,10 @@ Before anything travels, a task settles what it can within a piece of about ``GR
 that are equal there only those of the smallest document go on.  So a passage that a third of all documents share
 reaches its bucket once a piece, not once a document.
 
+Buckets are dealt to tasks by number, so that each task has equally many.  A bucket that grows over ``HOT_BYTES``, because
+of a minimiser that very many windows share, is not settled where it lies: its strings are cut at a second minimiser under
+another hash and dealt anew, which splits it over many tasks and keeps equal windows together.
+
 Defined results: a null or empty text has no words and its hash is that of the empty string; a null doc_id is not
 smaller than any other and none is smaller than it; rows that repeat a doc_id are separate, and neither removes words
 from the other; a text of fewer than k words is kept whole; other columns pass unused.
@@ -25,12 +29,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiforge.llm import words as W
-from lexiforge.llm.common import GROUP_BYTES, buckets_for, table
+from lexiforge.llm.common import GROUP_BYTES, Scratch, buckets_for, table
 
 WINDOW = 13
 MINIMISER = 4
 LEVEL = 6
 
+#: Bytes of text from which on a bucket is dealt anew, into so many parts a multiple of it.
+HOT_BYTES = 16 * GROUP_BYTES
+HOT_PARTS = 4096
+#: Buckets a task has, as long as tasks are fewer than the next number.
+TASK_BUCKETS = 2
+MOST_TASKS = 100_000
+
 FLAGS = "doc_id long, row long, low int, high int"
 
 
@@ -180,39 +191,111 @@ def _piece(ids: np.ndarray, rows: np.ndarray, data: np.ndarray, offsets: np.ndar
     return out
 
 
-def settle(packed: DataFrame, k: int = WINDOW) -> DataFrame:
+def _opened(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Documents and rows of packed strings, (text, window) pairs settled before, and owner, place and bytes of each string."""
+    docs, rows, owner, place, texts, sizes, base, late = [], [], [], [], [], [], 0, []
+    for blob in blobs:
+        d, r, lists, flags, places, raw = unpack(blob)
+        late.append(np.stack((np.repeat(lists[:, 0], lists[:, 1]) + base, flags.astype(np.int64)), axis=1))
+        docs.append(d)
+        rows.append(r)
+        owner.append(places[:, 0] + base)
+        place.append(places[:, 1])
+        sizes.append(places[:, 2])
+        texts.append(raw)
+        base += len(d)
+    return *map(np.concatenate, (docs, rows, late, owner, place, sizes)), np.frombuffer(b"".join(texts), np.uint8)
+
+
+def _settled(blobs: list[bytes], k: int) -> tuple[np.ndarray, ...]:
+    """The columns of FLAGS for the strings of one bucket."""
+    docs, rows, late, owner, place, sizes, text = _opened(blobs)
+    if len(owner):
+        h, _, _, first = word_hashes(text, np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes))))
+        starts, string = windows_of(first, k)
+        doc = docs[owner[string]]
+        number, least = smallest(W.grams_at(h, starts, k), doc, starts, h, k)
+        found = np.flatnonzero(doc > least[number])
+        late = np.concatenate((late, np.stack((owner[string[found]], (starts - first[string] + place[string])[found]), axis=1)))
+    which, at = late[np.lexsort((late[:, 1], late[:, 0]))].T
+    head, tail = _runs(at, which[1:] == which[:-1]) if len(at) else (at, at)
+    return docs[which[head]], rows[which[head]], at[head].astype(np.int32), at[tail].astype(np.int32)
+
+
+def _dealt_anew(bucket: int, blob: bytes, k: int, m: int) -> list[tuple[int, bytes]]:
+    """The strings of a packed row, cut at a second minimiser and dealt to parts of the bucket."""
+    docs, rows, late, owner, place, sizes, text = _opened([blob])
+    offsets = np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes)))
+    h, begin, end, first = word_hashes(text, offsets)
+    starts, string = windows_of(first, k)
+    raw, out = text.tobytes(), []
+    if len(starts):
+        key = sliding_min(W.mix(W.grams(h, m) ^ W.U64(0x5BD1E995)), k - m + 1)[starts]
+        head, tail = _runs(starts, (key[1:] == key[:-1]) & (string[1:] == string[:-1]))
+        low, high = begin[starts[head]], end[starts[tail] + k - 1]
+        part = (W.mix(key[head]) % W.U64(HOT_PARTS)).astype(np.int64) + bucket * HOT_PARTS
+        for b in np.unique(part).tolist():
+            pick = np.flatnonzero(part == b)
+            used, where = np.unique(owner[string[head[pick]]], return_inverse=True)
+            at = starts[head[pick]] - first[string[head[pick]]] + place[string[head[pick]]]
+            out.append((b, pack(docs[used], rows[used], [], [raw[x:y] for x, y in zip(low[pick].tolist(), high[pick].tolist(), strict=True)], np.stack((where, at, high[pick] - low[pick]), axis=1))))
+    if len(late):
+        late = late[np.lexsort((late[:, 1], late[:, 0]))]
+        lists = [(int(x[0, 0]), x[:, 1]) for x in np.split(late, np.flatnonzero(np.diff(late[:, 0])) + 1)]
+        out.append((bucket * HOT_PARTS, pack(docs, rows, lists, [], np.zeros((0, 3), np.int64))))
+    return out
+
+
+def settle(packed: DataFrame, buckets: int, k: int = WINDOW, m: int = MINIMISER, hot: int | None = None) -> DataFrame:
     """(doc_id, row, low, high): runs of windows, from the first word of the first to that of the last, that a smaller
     document has as well."""
+    hot = HOT_BYTES if hot is None else hot
+    tables = Scratch(packed.sparkSession)
+    first = tables.write(_bucket_by_bucket(packed, buckets, k, m, hot), "settled")
+    again = first.where("bucket is not null").select("bucket", "packed")
+    if again.isEmpty():
+        return first.select("doc_id", "row", "low", "high")
+    rest = _bucket_by_bucket(again, buckets, k, m, None)
+    return first.where("bucket is null").union(rest).select("doc_id", "row", "low", "high")
+
+
+def _bucket_by_bucket(packed: DataFrame, buckets: int, k: int, m: int, hot: int | None) -> DataFrame:
+    """The flags of each bucket; instead of those, (bucket, packed) of the parts of one that is over ``hot``."""
+    names = ["doc_id", "row", "low", "high", "bucket", "packed"]
+    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("bucket", pa.int64()), ("packed", pa.binary())])
+
+    def flags(blobs: list[bytes]) -> pa.RecordBatch:
+        columns = _settled(blobs, k)
+        none = len(columns[0])
+        return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.nulls(none, pa.int64()), pa.nulls(none, pa.binary())], schema=schema)
+
+    def parts(bucket: int, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        for blob in blobs:
+            dealt = _dealt_anew(bucket, blob, k, m)
+            n = len(dealt)
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(n, t) for t in schema.types[:4]), pa.array([b for b, _ in dealt], pa.int64()), pa.array([x for _, x in dealt], pa.binary())], schema=schema)
 
-    def run(group: pa.Table) -> pa.Table:
-        docs, rows, owner, place, texts, sizes, base, late = [], [], [], [], [], [], 0, []
-        for blob in group.column(1).to_pylist():
-            d, r, lists, flags, places, raw = unpack(blob)
-            late.append((np.repeat(lists[:, 0], lists[:, 1]) + base, flags.astype(np.int64)))
-            docs.append(d)
-            rows.append(r)
-            owner.append(places[:, 0] + base)
-            place.append(places[:, 1])
-            sizes.append(places[:, 2])
-            texts.append(raw)
-            base += len(d)
-        docs, rows, owner, place, sizes = map(np.concatenate, (docs, rows, owner, place, sizes))
-        if len(owner):
-            offsets = np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes)))
-            h, _, _, first = word_hashes(np.frombuffer(b"".join(texts), np.uint8), offsets)
-            starts, string = windows_of(first, k)
-            doc = docs[owner[string]]
-            number, least = smallest(W.grams_at(h, starts, k), doc, starts, h, k)
-            found = np.flatnonzero(doc > least[number])
-            late.append((owner[string[found]], (starts - first[string] + place[string])[found]))
-        which, at = map(np.concatenate, zip(*late, strict=True))
-        order = np.lexsort((at, which))
-        which, at = which[order], at[order]
-        head, tail = _runs(at, which[1:] == which[:-1]) if len(at) else (order, order)
-        which = which[head]
-        return pa.table([docs[which], rows[which], at[head].astype(np.int32), at[tail].astype(np.int32)], names=["doc_id", "row", "low", "high"])
-
-    return packed.groupBy("bucket").applyInArrow(run, FLAGS)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held, size, over = None, [], 0, False
+        for batch in batches:
+            for b, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if b != bucket:
+                    if held:
+                        yield flags(held)
+                    bucket, held, size, over = b, [], 0, False
+                blob = blob.as_py()
+                held.append(blob)
+                size += zstandard.frame_content_size(blob)
+                over = over or (hot is not None and size > hot)
+                if over:
+                    yield from parts(bucket, held)
+                    held = []
+        if held:
+            yield flags(held)
+
+    n = min(MOST_TASKS, -(-buckets // TASK_BUCKETS))
+    dealt = packed.repartitionById(n, F.pmod("bucket", F.lit(n)).cast("int")).sortWithinPartitions("bucket")
+    return dealt.select("bucket", "packed").mapInArrow(run, ", ".join(f"{c} {t}" for c, t in zip(names, ("long", "long", "int", "int", "long", "binary"), strict=True)))
 
 
 def kept_words(raw: bytes, runs: list[int] | None, k: int) -> tuple[int, int, bytes]:
@@ -237,7 +320,8 @@ def kept_words(raw: bytes, runs: list[int] | None, k: int) -> tuple[int, int, by
 def deduplicated(docs: DataFrame, k: int = WINDOW, m: int = MINIMISER, buckets: int | None = None) -> DataFrame:
     """(doc_id, n_words, n_removed, kept) for each row of ``docs`` (doc_id, text)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text")
-    flags = settle(super_kmers(rows, buckets or buckets_for(docs), k, m), k)
+    buckets = buckets or buckets_for(docs)
+    flags = settle(super_kmers(rows, buckets, k, m), buckets, k, m)
     flags = flags.groupBy("doc_id", "row").agg(F.flatten(F.collect_list(F.array("low", "high"))).alias("runs"))
     joined = rows.join(flags, ["doc_id", "row"], "left").select("doc_id", "text", "runs")
 

@@ -65,3 +65,15 @@ def test_whole_table(spark):
     got = sorted((tuple(r) for r in S.op10_substring_dedup(spark, DATA).collect()), key=str)
     assert got == brute(docs)
     assert any(r[2] for r in got)
+
+
+@pytest.mark.parametrize("hot", [0, 2000])
+def test_hot_buckets_are_dealt_anew(spark, monkeypatch, hot):
+    monkeypatch.setattr(S, "HOT_BYTES", hot)
+    monkeypatch.setattr(S, "HOT_PARTS", 7)
+    rng = random.Random(6)
+    common = " ".join(f"c{i}" for i in range(30))
+    docs = [(rng.randrange(80), " ".join(rng.choice("abcdef") for _ in range(rng.randrange(80))) + " " + common * rng.randrange(2)) for _ in range(200)]
+    docs += [(None, common), (100, None), (101, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    assert result(S.deduplicated(df, k=5, m=2, buckets=3)) == brute(docs, 5)
