@@ -119,6 +119,32 @@ def test_near_families_against_brute_force(spark):
     assert {d for d, stays in out.items() if stays} == {*kept, 900, 901, None}
 
 
+def test_recall_of_bands():
+    """Of pairs at a similarity of 0.85 or more, made by edits of random texts, nine in ten share a bucket."""
+    rng = random.Random(9)
+    near = found = 0
+    for _ in range(400):
+        base = [rng.choice("abcdefghij klmnop") for _ in range(300)]
+        other = list(base)
+        for at in rng.sample(range(300), rng.randint(1, 6)):
+            other[at] = rng.choice("uvwxyz")
+        x, y = (dedup.shingles("".join(t)) for t in (base, other))
+        common = len(set(x.tolist()) & set(y.tolist()))
+        if common < 0.85 * (len(x) + len(y) - common):
+            continue
+        a, b = (dedup.signature(t).reshape(16, 8) for t in (x, y))
+        near += 1
+        found += bool((a == b).all(axis=1).any())
+    assert near > 150 and found >= 0.9 * near
+
+
+def test_shingles_are_distinct_windows():
+    for text in ("", "abc", "abcde", "abcdeabcde", "\U0001f600é漢x" * 9):
+        windows = {text[i : i + 5] for i in range(len(text) - 4)} or ({text} if text else set())
+        assert len(dedup.shingles(text)) == len(windows)
+    assert len(dedup.shingles(None)) == 0
+
+
 def test_keyword_clusters(spark):
     assert one(spark, "Bee ant the bee, cat x ant bee dog eel", discover.top_words(F.col("text"), "[a-z]+", ("the",), 4)) == ["bee", "ant", "cat", "dog"]
     texts = [("sail wind other sail",)] * 3 + [("sail rope",), ("rope sail",), ("wind mast",)] + [("",), (None,)]
