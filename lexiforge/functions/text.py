@@ -1,12 +1,16 @@
-"""Text statistics and quality as column expressions; nothing here leaves the JVM."""
+"""Text statistics and quality as column expressions; only character pairs are counted outside the JVM, in Arrow batches."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lexiforge.profiles import Profile
 
@@ -21,30 +25,36 @@ def script_ratio(text: Column, script: str) -> Column:
     return F.when(F.length(text) > 0, F.regexp_count(text, F.lit(f"[{script}]")) / F.length(text)).otherwise(0.0)
 
 
-def bigrams(text: Column) -> Column:
-    """Character pairs after white space is removed."""
-    chars = F.split(F.regexp_replace(text, r"(?U)\s+", ""), "")
-    return once(chars, lambda c: F.when(F.size(c) > 1, F.zip_with(F.slice(c, F.lit(1), F.size(c) - 1), F.slice(c, F.lit(2), F.size(c) - 1), lambda a, b: F.concat(a, b))).otherwise(F.array().cast("array<string>")))
+#: Unicode's white space.
+_BLANK = np.zeros(0x3001, bool)
+_BLANK[[*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = True
 
 
-def bigram_density(text: Column, minimum: int = 10) -> Column:
-    """Distinct character pairs over all; 0 for texts under ``minimum`` characters without white space."""
-    return once(bigrams(text), lambda b: F.when(F.size(b) + 1 < minimum, 0.0).otherwise(F.size(F.array_distinct(b)) / F.size(b)))
+def _pair_counts(text: str) -> tuple[int, np.ndarray]:
+    """Characters that are no white space, and how often each pair of neighbours among them occurs."""
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+    codes = codes[~_BLANK[np.minimum(codes, 0x3000)] | (codes > 0x3000)]
+    return len(codes), np.unique(codes[:-1] << 21 | codes[1:], return_counts=True)[1]
 
 
-def bigram_entropy(text: Column, minimum: int = 20) -> Column:
-    """Shannon entropy of character pairs in bits, from the runs of the sorted pairs: log2 n - sum(c log2 c) / n."""
+@F.pandas_udf(StructType([StructField("density", DoubleType()), StructField("entropy", DoubleType())]))
+def _pair_statistics(texts: pd.Series) -> pd.DataFrame:
+    density, entropy = [], []
+    for t in texts:
+        if t is None:
+            density.append(None)
+            entropy.append(None)
+            continue
+        n, counts = _pair_counts(t)
+        density.append(len(counts) / (n - 1) if n >= 10 else 0.0)
+        entropy.append(math.log2(n - 1) - float((counts * np.log2(counts)).sum()) / (n - 1) if n >= 20 else 0.0)
+    return pd.DataFrame({"density": density, "entropy": entropy}, dtype="float64")
 
-    def of(b: Column) -> Column:
-        starts = F.filter(F.transform(b, lambda x, i: F.when((i == 0) | (F.get(b, i - 1) != x), i).otherwise(-1)), lambda i: i >= 0)
 
-        def summed(s: Column) -> Column:
-            counts = F.transform(s, lambda x, i: (F.coalesce(F.get(s, i + 1), F.size(b)) - x).cast("double"))
-            return F.log2(F.size(b)) - F.aggregate(counts, F.lit(0.0), lambda a, c: a + c * F.log2(c)) / F.size(b)
-
-        return F.when(F.size(b) + 1 < minimum, 0.0).otherwise(once(starts, summed))
-
-    return once(F.sort_array(bigrams(text)), of)
+def pair_statistics(text: Column) -> Column:
+    """A struct of ``density``, distinct character pairs over all (0 under 10 characters without white space), and
+    ``entropy``, that of the pairs in bits (0 under 20)."""
+    return _pair_statistics(text)
 
 
 def is_ad(text: Column, profile: Profile) -> Column:
@@ -74,8 +84,9 @@ def count_of(text: Column, word: str) -> Column:
     return ((F.length(text) - F.length(F.replace(text, F.lit(word), F.lit("")))) / len(word)).cast("int")
 
 
-def quality_score(text: Column, matches: Column, keyword_score: Column, profile: Profile) -> Column:
-    """Additive score from 0 to 10: keywords, good length, forbidden phrases, dialogue, pair density, ending, entropy."""
+def quality_score(text: Column, matches: Column, keyword_score: Column, profile: Profile, pairs: Column | None = None) -> Column:
+    """Additive score from 0 to 10: keywords, good length, forbidden phrases, dialogue, pair density, ending, entropy.
+    ``pairs`` are the pair statistics of the text, if they are at hand."""
     forbidden = reduce(lambda a, b: a + b, [F.when(F.contains(text, F.lit(p)), 0.5).otherwise(0.0) for p in profile.forbidden], F.lit(0.0))
     quotes = reduce(lambda a, b: a + b, [count_of(text, q) for q in profile.quotes])
     n = F.length(text)
@@ -88,7 +99,8 @@ def quality_score(text: Column, matches: Column, keyword_score: Column, profile:
         ]
         return F.greatest(F.lit(0.0), F.least(F.lit(10.0), reduce(lambda a, b: a + b, parts)))
 
-    return F.when(text.isNotNull(), once(bigram_density(text), lambda d: once(bigram_entropy(text), lambda e: total(d, e))))
+    pairs = pair_statistics(text) if pairs is None else pairs
+    return F.when(text.isNotNull(), total(pairs["density"], pairs["entropy"]))
 
 
 def sentences(text: Column, enders: str = ".!?") -> Column:

@@ -118,8 +118,8 @@ _ENTROPY = """e as (select doc_id, log2(sum(k)) - sum(k * log2(k)) / sum(k) as h
 select doc_id, round(case when n_cs < 10 then 0.0 else list_unique(bs) / len(bs)::double end, 6) as density, round(case when n_cs < 20 then 0.0 else h end, 6) as entropy
 from b left join e using (doc_id)""")
 def bigram_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.col("text")
-    return _t(spark, sf_dir, "documents").select("doc_id", F.round(T.bigram_density(t), 6).alias("density"), F.round(T.bigram_entropy(t), 6).alias("entropy"))
+    pairs = _t(spark, sf_dir, "documents").select("doc_id", T.pair_statistics(F.col("text")).alias("_p"))
+    return pairs.select("doc_id", F.round("_p.density", 6).alias("density"), F.round("_p.entropy", 6).alias("entropy"))
 
 
 @query(f"""with {_PAIRS}, {_ENTROPY},
@@ -133,7 +133,8 @@ select doc_id, round(greatest(0.0, least(10.0, 4.5 + least(hits * 0.3, 1.5) + ca
 def quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     t, words = F.col("text"), LATIN.scenes[0].keywords
     hits = T.keyword_hits(t, words)
-    return _t(spark, sf_dir, "documents").select("doc_id", F.round(T.quality_score(t, hits, hits.cast("double"), LATIN), 6).alias("score"))
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "text", T.pair_statistics(t).alias("_p"))
+    return docs.select("doc_id", F.round(T.quality_score(t, hits, hits.cast("double"), LATIN, F.col("_p")), 6).alias("score"))
 
 
 def _count_sql(words: tuple[str, ...]) -> str:

@@ -30,9 +30,9 @@ def test_statistics(spark):
     t = F.col("text")
     assert one(spark, "", T.script_ratio(t, CJK.script)) == 0.0
     assert one(spark, "血牙ab", T.script_ratio(t, CJK.script)) == 0.5
-    assert one(spark, "abab abab abab", T.bigram_density(t)) == pytest.approx(2 / 11)
-    assert one(spark, "ab" * 20, T.bigram_entropy(t)) == pytest.approx(1.0, abs=0.01)
-    assert one(spark, "short", T.bigram_entropy(t)) == 0.0
+    assert one(spark, "abab abab abab", T.pair_statistics(t)["density"]) == pytest.approx(2 / 11)
+    assert one(spark, "ab" * 20, T.pair_statistics(t)["entropy"]) == pytest.approx(1.0, abs=0.01)
+    assert one(spark, "short", T.pair_statistics(t)["entropy"]) == 0.0
     assert one(spark, "x\nok line\n www.a.b \n  two  ", T.clean_lines(t, LATIN)) == "ok line\ntwo"
     assert one(spark, None, T.quality_score(t, F.lit(1), F.lit(1.0), LATIN)) is None
     assert one(spark, "", T.stylometrics(t, LATIN)).n_sentences == 0
