@@ -140,3 +140,20 @@ def keyword_hits(text: Column, words: tuple[str, ...]) -> Column:
 def keyword_count(text: Column, words: tuple[str, ...]) -> Column:
     """Occurrences of all words; a word listed twice counts twice."""
     return reduce(lambda a, b: a + b, [count_of(text, w) for w in words], F.lit(0))
+
+
+def lexeme_density(text: Column, words: tuple[str, ...]) -> Column:
+    """Occurrences of all words over characters, to three places; 0 for empty texts."""
+    return F.when(F.length(text) > 0, F.round(keyword_count(F.lower(text), words) / F.length(text), 3)).otherwise(0.0)
+
+
+def perspective(text: Column, persons: tuple[tuple[str, tuple[str, ...]], ...]) -> Column:
+    """The name of the person whose words occur most often, the first of equal ones; ``none`` without any."""
+    counts = F.array(*[F.struct(keyword_count(F.lower(text), words).alias("n"), F.lit(-i).alias("order"), F.lit(name).alias("name")) for i, (name, words) in enumerate(persons)])
+    return once(F.array_max(counts), lambda best: F.when(best["n"] > 0, best["name"]).otherwise("none"))
+
+
+def clauses(text: Column, low: int, high: int) -> Column:
+    """The parts between punctuation, trimmed, that have ``low`` to ``high`` characters."""
+    parts = F.transform(F.split(text, r"[.,;:!?\n]", -1), lambda x: F.trim(x))
+    return F.filter(parts, lambda x: F.length(x).between(low, high))

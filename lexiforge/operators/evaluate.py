@@ -11,7 +11,7 @@ def gain(relevance: Column, rank: Column, discount: str = "log2") -> Column:
     return relevance / (F.log2(rank + 1) if discount == "log2" else (rank + 1))
 
 
-def scores(ranked: DataFrame, k: int, discount: str = "log2", relevant: int = 2, expected: DataFrame | None = None) -> DataFrame:
+def scores(ranked: DataFrame, k: int, discount: str = "log2", relevant: int = 1, expected: DataFrame | None = None) -> DataFrame:
     """Per query NDCG@k, precision@k and, given ``expected`` (query_id, n_relevant), recall@k, which is 1 where nothing
     is expected.  The ideal order is that of the retrieved relevances; fewer than k hits count as 0; queries without
     any judgement have null scores."""
@@ -28,3 +28,14 @@ def scores(ranked: DataFrame, k: int, discount: str = "log2", relevant: int = 2,
         return out.drop("_hits")
     recall = F.when(F.coalesce("n_relevant", F.lit(0)) == 0, 1.0).otherwise(F.round(F.col("_hits") / F.col("n_relevant"), 4))
     return out.join(expected, "query_id", "left").select("query_id", "ndcg", "precision", recall.alias("recall"))
+
+
+def summary(scored: DataFrame, target: float) -> DataFrame:
+    """One row over all queries of ``scores``: their number, mean measures, and the share whose recall reaches the target."""
+    mean = lambda c: F.round(F.avg(c), 6).alias(f"mean_{c}")
+    return scored.agg(F.count("*").alias("n_queries"), mean("ndcg"), mean("precision"), mean("recall"), F.round(F.count_if(F.col("recall") >= target) / F.count("*"), 6).alias("pass_rate"))
+
+
+def grades(ranked: DataFrame, k: int) -> DataFrame:
+    """(query_id, relevance, n): how often each grade was given among the first k; null is not judged."""
+    return ranked.where(F.col("rank") <= k).groupBy("query_id", F.col("relevance").cast("long").alias("relevance")).agg(F.count("*").alias("n"))

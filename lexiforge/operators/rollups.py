@@ -68,3 +68,34 @@ def style_rollup(texts: DataFrame, by: str, pattern: str, k: int) -> DataFrame:
     listed = listed.select(by, F.array_join(F.transform("_w", lambda x: F.concat_ws(":", x["word"], x["n"].cast("string"))), ",").alias("words"))
     totals = texts.groupBy(by).agg(F.count("*").alias("n"), F.round(F.sum(F.length("text")) / F.count("text"), 6).alias("mean_length"))
     return totals.join(listed, by, "left")
+
+
+def effectiveness(rows: DataFrame, item: str, scene: str, score: str, good: float = 7.0, bad: float = 6.0, k: int = 3) -> DataFrame:
+    """Per item: uses, mean score, uses at ``good`` or more and below, and by their means the k best scenes that reach
+    ``good`` and the k worst under ``bad``, each as one string."""
+    scenes = rows.where(F.col(score).isNotNull()).groupBy(item, scene).agg(F.sum(score).alias("_sum"), F.count("*").alias("_n"), F.count_if(F.col(score) >= good).alias("_good"))
+    mean = F.round(F.col("_sum") / F.col("_n"), 6)
+    listed = lambda a: F.array_join(F.transform(F.slice(F.sort_array(a), 1, k), lambda x: x["scene"]), ",")
+    entry = lambda by: F.struct(by.alias("by"), F.col(scene).cast("string").alias("scene"))
+    out = scenes.groupBy(item).agg(
+        F.sum("_n").alias("n"), F.round(F.sum("_sum") / F.sum("_n"), 6).alias("mean"), F.sum("_good").alias("n_good"), F.collect_list(F.when(mean >= good, entry(-mean))).alias("_best"), F.collect_list(F.when(mean < bad, entry(mean))).alias("_worst"),
+    )
+    return out.select(item, "n", "mean", "n_good", (F.col("n") - F.col("n_good")).alias("n_below"), listed(F.col("_best")).alias("best"), listed(F.col("_worst")).alias("worst"))
+
+
+def lessons(logs: DataFrame, source: str, order: list[str], item: str, latest: int = 50, k: int = 10) -> DataFrame:
+    """(item, n, rank): the k most frequent items in the last ``latest`` rows of each source, over all sources."""
+    recent = keep_last(logs, [source], order, latest).where(F.col(item).isNotNull())
+    return recent.groupBy(item).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), item).limit(k)
+
+
+def recurring(rows: DataFrame, by: list[str], value: str, least: int = 2) -> DataFrame:
+    """Values that occur ``least`` times or more in a group, with their number."""
+    return rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+
+
+def sources(rows: DataFrame, by: str, of: str, key: str, samples: int = 20) -> DataFrame:
+    """Per group: rows, distinct values of ``of``, and its ``samples`` smallest keys as one string."""
+    first = rows.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(key))).where(F.col("_r") <= samples)
+    listed = first.groupBy(by).agg(F.array_join(F.transform(F.sort_array(F.collect_list(key)), lambda x: x.cast("string")), ",").alias("samples"))
+    return rows.groupBy(by).agg(F.count("*").alias("n"), F.count_distinct(of).alias("n_distinct")).join(listed, by, "left")

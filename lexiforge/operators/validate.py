@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -33,10 +33,11 @@ def longest_prefix(items: DataFrame, text: str, names: DataFrame, name: str) ->
     a name has, so it is an equi-join."""
     lengths = [r[0] for r in names.select(F.length(name)).distinct().orderBy(F.length(name).desc()).collect()]
     prefixes = F.array_distinct(F.filter(F.array(*[F.when(F.length(text) >= n, F.substring(text, 1, n)) for n in lengths]), lambda x: x.isNotNull())) if lengths else F.array().cast("array<string>")
-    numbered = items.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in items.columns]))
-    met = numbered.select("_row", F.explode_outer(prefixes).alias(name)).join(names.select(name).distinct().withColumn("_known", F.lit(True)), name, "left")
-    best = met.groupBy("_row").agg(F.max_by(F.when(F.col("_known"), F.col(name)), F.when(F.col("_known"), F.length(name))).alias(name))
-    return best.select("_row.*", name)
+    numbered = items.select(F.struct(*[F.col(f"`{c}`") for c in items.columns]).alias("_row"), prefixes.alias("_prefixes"))
+    numbered = numbered.groupBy("_row", "_prefixes").agg(F.count("*").alias("_n"))  # equal rows are looked up once and come back as often
+    met = numbered.select("_row", "_n", F.explode_outer("_prefixes").alias(name)).join(names.select(name).distinct().withColumn("_known", F.lit(True)), name, "left")
+    best = met.groupBy("_row", "_n").agg(F.max_by(F.when(F.col("_known"), F.col(name)), F.when(F.col("_known"), F.length(name))).alias(name))
+    return best.select("_row", name, F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select("_row.*", name)
 
 
 def prohibitions(texts: DataFrame, key: str, rules: Sequence[tuple[str, str, int]]) -> DataFrame:
@@ -56,3 +57,23 @@ def regressions(rows: DataFrame, by: str, order: list[str], value: str) -> DataF
     """Rows whose value is below that of the row before it in the group."""
     before = F.lag(value).over(Window.partitionBy(by).orderBy(*order))
     return rows.withColumn("before", before).where(F.col(value) < F.col("before"))
+
+
+def meets_limits(rows: DataFrame, by: str, measures: dict[str, Column], limits: dict[str, float]) -> DataFrame:
+    """(by, measures ..., n_met, passed): each group's mean of every measure, and whether all reach their limits."""
+    means = rows.groupBy(by).agg(*[F.round(F.avg(c), 6).alias(name) for name, c in measures.items()])
+    met = sum(((F.col(name) >= limit).cast("long") for name, limit in limits.items()), F.lit(0).cast("long"))
+    return means.withColumn("n_met", F.coalesce(met, F.lit(0))).withColumn("passed", F.col("n_met") == len(limits))
+
+
+def first_unknown(candidates: DataFrame, known: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """The first candidate of each key that is not known."""
+    first = Window.partitionBy(key).orderBy(*order)
+    new = candidates.join(known.select(key).distinct(), key, "left_anti")
+    return new.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
+
+
+def prefix_counts(rows: DataFrame, column: str, prefixes: Sequence[str]) -> DataFrame:
+    """(prefix, n): how many values begin with each prefix, in one pass."""
+    found = F.array(*[F.struct(F.lit(p).alias("prefix"), F.startswith(F.col(column), F.lit(p)).alias("hit")) for p in prefixes])
+    return rows.select(F.explode(found).alias("_p")).groupBy("_p.prefix").agg(F.count_if("_p.hit").alias("n"))

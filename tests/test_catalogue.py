@@ -1,4 +1,5 @@
 import pytest
+from lexiforge.plans import reports  # noqa: F401
 from lexiforge.plans.catalogue import QUERIES, SQL
 
 from tests.oracle import compare, connect
