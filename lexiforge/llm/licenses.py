@@ -80,12 +80,122 @@ _SINGLE = [
     ("freetype", r"freetype (?:project )?licen[cs]e", "freetype"), ("imagemagick", r"imagemagick licen[cs]e", "imagemagick"), ("qpl", r"q public licen[cs]e", "q public"), ("sleepycat", r"sleepycat licen[cs]e", "sleepycat"), ("watcom", r"sybase open watcom public licen[cs]e", "watcom"),
     ("w3c", r"w3c software (?:notice and )?licen[cs]e", "w3c"), ("x11", r"x consortium licen[cs]e", "consortium"), ("bittorrent", r"bittorrent open source licen[cs]e", "bittorrent"), ("ms-pl", r"microsoft public licen[cs]e", "microsoft"), ("ms-rl", r"microsoft reciprocal licen[cs]e", "microsoft"),
     ("nasa", r"nasa open source agreement", "nasa"), ("intel", r"intel open source licen[cs]e", "intel"), ("apple", r"apple public source licen[cs]e", "apple"), ("sun", r"sun (?:public|industry standards source) licen[cs]e", "sun "), ("mulan", r"mulan (?:psl|permissive software licen[cs]e)", "mulan"),
-    ("cc0", r"cc0(?: 1 0)?(?: universal)?", "cc0"), ("cc0", r"creative commons (?:zero|public domain dedication)", "creative commons"), ("cc", r"creative commons licen[cs]e", "creative commons"), ("openrail", r"(?:creativeml )?open ?rail(?: [ms])?(?: licen[cs]e)?", "open"),
+    ("cc0", r"cc0(?: 1 0)?(?: universal)?", "cc0"), ("cc0", r"creative commons (?:zero|public domain dedication)", "creative commons"), ("cc", r"creative commons licen[cs]e", "creative commons"), ("openrail", r"(?:creativeml )?openrail(?: [ms])?(?: licen[cs]e)?", "openrail"), ("openrail", r"open rail(?: [ms])?(?: licen[cs]e)?", "open rail"),
     ("llama", r"llama (?:2|3|3 1|3 2)? ?community licen[cs]e", "llama"), ("commons-clause", r"commons clause", "commons clause"), ("proprietary", r"all rights reserved", "all rights"), ("proprietary", r"proprietary and confidential", "proprietary"), ("proprietary", r"unauthorized copying of this file", "unauthorized"),
     ("gpl", r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public licen[cs]e", "free software"), ("gpl-2+", r"either version 2 of the licen[cs]e or (?:at your option )?any later version", "later version"), ("gpl-3+", r"either version 3 of the licen[cs]e or (?:at your option )?any later version", "later version"),
     ("agpl", r"remote network interaction use with the gnu general public licen[cs]e", "remote network"), ("apache-2", r"unless required by applicable law or agreed to in writing software distributed under the licen[cs]e", "applicable law"), ("mpl-2", r"this source code form is subject to the terms of the mozilla public licen[cs]e", "source code form"),
 ]
 
+# Sentences of license texts and of the notices that refer to them: label, pattern, keyword.
+_SENTENCES = [
+    ("mit", r"to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicen[cs]e and or sell copies", "to deal in the software"),
+    ("mit", r"the above copyright notice and this permission notice (?:including the next paragraph )?shall be included in all copies or substantial portions of the software", "substantial portions"),
+    ("mit", r"in no event shall the authors or copyright holders be liable for any claim damages or other liability", "copyright holders"),
+    ("mit", r"(?:released|licen[cs]ed|distributed|available) under the (?:terms of the )?mit licen[cs]e", "mit licen"),
+    ("x11", r"except as contained in this notice the name of .{1,80}? shall not be used in advertising or otherwise to promote the sale", "except as contained"),
+    ("bsd", r"redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "redistributions of source"),
+    ("bsd", r"redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer", "redistributions in binary"),
+    ("bsd", r"this software is provided by the (?:copyright holders|author|regents) and contributors as is and any express or implied warranties", "this software is provided by"),
+    ("bsd", r"loss of use data or profits or business interruption however caused and on any theory of liability", "business interruption"),
+    ("bsd-3", r"may be used to endorse or promote products derived from this software without specific prior written permission", "endorse or promote"),
+    ("bsd", r"use of this source code is governed by a bsd style licen[cs]e that can be found in the licen[cs]e file", "source code is governed"),
+    ("bsd-4", r"this product includes software developed by the university of california berkeley", "this product includes software"),
+    ("bsd-3-lbnl", r"you are under no obligation whatsoever to provide any bug fixes patches or upgrades", "no obligation whatsoever"),
+    ("bsd-3-clear", r"no express or implied licen[cs]es to any party s patent rights are granted by this licen[cs]e", "no express or"),
+    ("bsd-2-patent", r"subject to the terms and conditions of this licen[cs]e each copyright holder and contributor hereby grants", "each copyright holder"),
+    ("isc", r"permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted", "with or without fee"),
+    ("isc", r"the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness", "disclaims all warranties"),
+    ("isc", r"whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance", "tortious action"),
+    ("hpnd", r"permission to use copy modify and distribute this software and its documentation for any purpose", "and its documentation"),
+    ("hpnd", r"makes no representations about the suitability of this software for any purpose it is provided as is", "no representations about"),
+    ("ntp", r"the name .{1,60}? not be used in advertising or publicity pertaining to distribution of the software", "publicity pertaining"),
+    ("zlib", r"altered source versions must be plainly marked as such and must not be misrepresented as being the original software", "altered source"),
+    ("zlib", r"the origin of this software must not be misrepresented you must not claim that you wrote the original software", "the origin of this software"),
+    ("zlib", r"this notice may not be removed or altered from any source distribution", "this notice may not be"),
+    ("bsl-1", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation", "person or organization"),
+    ("bsl-1", r"must be included in all copies of the software in whole or in part and all derivative works of the software unless such copies", "unless such copies"),
+    ("apache-2", r"licen[cs]ed under the apache licen[cs]e version 2 0 the licen[cs]e you may not use this file except in compliance with the licen[cs]e", "except in compliance"),
+    ("apache-2", r"you may obtain a copy of the licen[cs]e at (?:http|https) www apache org licen[cs]es licen[cs]e 2 0", "obtain a copy of the"),
+    ("apache-2", r"without warranties or conditions of any kind either express or implied", "warranties or conditions"),
+    ("apache-2", r"each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable (?:copyright|patent) licen[cs]e", "royalty free"),
+    ("apache", r"licen[cs]ed to the apache software foundation asf under one or more contributor licen[cs]e agreements", "asf under"),
+    ("apache-1.1", r"this product includes software developed by the apache software foundation", "this product includes software"),
+    ("gpl", r"you should have received a copy of the gnu general public licen[cs]e along with this program", "should have received"),
+    ("gpl", r"this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty", "in the hope that it will"),
+    ("gpl", r"the licen[cs]es for most software are designed to take away your freedom to share and change it", "take away your"),
+    ("gpl-2", r"free software foundation inc (?:51 franklin st|59 temple place|675 mass ave)", "free software foundation"),
+    ("gpl-2", r"you must cause any work that you distribute or publish that in whole or in part contains or is derived from the program", "you must cause"),
+    ("gpl-3", r"the gnu general public licen[cs]e is a free copyleft licen[cs]e for software and other kinds of works", "free copyleft"),
+    ("gpl-3", r"corresponding source for a work in object code form means all the source code needed to generate install", "corresponding source"),
+    ("gpl-3", r"you may convey verbatim copies of the program s source code as you receive it", "convey verbatim"),
+    ("gpl-classpath", r"as a special exception the copyright holders of this library give you permission to link this library", "as a special exception"),
+    ("gpl-gcc-exception", r"gcc runtime library exception", "gcc runtime"),
+    ("lgpl", r"this library is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public licen[cs]e", "this library is"),
+    ("lgpl-2.1", r"either version 2 1 of the licen[cs]e or (?:at your option )?any later version", "later version"),
+    ("lgpl", r"a program that contains no derivative of any portion of the library but is designed to work with the library", "no derivative of"),
+    ("agpl-3", r"if you modify the program your modified version must prominently offer all users interacting with it remotely through a computer network", "prominently offer"),
+    ("agpl-3", r"specifically designed to ensure cooperation with the community in the case of network server software", "network server software"),
+    ("gfdl", r"permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation licen[cs]e", "modify this document"),
+    ("gfdl", r"with no invariant sections no front cover texts and no back cover texts", "invariant sections"),
+    ("mpl-2", r"if a copy of the mpl was not distributed with this file you can obtain one at", "copy of the mpl"),
+    ("mpl-2", r"this source code form is incompatible with secondary licen[cs]es", "secondary licen"),
+    ("mpl-1.1", r"the contents of this file are subject to the mozilla public licen[cs]e version 1 1", "contents of this file"),
+    ("mpl-1.1", r"software distributed under the licen[cs]e is distributed on an as is basis without warranty of any kind either express or implied", "on an as is basis"),
+    ("epl", r"this program and the accompanying materials are made available under the terms of the eclipse public licen[cs]e", "the accompanying materials"),
+    ("epl", r"the accompanying program is provided under the terms of this eclipse public licen[cs]e agreement", "accompanying program"),
+    ("cddl", r"the contents of this file are subject to the terms of the common development and distribution licen[cs]e", "contents of this file"),
+    ("cddl", r"include this cddl header notice in each file", "cddl header"),
+    ("cpl", r"the accompanying program is provided under the terms of this common public licen[cs]e agreement", "accompanying program"),
+    ("eupl", r"licen[cs]ed under the eupl", "eupl"), ("eupl", r"unless required by applicable law or agreed to in writing software distributed under the eupl", "eupl"),
+    ("osl-3", r"licen[cs]ed under the open software licen[cs]e version 3 0", "open software"), ("afl-3", r"licen[cs]ed under the academic free licen[cs]e version 3 0", "academic free"),
+    ("artistic", r"the intent of this document is to state the conditions under which a package may be copied", "the intent of this document"),
+    ("artistic-2", r"you are permitted to use the standard version and create and use modified versions for any purpose without restriction", "the standard version"),
+    ("perl", r"this (?:program|library|module) is free software you can redistribute it and or modify it under the same terms as perl itself", "as perl itself"),
+    ("lppl", r"this work may be distributed and or modified under the conditions of the latex project public licen[cs]e", "latex project"),
+    ("lppl", r"this work has the lppl maintenance status", "lppl"),
+    ("ofl-1.1", r"this font software is licen[cs]ed under the sil open font licen[cs]e", "font software"),
+    ("ofl-1.1", r"neither the font software nor any of its individual components in original or modified versions may be sold by itself", "individual components"),
+    ("ofl-1.1", r"no modified version of the font software may use the reserved font name", "reserved font"),
+    ("unlicense", r"anyone is free to copy modify publish use compile sell or distribute this software", "anyone is free"),
+    ("unlicense", r"we make this dedication for the benefit of the public at large and to the detriment of our heirs and successors", "heirs and successors"),
+    ("cc0", r"to the extent possible under law .{1,80}? has waived all copyright and related or neighboring rights", "extent possible"),
+    ("cc0", r"the person who associated a work with this deed has dedicated the work to the public domain", "this deed"),
+    ("cc", r"this work is licen[cs]ed under a creative commons", "this work is licen"), ("cc", r"creativecommons org licen[cs]es", "creativecommons"),
+    ("cc-by", r"you must give appropriate credit provide a link to the licen[cs]e and indicate if changes were made", "appropriate credit"),
+    ("cc-by-sa", r"if you remix transform or build upon the material you must distribute your contributions under the same licen[cs]e", "remix transform"),
+    ("cc-by-nc", r"you may not use the material for commercial purposes", "for commercial purposes"),
+    ("cc-by-nd", r"if you remix transform or build upon the material you may not distribute the modified material", "remix transform"),
+    ("wtfpl", r"you just do what the fuck you want to", "you just do"),
+    ("beerware", r"if we meet some day and you think this stuff is worth it you can buy me a beer", "buy me a beer"),
+    ("psf", r"psf hereby grants licen[cs]ee a nonexclusive royalty free world wide licen[cs]e", "psf hereby"),
+    ("psf", r"this licen[cs]e agreement is between the python software foundation", "python software"),
+    ("cnri", r"this licen[cs]e agreement is between the corporation for national research initiatives", "national research initiatives"),
+    ("php-3", r"products derived from this software may not be called php", "called php"), ("php-3", r"this product includes php software freely available from", "php software"),
+    ("openssl", r"this product includes software developed by the openssl project for use in the openssl toolkit", "openssl"),
+    ("ssleay", r"this product includes cryptographic software written by eric young", "cryptographic software"),
+    ("unicode", r"unicode (?:inc )?licen[cs]e agreement data files and software", "unicode"), ("icu", r"icu licen[cs]e icu 1 8 1 and later", "icu"),
+    ("libtiff", r"the names of sam leffler and silicon graphics may not be used in any advertising", "sam leffler"),
+    ("libpng", r"the png reference library is supplied as is", "png reference"), ("ijg", r"this software is based in part on the work of the independent jpeg group", "jpeg group"),
+    ("freetype", r"portions of this software are copyright .{1,40}? the freetype project", "freetype project"),
+    ("curl", r"copyright and permission notice copyright c 1996", "and permission notice"), ("vim", r"there are no restrictions on distributing unmodified copies of vim", "copies of vim"),
+    ("ruby", r"you may make and give away verbatim copies of the source form of the software without restriction", "give away verbatim"),
+    ("tcl", r"the authors hereby grant permission to use copy modify distribute and licen[cs]e this software and its documentation", "hereby grant permission"),
+    ("postgresql", r"permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement", "written agreement"),
+    ("ncsa", r"to deal with the software without restriction including without limitation the rights to use copy modify", "to deal with the software"),
+    ("zpl-2.1", r"this licen[cs]e has been certified as open source", "certified as open"), ("w3c", r"this work is being provided by the copyright holders under the following licen[cs]e", "being provided by"),
+    ("ms-pl", r"this licen[cs]e governs use of the accompanying software if you use the software you accept this licen[cs]e", "accompanying software"),
+    ("json", r"the software shall be used for good", "used for good"), ("mulan", r"mulan permissive software licen[cs]e", "mulan permissive"),
+    ("cecill", r"this software is governed by the cecill(?: [bc])? licen[cs]e under french law", "cecill"),
+    ("odbl", r"this .{1,40}? is made available under the open database licen[cs]e", "open database"), ("odc-by", r"open data commons attribution licen[cs]e", "open data commons"), ("pddl", r"(?:open data commons )?public domain dedication and licen[cs]e", "public domain"),
+    ("busl-1.1", r"the business source licen[cs]e this document or the licen[cs]e is not an open source licen[cs]e", "business source"), ("busl-1.1", r"effective on the change date or the fourth anniversary", "change date"),
+    ("sspl", r"if you make the functionality of the program or a modified version available to third parties as a service", "functionality of the program"),
+    ("elastic-2", r"you may not provide the software to third parties as a hosted or managed service", "hosted or managed"), ("commons-clause", r"the grant of rights under the licen[cs]e will not include and the licen[cs]e does not grant to you the right to sell", "right to sell"),
+    ("polyform", r"polyform (?:noncommercial|small business|shield|strict|free trial|internal use|perimeter) licen[cs]e", "polyform"), ("parity", r"the parity public licen[cs]e", "parity"), ("blueoak", r"blue oak model licen[cs]e", "blue oak"),
+    ("llama", r"llama 2 is licen[cs]ed under the llama 2 community licen[cs]e", "llama"), ("gemma", r"gemma is provided under and subject to the gemma terms of use", "gemma"), ("bigscience-rail", r"bigscience (?:rail|bloom rail) licen[cs]e", "bigscience"),
+    ("proprietary", r"this software is the (?:confidential and )?proprietary (?:information|property) of", "proprietary"), ("proprietary", r"you shall not disclose such confidential information and shall use it only in accordance with", "confidential information"),
+    ("proprietary", r"no part of this (?:publication|document|work|software) may be reproduced", "may be reproduced"), ("proprietary", r"redistribution and use .{0,40}?are not permitted without (?:prior|express) written", "not permitted without"), ("proprietary", r"for internal use only", "for internal use"),
+]
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -102,7 +212,7 @@ def _dotted(version: str) -> str:
 
 def rules() -> list[Rule]:
     """All rules in order.  A version ends at a word's end, so 2 does not match 2 1."""
-    out = [Rule(label, pattern, keyword, 0) for label, pattern, keyword in _SINGLE]
+    out = [Rule(label, pattern, keyword, 0) for label, pattern, keyword in (*_SENTENCES, *_SINGLE)]
     for label, name, short, versions in _VERSIONED:
         word = name.replace("(?:gnu )?", "").replace("(?:sil )?", "").replace("gnu (?:lesser|library) ", "").split(" (?:")[0].split(" licen")[0]
         for v in versions:

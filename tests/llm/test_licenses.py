@@ -39,7 +39,9 @@ def test_base_on_edge_cases(spark):
     [
         ("Licensed under the Apache License, Version 2.0.", "apache,apache-2"), ("This work is licensed under the GNU General Public License, version 3.", "gpl,gpl-3"), ("GNU Lesser General Public License v2.1", "lgpl-2.1"),
         ("Licensed under CC BY-NC 4.0.", "cc-by,cc-by-nc-4.0"), ("Creative Commons Attribution-ShareAlike 3.0", "cc-by-sa-3.0"), ("3-Clause BSD license", "bsd,bsd-3"), ("BSD 3-Clause", "bsd-3"), ("the Mozilla Public License 1.1", "mpl-1.1"),
-        ("Permission is hereby granted, free of charge, to any person obtaining a copy of this", "mit"), ("SPDX-License-Identifier: GPL-2.0-only", "gpl-2"), ("All rights reserved", "proprietary"), ("nothing of that kind, with an open mind", ""), ("die Freiheit, mit der er sun and rail", ""),
+        ("Permission is hereby granted, free of charge, to any person obtaining a copy of this", "mit"), ("SPDX-License-Identifier: GPL-2.0-only", "gpl-2"), ("All rights reserved", "proprietary"), ("nothing of that kind, with an open mind", ""), ("You should have received a copy of the GNU General Public License along with this program", "gpl"),
+        ("Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "bsd"), ("You may convey verbatim copies of the Program's source code as you receive it", "gpl-3"),
+        ("If a copy of the MPL was not distributed with this file, You can obtain one at", "mpl-2"), ("Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.", "zlib"), ("die Freiheit, mit der er sun and rail", ""),
     ],
 )
 def test_labels(spark, text, labels):
@@ -47,7 +49,9 @@ def test_labels(spark, text, labels):
 
 
 def test_keywords_are_needed():
-    assert len(L.RULES) > 250 and [r.rank for r in L.RULES] == sorted(r.rank for r in L.RULES)
+    for label, pattern, keyword in L._SENTENCES:
+        assert f" {keyword}" in " " + re.sub(r"\(\?:|\)\??", "", pattern.replace("[cs]e", "ce").replace("[cs]ee", "cee")), (label, keyword)
+    assert len(L._SENTENCES) + len(L._SINGLE) >= 200 and [r.rank for r in L.RULES] == sorted(r.rank for r in L.RULES)
     for r in L.RULES:
         re.compile(r.pattern)
 
