@@ -269,10 +269,21 @@ def base_places(norm: Column) -> Column:
     return F.sort_array(F.concat(*[one(p, label) for p, label in BASE.items()]))
 
 
+def gate(keywords: list[str]) -> str:
+    """A pattern for any of the keywords at a word's beginning, branched by their first two characters, so that most
+    places are passed over after one or two of them."""
+
+    def branches(words: list[str], depth: int) -> str:
+        if not depth or "" in words or len(words) == 1:
+            return "|".join(sorted(words))
+        return "|".join(f"{c}(?:{branches([w[1:] for w in words if w[0] == c], depth - 1)})" for c in sorted({w[0] for w in words}))
+
+    return f" (?:{branches(sorted(set(keywords)), 2)})"
+
+
 def detections(norm: Column, ordered: list[Rule] | None = None) -> Column:
     """What the rules find, without what others contain."""
     ordered = RULES if ordered is None else ordered
-    keywords = sorted({r.keyword for r in ordered})
     listed = F.array(*[F.struct(F.lit(r.label).alias("label"), F.lit(r.pattern).alias("pattern"), F.lit(r.keyword).alias("keyword"), F.lit(r.rank * 1000 + i).alias("rank")) for i, r in enumerate(ordered)])
     hits = F.flatten(F.transform(F.filter(listed, lambda r: F.contains(norm, F.concat(F.lit(" "), r["keyword"]))), lambda r: _intervals(norm, r["pattern"], r["rank"], r["label"])))
     within = lambda x, y: (y["low"] <= x["low"]) & (x["high"] <= y["high"])
@@ -280,7 +291,7 @@ def detections(norm: Column, ordered: list[Rule] | None = None) -> Column:
     class_of = lambda x: F.floor(x["rank"] / 1000)
     beaten = lambda x, y: within(x, y) & F.when(wider(x, y), class_of(y) <= class_of(x)).otherwise(y["rank"] < x["rank"])
     left = let(hits, lambda a: F.filter(a, lambda x: ~F.exists(a, lambda y: beaten(x, y))))
-    return F.when(norm.rlike(" (?:" + "|".join(keywords) + ")"), left).otherwise(F.array().cast(FOUND))
+    return F.when(norm.rlike(gate([r.keyword for r in ordered])), left).otherwise(F.array().cast(FOUND))
 
 
 def scanned(text: Column) -> Column:
