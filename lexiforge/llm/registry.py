@@ -27,8 +27,12 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 #: The other queries rest on trained models, tokenizer libraries or transitive links; tests hold them against brute-force
 #: versions.
 SQL: dict[str, str] = {
-    "op1_warc_histories": """with p as (select page_id, coalesce(html, '') as body, max(page_id) over (partition by coalesce(html, '')) as keep from pages)
-select page_id, octet_length(encode(body))::bigint as payload_bytes,
+    "op1_warc_histories": r"""with u as (select page_id, url, coalesce(html, '') as body, regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://)?(?:[^@/?#]*@)?([^/?#:]*)(?::(\d*))?([^?#]*)(?:\?([^#]*))?', ['host', 'port', 'path', 'query']) as m from pages),
+k as (select page_id, body, case when url is null then '' else array_to_string(list_reverse(string_split(regexp_replace(lower(m.host), '^www\d*\.', ''), '.')), ',') || case when m.port in ('', '80', '443') then '' else ':' || m.port end || ')'
+  || case when m.path = '' then '/' else lower(m.path) end || case when m.query = '' then '' else '?' || array_to_string(list_sort(string_split(lower(m.query), '&')), '&') end end as url_key,
+  strftime(make_timestamp((1704067200 + coalesce(page_id, 0) % 31536000) * 1000000), '%Y%m%d%H%M%S') as captured_at from u),
+p as (select *, max(page_id) over (partition by body) as keep, row_number() over (order by url_key, captured_at, page_id nulls first) - 1 as position from k)
+select page_id, url_key, captured_at, position, octet_length(encode(body))::bigint as payload_bytes,
   array_to_string(list_transform(range(32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(sha1(body), 5 * (j // 4) + 1, 5))::bigint >> (15 - 5 * (j % 4)))) & 31) + 1, 1)), '') as payload_digest,
   case when keep is not null and (page_id is null or page_id < keep) then 'revisit' else 'response' end as record_type,
   case when keep is not null and (page_id is null or page_id < keep) then keep end as refers_to from p""",

@@ -23,18 +23,21 @@ from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexiforge.llm.common import materialise, shared_path, small_or_shuffled, table
 
 #: Payloads of at least so many bytes are deduplicated.
 LEAST_BYTES = 0
-#: Records a file; an archive is read whole, so this bounds a reader's memory.
+#: Records and payload bytes a file (one record may be larger); an archive is read whole, so this bounds a reader's memory.
 FILE_RECORDS = 2000
+FILE_BYTES = 128 << 20
 #: Every so many captures of a run one is a sample; a range has about so many captures.
 SAMPLE_STEP = 32
 RANGE_CAPTURES = 20_000
+#: At most so many ranges: the keys that cut them are broadcast, so beyond it ranges grow instead.
+MAX_RANGES = 100_000
 
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _END = "\r\n\r\n"
@@ -76,9 +79,18 @@ def record(row: DataFrame) -> Column:
     )
 
 
-def write(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES, file_records: int = FILE_RECORDS) -> None:
+def write(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES, file_records: int = FILE_RECORDS, file_bytes: int = FILE_BYTES) -> None:
+    """Archives under ``path``.  Records go to them by classes of size, each 32 times as wide as the one below and with as
+    many fewer records a file, so that an archive stays within ``file_bytes`` or has one record."""
     rows = with_types(pages, least_bytes)
-    rows.select(record(rows).alias("value")).write.option("lineSep", _END).option("compression", "gzip").option("maxRecordsPerFile", file_records).text(path)
+    size = F.octet_length("payload")
+    largest = pages.agg(F.coalesce(F.max(F.octet_length("html")), F.lit(0))).head()[0]
+    low, high = -1, max(1, file_bytes // file_records)
+    while low < largest or low < 0:
+        some = rows.where((size > low) & (size <= high))
+        writer = some.select(record(some).alias("value")).write.option("lineSep", _END).option("compression", "gzip")
+        writer.option("maxRecordsPerFile", max(1, min(file_records, file_bytes // high))).text(f"{path}/upto-{high}")
+        low, high = high, high * 32
 
 
 def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes, int]]:
@@ -139,7 +151,7 @@ def runs(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), listed], names=["run", "captures"])
 
     kind = pa.list_(pa.struct(list(_ARROW)))
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     return files.mapInArrow(run, f"run string, captures array<struct<{', '.join(f.replace(' ', ':') for f in CAPTURE.split(', '))}>>")
 
 
@@ -200,8 +212,10 @@ def splitters(found: DataFrame, total: int, range_captures: int = RANGE_CAPTURES
 
 
 def histories(found: DataFrame, range_captures: int = RANGE_CAPTURES) -> DataFrame:
-    """All captures of the stored runs, with the range they are in and their place in it; (range, place) is the order."""
+    """All captures of the stored runs, with the range they are in, their place in it and their position among all,
+    counted from 0; (range, place) and position give the same order."""
     total = found.agg(F.coalesce(F.sum(F.size("captures")), F.lit(0))).head()[0]
+    range_captures = max(range_captures, -(-total // MAX_RANGES))
     cuts = found.sparkSession.sparkContext.broadcast(splitters(found, total, range_captures))
 
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,12 +236,15 @@ def histories(found: DataFrame, range_captures: int = RANGE_CAPTURES) -> DataFra
 
     listed = found.schema["captures"].dataType.simpleString()
     cut = found.select("run", "captures").mapInArrow(slices, f"range int, captures {listed}")
-    return cut.groupBy("range").applyInArrow(merge, f"range int, place long, {CAPTURE}")
+    merged = cut.groupBy("range").applyInArrow(merge, f"range int, place long, {CAPTURE}")
+    sizes = cut.groupBy("range").agg(F.sum(F.size("captures")).alias("_n"))  # a row a range, MAX_RANGES at most
+    before = sizes.select("range", (F.sum("_n").over(Window.orderBy("range")) - F.col("_n")).alias("_before"))
+    return merged.join(F.broadcast(before), "range").withColumn("position", F.col("_before") + F.col("place")).drop("_before")
 
 
 def op1_warc_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "archives")
     write(table(spark, sf_dir, "pages"), path)
-    return histories(materialise(runs(spark, path), "runs")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return histories(materialise(runs(spark, path), "runs")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured_at", "position")
 
 

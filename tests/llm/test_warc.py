@@ -48,8 +48,29 @@ def test_edge_cases(spark):
     assert found.count() >= 16
     merged = A.histories(found, range_captures=64)
     assert result(merged) == brute(pages)
-    keys = [r.key for r in merged.orderBy("range", "place").collect()]
+    rows = merged.orderBy("range", "place").collect()
+    keys = [r.key for r in rows]
     assert keys == sorted(keys) and merged.select("range").distinct().count() > 2
+    assert [r.position for r in rows] == list(range(len(pages)))
+
+
+def test_archives_are_bounded_by_bytes(spark):
+    pages = [(i, f"http://a.example/{i}", "ab"[i % 2] * (n + i)) for i, n in enumerate([10] * 50 + [3_000] * 20 + [90_000] * 5 + [4_000_000])]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    path = shared_path(spark, "test")
+    A.write(df, path, file_records=100, file_bytes=10_000)
+    found = materialise(A.runs(spark, path), "test")
+    sizes = [r.captures for r in found.collect()]
+    assert all(len(s) == 1 or sum(c.payload_bytes for c in s) <= 10_000 for s in sizes)
+    assert result(A.histories(found)) == brute(pages)
+
+
+def test_few_ranges_where_captures_are_many(spark, monkeypatch):
+    monkeypatch.setattr(A, "MAX_RANGES", 3)
+    pages = [(i, f"http://a.example/{i % 97}", f"p{i}") for i in range(400)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4)
+    merged = A.histories(there_and_back(spark, df, file_records=20), range_captures=8).collect()
+    assert len({r.range for r in merged}) <= 5 and len(merged) == 400
 
 
 def test_empty(spark):
