@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lexiforge.llm.byte_bpe import op7_byte_bpe
 from lexiforge.llm.decontaminate import op5_decontamination
+from lexiforge.llm.filter_audit import op12_filter_audit
 from lexiforge.llm.html_text import op9_html_extraction
 from lexiforge.llm.jaccard import op2_ngram_jaccard_join
 from lexiforge.llm.licenses import op4_license_scan
@@ -18,7 +19,7 @@ from lexiforge.llm.token_files import op8_token_files
 from lexiforge.llm.warc import op1_warc_histories
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_warc_histories, op2_ngram_jaccard_join, op3_personal_data, op4_license_scan, op5_decontamination, op6_quality_rules, op7_byte_bpe, op8_token_files, op9_html_extraction, op10_substring_dedup)
+    f.__name__: f for f in (op1_warc_histories, op2_ngram_jaccard_join, op3_personal_data, op4_license_scan, op5_decontamination, op6_quality_rules, op7_byte_bpe, op8_token_files, op9_html_extraction, op10_substring_dedup, op12_filter_audit)
 }
 _SPACE = r"'[^\x20\x09-\x0D]+'"
 _ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
@@ -50,4 +51,16 @@ m as (select g, min(doc_id) as least_id from w group by g), gone as (select dist
 a as (select doc_id, unnest(ws) as word, unnest(range(1, len(ws) + 1)) as p from d),
 k as (select doc_id, string_agg(word, ' ' order by p) as kept, count(*) as n from a anti join gone using (doc_id, p) group by doc_id)
 select doc_id, len(ws)::bigint as n_words, (len(ws) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from d left join k using (doc_id)""",
+    "op12_filter_audit": r"""with x as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+e as (select *, min(doc_id) over (partition by t) as least_id from x),
+f as (select doc_id, part, [len(ws) < 50, 100 * len(list_distinct(ws)) < 65 * len(ws), 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t), regexp_matches(t, '[#$%&*|]'), coalesce(least_id < doc_id, false)] as fails from e),
+l as (select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from labels group by doc_id),
+c as (select part, fails, list_sum(list_transform(fails, lambda b: b::int)) as n_fails, count(*) as n, coalesce(sum(good), 0) as good, coalesce(sum(toxic), 0) as toxic from f left join l using (doc_id) group by part, fails),
+k as (select unnest(['A', 'B', 'C', 'D', 'E']) as x), o as (select p.x || q.x || r.x || s.x || u.x as filter_order from k p, k q, k r, k s, k u where len(list_distinct([p.x, q.x, r.x, s.x, u.x])) = 5),
+st as (select filter_order, i as step, ascii(filter_order[i]) - 64 as own, list_transform(range(1, i), lambda j: ascii(filter_order[j]) - 64) as earlier from o, (select unnest(range(1, 6)) as i)),
+g as (select part, filter_order, step, n, good, toxic, n_fails, fails[own] as here, list_contains(list_transform(earlier, lambda j: fails[j]), true) as gone from c, st)
+select part, filter_order, step::int as step, coalesce(sum(n) filter (where not here and not gone), 0)::bigint as kept, coalesce(sum(n) filter (where here and not gone), 0)::bigint as removed,
+  coalesce(sum(n) filter (where here and gone), 0)::bigint as redundant, coalesce(sum(n) filter (where here and n_fails = 1), 0)::bigint as unique_fails,
+  coalesce(sum(good) filter (where here and not gone), 0)::bigint as good_lost, coalesce(sum(toxic) filter (where here and not gone), 0)::bigint as toxic_lost, coalesce(sum(n * 120 // greatest(n_fails, 1)) filter (where here), 0)::bigint as shapley
+from g group by part, filter_order, step""",
 }
