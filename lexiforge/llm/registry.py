@@ -14,12 +14,13 @@ from lexiforge.llm.jaccard import op2_ngram_jaccard_join
 from lexiforge.llm.licenses import op4_license_scan
 from lexiforge.llm.personal_data import op3_personal_data
 from lexiforge.llm.quality import op6_quality_rules
+from lexiforge.llm.spelling import op13_spelling_variants
 from lexiforge.llm.substrings import op10_substring_dedup
 from lexiforge.llm.token_files import op8_token_files
 from lexiforge.llm.warc import op1_warc_histories
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_warc_histories, op2_ngram_jaccard_join, op3_personal_data, op4_license_scan, op5_decontamination, op6_quality_rules, op7_byte_bpe, op8_token_files, op9_html_extraction, op10_substring_dedup, op12_filter_audit)
+    f.__name__: f for f in (op1_warc_histories, op2_ngram_jaccard_join, op3_personal_data, op4_license_scan, op5_decontamination, op6_quality_rules, op7_byte_bpe, op8_token_files, op9_html_extraction, op10_substring_dedup, op12_filter_audit, op13_spelling_variants)
 }
 _SPACE = r"'[^\x20\x09-\x0D]+'"
 _ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
@@ -63,4 +64,19 @@ select part, filter_order, step::int as step, coalesce(sum(n) filter (where not
   coalesce(sum(n) filter (where here and gone), 0)::bigint as redundant, coalesce(sum(n) filter (where here and n_fails = 1), 0)::bigint as unique_fails,
   coalesce(sum(good) filter (where here and not gone), 0)::bigint as good_lost, coalesce(sum(toxic) filter (where here and not gone), 0)::bigint as toxic_lost, coalesce(sum(n * 120 // greatest(n_fails, 1)) filter (where here), 0)::bigint as shapley
 from g group by part, filter_order, step""",
+    "op13_spelling_variants": r"""with recursive steps as (select i, i as x, 0 as k from (select unnest(range(256)) as i) union all select i, case when x & 1 = 1 then xor(3988292384, x >> 1) else x >> 1 end, k + 1 from steps where k < 8),
+crc as (select list(x order by i) as t from steps where k = 8),
+r as (select doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{00C0}-\x{00FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run from documents),
+g as (select doc_id, run, count(*) as n from r group by doc_id, run),
+b as (select *, flatten(list_transform(string_split(coalesce(doc_id::varchar, '') || ':' || run, ''), lambda c: case when unicode(c) < 128 then [unicode(c)] else [195, unicode(c) - 64] end)) as bytes from g),
+h as (select run, n, xor(list_reduce(list_prepend(4294967295::bigint, bytes::bigint[]), lambda s, y: xor(s >> 8, t[(xor(s, y) & 255) + 1])), 4294967295) as h from b, crc),
+w as (select case when h % 97 = 0 then substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) else run end as word, n from h),
+v as (select word, sum(n)::bigint as n from w group by word having length(word) >= 5 and sum(n) >= 3),
+k as (select word, n, i, substr(word, 1, i - 1) as a, substr(word, i + 1) as z from (select *, unnest(range(1, length(word) + 1)) as i from v)),
+p as (select x.word, y.word as other, y.n from k x join k y using (i, a, z) where x.word <> y.word
+  union select x.word, y.word, y.n from k x join v y on x.a || x.z = y.word union select y.word, x.word, x.n from k x join v y on x.a || x.z = y.word),
+m as (select word, count(*) as n_near, first(other order by n desc, other) as best, max(n) as best_n from p group by word),
+f as (select v.word, v.n, coalesce(n_near, 0) as n_near, case when best_n >= 2 * v.n then best end as form, case when best_n >= 2 * v.n then best_n end as form_n from v left join m using (word)),
+c as (select word, word as root, form as onward from f union all select c.word, c.onward, f.form from c join f on f.word = c.onward)
+select f.word, n, n_near, form, form_n, root from f join c on c.word = f.word and c.onward is null""",
 }
