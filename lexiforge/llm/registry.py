@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lexiforge.llm.bilinear import op11_lm_scoring
 from lexiforge.llm.byte_bpe import op7_byte_bpe
 from lexiforge.llm.decontaminate import op5_decontamination
 from lexiforge.llm.filter_audit import op12_filter_audit
@@ -20,7 +21,7 @@ from lexiforge.llm.token_files import op8_token_files
 from lexiforge.llm.warc import op1_warc_histories
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_warc_histories, op2_ngram_jaccard_join, op3_personal_data, op4_license_scan, op5_decontamination, op6_quality_rules, op7_byte_bpe, op8_token_files, op9_html_extraction, op10_substring_dedup, op12_filter_audit, op13_spelling_variants)
+    f.__name__: f for f in (op1_warc_histories, op2_ngram_jaccard_join, op3_personal_data, op4_license_scan, op5_decontamination, op6_quality_rules, op7_byte_bpe, op8_token_files, op9_html_extraction, op10_substring_dedup, op11_lm_scoring, op12_filter_audit, op13_spelling_variants)
 }
 _SPACE = r"'[^\x20\x09-\x0D]+'"
 _ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiforge.llm.common import Scratch, small_or_shuffled, table
+from lexiforge.llm.common import Scratch, table
 
 RUN = "[a-zÀ-ÿ]+"
 #: One run of a document in so many is misspelt by the rule of the data.
@@ -46,6 +46,8 @@ RATIO = 2
 _HELD = 200_000
 #: Words of a range of the sorted vocabulary, the most ranges, and words drawn for each to cut them evenly.
 RANGE_WORDS, MAX_RANGES, _DRAWN = 50_000, 4096, 50
+#: Words that one task cuts at all positions.
+_CUT_WORDS = 20_000
 
 
 def as_written(doc_id: int | None, run: str) -> str:
@@ -179,7 +181,9 @@ def neighbours(words: DataFrame, count: int, range_words: int = RANGE_WORDS) ->
     skip = lambda i: F.struct(F.get("prefix", i).alias("p"), F.get("suffix", size - i - 1).alias("s"), F.lit(True).alias("skip"), ((i == 0) | (letter(i) != letter(i - 1))).alias("first"))
     whole = lambda i: F.struct(F.get("prefix", i).alias("p"), F.get("suffix", size - i).alias("s"), F.lit(False).alias("skip"), F.lit(False).alias("first"))
     cuts = F.concat(F.transform(F.sequence(F.lit(0), size - 1), skip), F.transform(F.sequence(F.lit(0), size), whole))
-    cut = placed.select("n", "place", F.explode(cuts).alias("c")).select("c.*", "n", "place")
+    # a row becomes some twenty
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), count // _CUT_WORDS)
+    cut = placed.repartition(tasks, "place").select("n", "place", F.explode(cuts).alias("c")).select("c.*", "n", "place")
     # most frequent first, then the smallest word; ``first`` marks the first of equal code points, so that a pair of words
     # which can be had by skipping any of them counts once
     pair = cut.groupBy("p", "s").agg(F.sort_array(F.collect_list(F.struct("n", (-F.col("place")).alias("order"), "skip", "first")), False).alias("found"))
@@ -204,7 +208,7 @@ def roots(links: DataFrame) -> DataFrame:
     now = tables.write(links.select("place", F.col("to").alias("root")), "roots")
     while True:
         onward = now.select(F.col("place").alias("root"), F.col("root").alias("onward"))
-        moved = tables.write(now.join(small_or_shuffled(onward, onward.count()), "root", "left").select("place", F.coalesce("onward", "root").alias("root"), F.col("onward").isNotNull().alias("moved")), "roots")
+        moved = tables.write(now.join(onward, "root", "left").select("place", F.coalesce("onward", "root").alias("root"), F.col("onward").isNotNull().alias("moved")), "roots")
         tables.drop(now)
         now = moved
         if now.where("moved").isEmpty():
