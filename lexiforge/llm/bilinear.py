@@ -14,9 +14,10 @@ of one unknown word a class sum to one.
 
 * Counts cover all training tokens.  Only words of a count that at most ``HEAD_WORDS`` reach are broadcast; the others
   are joined to their counts by a shuffle, and add to a document's sums.
-* In each of ``ROUNDS`` rounds every task trains numpy arrays on all tokens of its part of the training documents,
-  starting from the same values; the results are averaged by their numbers of tokens, in a tree on the executors.  Size of
-  model: 2048 classes of 3 * 32 + 1 numbers, however large the corpus.
+* Every training token is learned from once, in ``ROUNDS`` rounds that share out the documents.  In a round every task
+  trains numpy arrays on its part of them, starting from the same values; the results are averaged by their numbers of
+  tokens, in a tree on the executors.  Size of
+  model: 2048 classes of 3 * 16 + 1 numbers, however large the corpus.
 
 Defined results: a null or empty text is one end token; a null doc_id has the checksum of the empty string (so it is
 trained on); rows that repeat a doc_id are scored and counted each; with no training documents N and V are 0 and the model
@@ -42,8 +43,8 @@ from lexiforge.llm.common import Scratch, table
 OWN, ENDINGS = 1536, 512
 CLASSES = OWN + ENDINGS
 #: Numbers of a vector, noise classes that a batch of tokens shares, tokens of a batch, and of the pool a batch is drawn from.
-WIDTH, NOISE, BATCH, POOL = 32, 64, 1024, 1 << 18
-#: Rounds over the tokens, the rate of learning, and what sums of squared gradients start from.
+WIDTH, NOISE, BATCH, POOL = 16, 64, 2048, 1 << 18
+#: Rounds that share out the documents, the rate of learning, and what sums of squared gradients start from.
 ROUNDS, RATE, DAMPING = 2, 0.1, 10.0
 #: The most words whose counts are broadcast.
 HEAD_WORDS = 1 << 18
@@ -107,7 +108,8 @@ class Vocabulary:
             if held > HEAD_WORDS:
                 break
             least = b.least
-        head = sorted(((r.n, bytes(r.word)) for r in counts.where(F.col("n") >= least).where(F.length("word") > 0).toLocalIterator()), key=lambda r: (-r[0], r[1]))
+        frequent = counts.where(F.col("n") >= least).where(F.length("word") > 0).select("n", "word").toArrow()  # HEAD_WORDS at most
+        head = sorted(zip(frequent.column(0).to_pylist(), frequent.column(1).to_pylist(), strict=True), key=lambda r: (-r[0], r[1]))
         numbered = {w: i for i, (_, w) in enumerate(head)}
         classes = np.array([i + 1 if i < OWN - 1 else ending(w) for i, (_, w) in enumerate(head)], np.uint16)
         n = np.array([x for x, _ in head], np.int64)
@@ -214,27 +216,39 @@ class Network:
 
     def _step(self, i: int, rows: np.ndarray, gradient: np.ndarray) -> None:
         """One step for the rows of array ``i``, with the gradients of equal rows added up."""
-        order = np.argsort(rows, kind="stable")
+        order = rows.argsort(kind="stable")
         rows = rows[order]
-        first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
-        g, at = np.add.reduceat(gradient[order], first), rows[first]
-        square = self.squares[i][at] + g * g
+        last = np.append(np.flatnonzero(rows[1:] != rows[:-1]), len(rows) - 1)
+        sums = gradient[order].cumsum(0)[last]
+        sums[1:] -= sums[:-1].copy()
+        at = rows[last]
+        square = self.squares[i][at] + sums * sums
         self.squares[i][at] = square
-        self.values[i][at] -= np.float32(RATE) * g / np.sqrt(square)
+        np.sqrt(square, out=square)
+        sums *= np.float32(RATE)
+        sums /= square
+        self.values[i][at] -= sums
 
     def learn(self, c1: np.ndarray, c2: np.ndarray, target: np.ndarray, noise: np.ndarray, expected: np.ndarray) -> None:
         """One step of noise-contrastive estimation.  ``noise`` are the classes drawn for the whole batch; ``expected`` by
         class the log of how many noise tokens of that class come with a token."""
         following, first, second, bias = self.values
-        h = first[c1] + second[c2]
+        h = first[c1]
+        h += second[c2]
         vectors, against = following[target], following[noise]
         miss = 1 / (1 + np.exp(expected[target] - np.einsum("ij,ij->i", h, vectors) - bias[target])) - 1
-        false = 1 / (1 + np.exp(expected[noise] - bias[noise] - h @ against.T))
-        back = miss[:, None] * vectors + false @ against
-        self._step(0, np.concatenate([target, noise]), np.concatenate([miss[:, None] * h, false.T @ h]))
-        self._step(3, np.concatenate([target, noise]), np.concatenate([miss, false.sum(0)]))
-        self._step(1, c1, back)
-        self._step(2, c2, back)
+        false = h @ against.T
+        np.subtract(expected[noise] - bias[noise], false, out=false)
+        np.exp(false, out=false)
+        false += 1
+        np.reciprocal(false, out=false)
+        vectors *= miss[:, None]
+        vectors += false @ against
+        known = np.concatenate([target, noise])
+        self._step(0, known, np.concatenate([miss[:, None] * h, false.T @ h]))
+        self._step(3, known, np.concatenate([miss, false.sum(0)]))
+        self._step(1, c1, vectors)
+        self._step(2, c2, vectors)
 
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Scores by (class one before, class), by (class two before, class), and log Z by (one before, two before)."""
@@ -248,7 +262,7 @@ class Network:
 def contexts(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(one before, two before, token) for all tokens of the sequences; before a sequence stand end tokens."""
     size = np.array([len(s) for s in sequences])
-    whole = np.zeros(size.sum() + 2 * len(size), np.int64)
+    whole = np.zeros(size.sum() + 2 * len(size), np.uint16)
     begin = np.cumsum(size + 2) - size
     at = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
     whole[at] = np.concatenate(sequences)
@@ -256,13 +270,13 @@ def contexts(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 def trained(rows: DataFrame, shares: np.ndarray, rounds: int = ROUNDS) -> Network:
-    """The network after ``rounds`` rounds over all tokens of ``rows`` (classes).  ``shares`` are the classes' shares of all
+    """The network after ``rounds`` rounds that take a share of ``rows`` (row, classes) each.  ``shares`` are the classes' shares of all
     tokens: the noise, and what the biases start from."""
     spark = rows.sparkSession
     network = Network.start(shares)
     length, tasks = len(network.flat()) + 1, rows.rdd.getNumPartitions()
     cumulated, expected = np.cumsum(shares), np.log(NOISE * shares).astype(np.float32)
-    for _ in range(rounds):
+    for r in range(rounds):
         shared = spark.sparkContext.broadcast((network, cumulated, expected))
 
         def learn(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -277,7 +291,7 @@ def trained(rows: DataFrame, shares: np.ndarray, rounds: int = ROUNDS) -> Networ
                 order = rng.permutation(len(target))
                 for i in range(0, len(order), BATCH):
                     of = order[i : i + BATCH]
-                    noise = np.minimum(np.searchsorted(cumulated, rng.random(NOISE)), CLASSES - 1)
+                    noise = np.minimum(np.searchsorted(cumulated, rng.random(NOISE)), CLASSES - 1).astype(np.uint16)
                     own.learn(c1[of], c2[of], target[of], noise, expected)
 
             pool, size = [], 0
@@ -294,7 +308,7 @@ def trained(rows: DataFrame, shares: np.ndarray, rounds: int = ROUNDS) -> Networ
             if seen:
                 yield from blocks.cut(part, np.append(own.flat(), 1.0) * seen, _BLOCK)
 
-        sums = blocks.merged(rows.select("classes").mapInArrow(learn, blocks.KIND), tasks, length, np.float64, _BLOCK, np.add)
+        sums = blocks.merged(rows.where(F.pmod(F.xxhash64("row"), F.lit(rounds)) == r).select("classes").mapInArrow(learn, blocks.KIND), tasks, length, np.float64, _BLOCK, np.add)
         if sums[-1]:
             network = Network.unflat(sums[:-1] / sums[-1])
     return network
