@@ -252,11 +252,14 @@ class Network:
 
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Scores by (class one before, class), by (class two before, class), and log Z by (one before, two before)."""
-        following, first, second, bias = (x.astype(np.float64) for x in self.values)
+        following, first, second, bias = self.values
         a, b = first @ following.T, second @ following.T + bias
         top_a, top_b = a.max(1, keepdims=True), b.max(1, keepdims=True)
-        z = np.log(np.exp(a - top_a) @ np.exp(b - top_b).T) + top_a + top_b.T
-        return a.astype(np.float32), b.astype(np.float32), z.astype(np.float32)
+        z = np.exp(a - top_a) @ np.exp(b - top_b).T
+        np.log(np.maximum(z, np.finfo(np.float32).tiny, out=z), out=z)
+        z += top_a
+        z += top_b.T
+        return a, b, z
 
 
 def contexts(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
