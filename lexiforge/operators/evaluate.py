@@ -30,10 +30,33 @@ def scores(ranked: DataFrame, k: int, discount: str = "log2", relevant: int = 1,
     return out.join(expected, "query_id", "left").select("query_id", "ndcg", "precision", recall.alias("recall"))
 
 
-def summary(scored: DataFrame, target: float) -> DataFrame:
-    """One row over all queries of ``scores``: their number, mean measures, and the share whose recall reaches the target."""
+def against_expected(ranked: DataFrame, expected: DataFrame, k: int, key: str, minimum: int = 1) -> DataFrame:
+    """(query_id, ndcg, recall, n_retrieved, n_expected) of retrieved rows (query_id, key, rank from 1) against expected ones
+    (query_id, key, relevance), with the linear discount.  The ideal order is that of the expected relevances; what is
+    retrieved and not expected has none.  Expected rows of less than ``minimum`` do not count for recall; where nothing is
+    expected recall is 1 and NDCG 0.  Queries of either table are in the result."""
+    wanted = expected.select("query_id", key, F.coalesce("relevance", F.lit(0)).alias("relevance"))
+    order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("relevance").desc(), key))
+    first = wanted.withColumn("_i", order)
+    ideal = first.groupBy("query_id").agg(
+        F.sum(F.when(F.col("_i") <= k, gain(F.col("relevance"), F.col("_i"), "linear"))).alias("_best"), F.count_if(F.col("relevance") >= minimum).alias("_wanted"), F.count("*").alias("_expected"),
+    )
+    met = ranked.where(F.col("rank") <= k).join(wanted, ["query_id", key], "left")
+    found = met.groupBy("query_id").agg(
+        F.sum(F.coalesce(gain(F.col("relevance"), F.col("rank"), "linear"), F.lit(0.0))).alias("_dcg"), F.count_if(F.col("relevance") >= minimum).alias("_hits"), F.count("*").alias("_retrieved"),
+    )
+    none = lambda c: F.coalesce(c, F.lit(0))
+    return found.join(ideal, "query_id", "full_outer").select(
+        "query_id", F.round(F.when(none("_best") == 0, 0.0).otherwise(none("_dcg") / F.col("_best")), 4).alias("ndcg"),
+        F.round(F.when(none("_wanted") == 0, 1.0).otherwise(none("_hits") / F.col("_wanted")), 4).alias("recall"), none("_retrieved").alias("n_retrieved"), none("_expected").alias("n_expected"),
+    )
+
+
+def summary(scored: DataFrame, target: float, by: str | None = None) -> DataFrame:
+    """Over the queries of ``against_expected``: their number, mean measures, and the share whose recall reaches the target;
+    with ``by`` for each of its values too, and null for all."""
     mean = lambda c: F.round(F.avg(c), 6).alias(f"mean_{c}")
-    return scored.agg(F.count("*").alias("n_queries"), mean("ndcg"), mean("precision"), mean("recall"), F.round(F.count_if(F.col("recall") >= target) / F.count("*"), 6).alias("pass_rate"))
+    return (scored.rollup(by) if by else scored.groupBy()).agg(F.count("*").alias("n_queries"), mean("ndcg"), mean("recall"), F.round(F.count_if(F.col("recall") >= target) / F.count("*"), 6).alias("pass_rate"))
 
 
 def grades(ranked: DataFrame, k: int) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexiforge.functions import text as T
 from lexiforge.operators import documents, evaluate, retrieval, rollups, validate
-from lexiforge.plans.catalogue import _RANKED, _count_sql, _judged, _ndcg_sql, _t, query
+from lexiforge.plans.catalogue import _EXPECTED, _RANKED, _count_sql, _expected, _judged, _t, query
 from lexiforge.profiles import LATIN
 
 _STRINGS = ("token", "license", "http", "@", "!!")
@@ -76,11 +76,12 @@ def first_unknown_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.first_unknown(_t(spark, sf_dir, "orders"), known, "o_custkey", ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey", "o_orderstatus")
 
 
-@query(f"""with s as ({_ndcg_sql("log2")}) select count(*) as n_queries, round(avg(ndcg), 6) as mean_ndcg, round(avg("precision"), 6) as mean_precision, round(avg(recall), 6) as mean_recall,
- round(count(*) filter (recall >= 0.2) / count(*), 6) as pass_rate from s""")
+@query(f"""with {_EXPECTED} select split_part(query_id, '/', 1) as collection, count(*) as n_queries, round(avg(ndcg), 6) as mean_ndcg, round(avg(recall), 6) as mean_recall,
+ round(count(*) filter (recall >= 0.2) / count(*), 6) as pass_rate from s group by rollup(1)""")
 def evaluation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked, expected = _judged(spark, sf_dir)
-    return evaluate.summary(evaluate.scores(ranked, 10, "log2", expected=expected), 0.2)
+    ranked, expected = _expected(spark, sf_dir)
+    scored = evaluate.against_expected(ranked, expected, 10, "doc_id").withColumn("collection", F.substring_index("query_id", "/", 1))
+    return evaluate.summary(scored, 0.2, "collection")
 
 
 @query("""with j as (select source as query_id, row_number() over (partition by source order by n_chars desc, doc_id) as rank, 2 * quality as relevance from documents left join labels using (doc_id))
