@@ -44,6 +44,8 @@ _BLOCK = 1 << 14
 _FAN = 64
 #: Nodes from which on a token is split by size classes.
 _HOT = 512
+#: Pairs of one node that are verified in one place.
+_PARTNERS = 64
 
 
 def token_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
@@ -141,20 +143,30 @@ def features(docs: DataFrame, k: int, percent: int, orders: int) -> DataFrame:
     return docs.select("doc_id", "row", "text").mapInArrow(run, FEATURES)
 
 
-def _ends(tables: Scratch, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The nodes in ``pairs``: the written table, and as it is to be joined."""
-    used = tables.write(pairs.select(F.col("x").alias("node")).union(pairs.select(F.col("y").alias("node"))).distinct(), "used")
-    return used, small_or_shuffled(used, used.count())
+def _dealt(tables: Scratch, pairs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The nodes in ``pairs`` with a row for each part that their partners are dealt to (the written table, and as it is to
+    be joined), and the pairs with the parts ``part_x`` and ``part_y``.  A part has about _PARTNERS pairs of a node, so the
+    leader of a large group is as many keys as its group needs."""
+    ends = pairs.select(F.col("x").alias("node")).union(pairs.select(F.col("y").alias("node")))
+    used = tables.write(ends.groupBy("node").agg((F.floor((F.count("*") - 1) / _PARTNERS) + 1).cast("int").alias("parts")), "used")
+    hot = used.where("parts > 1")
+    n_hot = hot.count()
+    for c, other in (("x", "y"), ("y", "x")):
+        of = hot.select(F.col("node").alias(c), F.col("parts").alias("_parts"))
+        pairs = pairs.join(small_or_shuffled(of, n_hot), c, "left") if n_hot else pairs.withColumn("_parts", F.lit(None).cast("int"))
+        pairs = pairs.withColumn(f"part_{c}", F.coalesce(F.pmod(F.xxhash64(other), F.col("_parts")).cast("int"), F.lit(0))).drop("_parts")
+    each = used.select("node", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return used, small_or_shuffled(each, each.count()), pairs
 
 
 def verified(tables: Scratch, pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
     """The ``pairs`` (x, y) of nodes whose sets are linked, worked out on the whole texts."""
-    used, ends = _ends(tables, pairs)
-    places = tables.write(nodes.join(ends, "node").select("node", "doc_id", "row"), "places")
+    used, ends, dealt = _dealt(tables, pairs.select("x", "y"))
+    places = tables.write(nodes.join(ends, "node").select("node", "part", "doc_id", "row"), "places")
     # both sides of a pair read the one shuffle that deals texts to nodes
-    texts = docs.join(small_or_shuffled(places, places.count()), ["doc_id", "row"]).select("node", "text").dropDuplicates(["node"])
-    side = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
-    both = pairs.select("x", "y").join(side("x"), "x").join(side("y"), "y").select("x", "y", "text_x", "text_y")
+    texts = docs.join(small_or_shuffled(places, places.count()), ["doc_id", "row"]).select("node", "part", "text").dropDuplicates(["node", "part"])
+    side = lambda c: texts.select(F.col("node").alias(c), F.col("part").alias(f"part_{c}"), F.col("text").alias(f"text_{c}"))
+    both = dealt.join(side("x"), ["x", "part_x"]).join(side("y"), ["y", "part_y"]).select("x", "y", "text_x", "text_y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,10 +189,10 @@ def meeting(tables: Scratch, pairs: DataFrame, feats: DataFrame, orders: int) ->
     are moved."""
     if orders < 2:
         return pairs
-    used, ends = _ends(tables, pairs)
-    carried = feats.where("others is not null").select("node", "others").join(ends, "node").dropDuplicates(["node"])
-    side = lambda c: carried.select(F.col("node").alias(c), F.col("others").alias(f"_{c}"))
-    both = pairs.join(side("x"), "x").join(side("y"), "y")
+    used, ends, dealt = _dealt(tables, pairs)
+    carried = feats.where("others is not null").select("node", "others").join(ends, "node").dropDuplicates(["node", "part"])
+    side = lambda c: carried.select(F.col("node").alias(c), F.col("part").alias(f"part_{c}"), F.col("others").alias(f"_{c}"))
+    both = dealt.join(side("x"), ["x", "part_x"]).join(side("y"), ["y", "part_y"])
     for i in range(orders - 1):
         both = both.where(F.arrays_overlap(F.col("_x")[i], F.col("_y")[i]))
     met = tables.write(both.select(*pairs.columns), "meeting")
@@ -201,6 +213,11 @@ def room_for(n_x: str, pos_x: str, n_y: str, pos_y: str, percent: int) -> Column
 def linked_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, orders: int = ORDERS) -> DataFrame:
     """(doc_id, row, n_shingles, component_id) per row of ``docs``; component_id is the smallest doc_id that links
     reach.  ``row`` is a hash of the text."""
+    return _linked(docs, k, percent, orders).drop("comp")
+
+
+def _linked(docs: DataFrame, k: int, percent: int, orders: int = ORDERS) -> DataFrame:
+    """``linked_components`` and ``comp``, one node of the component; null for rows in none."""
     tables = Scratch(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text")
     feats = tables.write(features(docs, k, percent, orders), "features")
@@ -236,9 +253,9 @@ def linked_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, o
     tables.drop(pairs, links)
     rooted = of(nodes)
     least = rooted.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    named = rooted.join(least, "comp").select("node", "component_id")
+    named = rooted.join(least, "comp").select("node", "component_id", "comp")
     out = feats.select("doc_id", "row", F.col("n").cast("long").alias("n_shingles"), F.when(F.expr("n > 0 and doc_id is not null"), F.col("node")).alias("node")).join(named, "node", "left")
-    return out.select("doc_id", "row", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", "row", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "comp")
 
 
 def across(postings: DataFrame, percent: int) -> DataFrame:
@@ -271,9 +288,25 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+#: Stands for a null id where one of each group is chosen: any other id goes before it.
+_LAST_ID = (1 << 63) - 1
+
+
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` but for those whose component has a smaller doc_id.  Rows that repeat a doc_id and its text
-    stay or go together; rows with empty sets and with a null doc_id all stay."""
-    found = linked_components(docs, k, percent).where("n_shingles > 0 and component_id <> doc_id").select("doc_id", "row").distinct()
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"))
-    return keyed.join(found, ["doc_id", "row"], "left_anti").select("doc.*")
+    """Of each component of ``docs`` one row: that with the smallest doc_id (a null one comes last, and of equal ones that
+    with the smallest hash of its text), and of rows that repeat both id and text any one.  Rows with empty sets all stay."""
+    docs_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST_ID))
+    found = _linked(docs.withColumn("doc_id", docs_id), k, percent).where("n_shingles > 0")
+    first = found.groupBy("comp").agg(F.min(F.struct("doc_id", "row")).alias("_first"))
+    places = found.groupBy("comp", "doc_id", "row").agg(F.count("*").alias("_n"))
+    # the rows of a large component are dealt out by their ids: a row stays if it is the first of any component
+    places = places.join(first.select("comp", "_first.*").withColumn("_stays", F.lit(True)), ["comp", "doc_id", "row"], "left")
+    gone = places.where("_stays is null").select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"))
+    again = places.where("_stays and _n > 1").select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"))
+    names = docs.columns
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"), docs_id.alias("_id"), F.xxhash64("text").alias("_row"))
+    kept = keyed.join(gone, ["_id", "_row"], "left_anti")
+    if again.isEmpty():
+        return kept.select("doc.*")
+    once = kept.join(again, ["_id", "_row"], "left_anti").select("doc")
+    return once.union(kept.join(again, ["_id", "_row"], "left_semi").dropDuplicates(["_id", "_row"]).select("doc")).select("doc.*")

@@ -78,10 +78,32 @@ def test_empty(spark):
 
 def test_one_of_each(spark):
     text = " ".join(f"w{i}" for i in range(100))
-    rows = [(7, text, "a"), (3, text + " x", "b"), (9, "other words", "c"), (None, text, "d"), (10, None, "e"), (11, None, "f")]
+    other = " ".join(f"v{i}" for i in range(100))
+    rows = [
+        (7, text, "a"), (3, text + " x", "b"), (3, text + " x", "b2"), (9, "other words", "c"), (None, text, "d"), (10, None, "e"), (11, None, "f"),
+        (None, other, "g"), (None, other + " y", "h"), (None, other, "i"), (1, "one two", "j"), (1, "one two", "k"), (None, "one two", "l"),
+    ]
     out = J.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, node string"))
     assert out.columns == ["doc_id", "text", "node"]
-    assert sorted(r.node for r in out.collect()) == ["b", "c", "d", "e", "f"]
+    kept = sorted(r.node for r in out.collect())
+    assert [kept.count(x) for x in "cef"] == [1, 1, 1]
+    assert [len(set(kept) & set(group)) for group in (("a", "b", "b2", "d"), ("g", "h", "i"), ("j", "k", "l"))] == [1, 1, 1] and len(kept) == 6
+    assert {"b", "b2"} & set(kept) and {"j", "k"} & set(kept)
+
+
+def test_a_leader_of_many_is_dealt_to_parts(spark):
+    """One group of near copies that is most of the table: links are found, and no key of a join has all its rows."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(200)]
+    docs = [(i, " ".join(base[:j] + [f"n{i}"] + base[j + 1 :])) for i in range(1, 700) for j in [rng.randrange(200)]]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r.component_id for r in J.linked_components(df).collect()} == {1}
+    tables = J.Scratch(spark)
+    pairs = tables.write(spark.createDataFrame([(i, 0) for i in range(1, 700)] + [(5000, 5001)], "x long, y long"), "pairs")
+    used, ends, dealt = J._dealt(tables, pairs)
+    most = dealt.groupBy("y", "part_y").count().agg({"count": "max"}).head()[0]
+    assert most < 3 * J._PARTNERS and dealt.count() == 700
+    assert {(r.y, r.part_y) for r in dealt.collect()} <= {(r.node, r.part) for r in ends.collect()}
 
 
 def test_components_of_long_chains(spark):
