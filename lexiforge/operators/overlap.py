@@ -23,18 +23,20 @@ def overlapping(left: DataFrame, left_key: str, right: DataFrame, right_key: str
         each = rows.join(counts, "item").groupBy(c).agg(F.sort_array(F.collect_list(F.struct("_often", "item", "_parts"))).alias("_i"))  # one set
         size = F.size("_i")
         head = F.transform("_i", lambda i, at: F.struct(i["item"].alias("item"), i["_parts"].alias("parts"), (at <= size - F.ceil(size * share)).alias("first")))
-        return each.select(c, size.alias(f"_n{c}"), F.transform("_i", lambda i: i["item"]).alias(f"_all{c}"), F.explode(head).alias("_p")).select(c, f"_n{c}", f"_all{c}", "_p.*")
+        return each.select(c, size.alias(f"_n{c}"), F.explode(head).alias("_p")).select(c, f"_n{c}", "_p.*")
 
     x, y = ranked(a, "x"), ranked(b, "y")
 
     def met(small: DataFrame, large: DataFrame, s: str, t: str, fits: Column) -> DataFrame:
-        whole = large.withColumn("part", F.pmod(F.xxhash64(t), F.col("parts")).cast("int")).select("item", "part", t, f"_n{t}", f"_all{t}")
-        heads = small.where("first").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("item", "part", s, f"_n{s}", f"_all{s}")
-        common = F.size(F.array_intersect("_allx", "_ally"))
-        found = heads.join(whole.hint("merge"), ["item", "part"]).where(fits).withColumn("common", common)
-        return found.where(F.col("common") >= share * F.least("_nx", "_ny")).select("x", "y", "common")
+        whole = large.withColumn("part", F.pmod(F.xxhash64(t), F.col("parts")).cast("int")).select("item", "part", t, f"_n{t}")
+        heads = small.where("first").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("item", "part", s, f"_n{s}")
+        return heads.join(whole.hint("merge"), ["item", "part"]).where(fits).select("x", "y")
 
     pairs = met(x, y, "x", "y", F.col("_nx") <= F.col("_ny")).union(met(y, x, "y", "x", F.col("_ny") < F.col("_nx"))).distinct()
+    # the sets are fetched once a pair; one in very many pairs is split by the engine, as no row of a pair needs another
+    sets = lambda rows, k, c: rows.select(F.col(k).alias(c), F.array_distinct(F.filter(items, lambda i: i.isNotNull())).alias(f"_{c}"))
+    pairs = pairs.join(sets(right, right_key, "y"), "y").join(sets(left, left_key, "x"), "x").withColumn("common", F.size(F.array_intersect("_x", "_y")))
+    pairs = pairs.where(F.col("common") >= share * F.least(F.size("_x"), F.size("_y")))
     return pairs.select(F.col("x").alias(left_key), F.col("y").alias(right_key), F.col("common").cast("long").alias("common"))
 
 

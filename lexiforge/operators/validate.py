@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiforge.operators import ordered
+
 
 def missing_references(rows: DataFrame, column: str, others: DataFrame, key: str) -> DataFrame:
     """Values of ``column`` that are no ``key``, and how many rows have them; nulls refer to nothing."""
@@ -55,8 +57,8 @@ def changes(old: DataFrame, new: DataFrame, key: str, digest: str) -> DataFrame:
 
 def regressions(rows: DataFrame, by: str, order: list[str], value: str) -> DataFrame:
     """Rows whose value is below that of the row before it in the group."""
-    before = F.lag(value).over(Window.partitionBy(by).orderBy(*order))
-    return rows.withColumn("before", before).where(F.col(value) < F.col("before"))
+    before = ordered.with_row_before(rows, by, order, [value])
+    return before.withColumn("before", F.col(f"_before.{value}")).drop("_before").where(F.col(value) < F.col("before"))
 
 
 def meets_limits(rows: DataFrame, by: str, measures: dict[str, Column], limits: dict[str, float]) -> DataFrame:

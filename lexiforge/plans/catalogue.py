@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiforge.functions import text as T
-from lexiforge.operators import classify, dedup, discover, documents, evaluate, retrieval, rollups, rules, validate
+from lexiforge.operators import classify, dedup, discover, documents, evaluate, ordered, retrieval, rollups, rules, validate
 from lexiforge.profiles import LATIN
 from lexiforge.sources.files import strip_html
 from lexiforge.streaming import stateful
@@ -403,10 +403,8 @@ def html_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""with e as (select user_id, event_id, ts, json_extract_string(props, '$.k') as k from events), b as (select *, lag(k) over (partition by user_id order by ts, event_id) as before from e)
 select event_id, before, k as after from b where before is not null and k is distinct from before""")
 def json_snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     rows = _t(spark, sf_dir, "events").select("user_id", "event_id", "ts", F.get_json_object("props", "$.k").alias("after"))
-    rows = rows.withColumn("before", F.lag("after").over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
+    rows = ordered.with_row_before(rows, "user_id", ["ts", "event_id"], ["after"]).withColumn("before", F.col("_before.after"))
     return rows.where("before is not null and not (before <=> after)").select("event_id", "before", "after")
 
 

@@ -111,7 +111,7 @@ def frequent_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""with e as (select user_id, json_extract_string(props, '$.k') as k, event_type, row_number() over (partition by user_id order by ts, event_id) as i, row_number() over (partition by user_id order by ts desc, event_id desc) as j from events),
 o as (select user_id, unnest([{'path': 'event.type', 'value': event_type}, {'path': 'k', 'value': k}]) as x from e where i = 1), n as (select user_id, unnest([{'path': 'event.type', 'value': event_type}, {'path': 'k', 'value': k}]) as x from e where j = 1)
-select user_id, o.x.path as path, 'modified' as change, o.x.value as before, n.x.value as after from o join n using (user_id) where o.x.path = n.x.path and o.x.value <> n.x.value""")
+select user_id, o.x.path as path, 'modified' as change, '"' || o.x.value || '"' as before, '"' || n.x.value || '"' as after from o join n using (user_id) where o.x.path = n.x.path and o.x.value <> n.x.value""")
 def json_first_last_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.to_json(F.struct(F.get_json_object("props", "$.k").alias("k"), F.struct(F.col("event_type").alias("type")).alias("event")))
     events = _t(spark, sf_dir, "events").select("user_id", "ts", "event_id", body.alias("body"))

@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lexiforge.operators import ordered
+
 
 def count_windows(rows: DataFrame, by: str, order: list[str], value: str, size: int = 10) -> DataFrame:
     """Tumbling windows of ``size`` rows in each group: (by, window, n, total, first, last), full windows only."""
-    i = F.floor((F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1) / size).cast("long")
-    out = rows.withColumn("window", i).groupBy(by, "window").agg(F.count("*").alias("n"), F.round(F.sum(value), 6).alias("total"), F.min(order[0]).alias("first"), F.max(order[0]).alias("last"))
+    i = F.floor((F.col("_i") - 1) / size).cast("long")
+    numbered = ordered.with_number(rows, by, order, "_i").withColumn("window", i)
+    out = numbered.groupBy(by, "window").agg(F.count("*").alias("n"), F.round(F.sum(value), 6).alias("total"), F.min(order[0]).alias("first"), F.max(order[0]).alias("last"))
     return out.where(F.col("n") == size)
 
 
@@ -24,11 +28,12 @@ def count_windows_stream(rows: DataFrame, by: str, value: str, size: int = 10) -
         number, n, total = state.get if state.exists else (0, 0, 0.0)
         out = []
         for frame in frames:
-            for v in frame[value]:
-                n, total = n + 1, total + (0.0 if v is None or v != v else float(v))
-                if n == size:
-                    out.append((key[0], number, n, round(total, 6)))
-                    number, n, total = number + 1, 0, 0.0
+            values = frame[value].fillna(0).to_numpy(np.float64)
+            totals = np.bincount((n + np.arange(len(values))) // size, values, minlength=(n + len(values)) // size + 1)
+            totals[0] += total
+            full, n = divmod(n + len(values), size)
+            out += [(key[0], number + i, size, round(float(totals[i]), 6)) for i in range(full)]
+            number, total = number + full, float(totals[full])
         state.update((number, n, total))
         yield pd.DataFrame(out, columns=[by, "window", "n", "total"])
 
@@ -37,10 +42,11 @@ def count_windows_stream(rows: DataFrame, by: str, value: str, size: int = 10) -
 
 
 def sessions(rows: DataFrame, by: str, ts: str, hours: int = 24) -> DataFrame:
-    """(by, session, n, begin, end): a session ends after ``hours`` without a row."""
-    w = Window.partitionBy(by).orderBy(ts)
-    new = F.coalesce(F.col(ts) - F.lag(ts).over(w) > F.expr(f"interval '{hours}' hour"), F.lit(True))
-    return rows.withColumn("session", F.sum(new.cast("long")).over(w)).groupBy(by, "session").agg(F.count("*").alias("n"), F.min(ts).alias("begin"), F.max(ts).alias("end"))
+    """(by, session, n, begin, end): a session ends after ``hours`` without a row; rows without a time are in none."""
+    before = ordered.with_row_before(rows.where(F.col(ts).isNotNull()), by, [ts], [ts])
+    new = F.coalesce(F.col(ts) - F.col(f"_before.{ts}") > F.expr(f"interval '{hours}' hour"), F.lit(True)).cast("long")
+    numbered = ordered.with_sum_before(before, by, [ts], new, "session")
+    return numbered.groupBy(by, "session").agg(F.count("*").alias("n"), F.min(ts).alias("begin"), F.max(ts).alias("end"))
 
 
 def sessions_stream(rows: DataFrame, by: str, ts: str, hours: int = 24, late: str = "1 hour") -> DataFrame:
