@@ -25,6 +25,18 @@ def running_sums(values: Column) -> Column:
     return let(values, lambda a: reach(a, 1))
 
 
+def running_max(values: Column) -> Column:
+    """Inclusive maxima of an array, in passes that each reach 64 times as far back as the one before."""
+
+    def reach(a: Column, step: int) -> Column:
+        if step > 1 << 30:
+            return a
+        back = lambda x, i: F.aggregate(F.sequence(F.lit(1), F.lit(63)), x, lambda s, j: F.greatest(s, F.get(a, i - j * step)))
+        return F.when(F.size(a) <= step, a).otherwise(let(F.transform(a, back), lambda b: reach(b, step * 64)))
+
+    return let(values, lambda a: reach(a, 1))
+
+
 SPANS = "array<struct<start:int,end:int,match:string,before:string,after:string>>"
 
 

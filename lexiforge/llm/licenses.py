@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiforge.llm.columns import let, running_sums
+from lexiforge.llm.columns import let, running_max, running_sums
 from lexiforge.llm.common import table
 
 _SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -281,6 +281,28 @@ def gate(keywords: list[str]) -> str:
     return f" (?:{branches(sorted(set(keywords)), 2)})"
 
 
+#: Hits of a text up to which all are compared with all; more are swept, with the same result.
+_FEW = 64
+
+
+def uncontained(hits: Column, classes: list[int]) -> Column:
+    """The hits that no wider one of an equal or better class contains and no better one of the same span repeats, in
+    n log n: sorted by begin and then by end downwards, what contains a hit stands before it, so that the furthest end so
+    far of its class or better ones decides."""
+    keyed = F.sort_array(F.transform(hits, lambda x: F.struct(x["low"].alias("low"), (-x["high"]).alias("end"), x["rank"].alias("rank"), x["label"].alias("label"))))
+    first = lambda a: F.filter(a, lambda x, i: (i == 0) | (F.get(a, i - 1)["low"] != x["low"]) | (F.get(a, i - 1)["end"] != x["end"]))
+
+    def kept(a: Column) -> Column:
+        class_of = lambda x: F.floor(x["rank"] / 1000)
+        ends = lambda c: F.transform(a, lambda x: F.when(class_of(x) <= c, -x["end"]).otherwise(-1))
+        furthest = F.array(*[running_max(ends(c)) for c in classes])
+        at = lambda x: F.array_position(F.array(*[F.lit(c) for c in classes]), class_of(x).cast("int")).cast("int") - 1
+        free = let(furthest, lambda f: F.filter(a, lambda x, i: (i == 0) | (F.get(F.get(f, at(x)), i - 1) < -x["end"])))
+        return F.transform(free, lambda x: F.struct(x["low"].alias("low"), (-x["end"]).alias("high"), x["rank"].alias("rank"), x["label"].alias("label")))
+
+    return let(let(keyed, first), kept)
+
+
 def detections(norm: Column, ordered: list[Rule] | None = None) -> Column:
     """What the rules find, without what others contain."""
     ordered = RULES if ordered is None else ordered
@@ -290,7 +312,8 @@ def detections(norm: Column, ordered: list[Rule] | None = None) -> Column:
     wider = lambda x, y: (y["high"] - y["low"]) > (x["high"] - x["low"])
     class_of = lambda x: F.floor(x["rank"] / 1000)
     beaten = lambda x, y: within(x, y) & F.when(wider(x, y), class_of(y) <= class_of(x)).otherwise(y["rank"] < x["rank"])
-    left = let(hits, lambda a: F.filter(a, lambda x: ~F.exists(a, lambda y: beaten(x, y))))
+    few = lambda a: F.filter(a, lambda x: ~F.exists(a, lambda y: beaten(x, y)))
+    left = let(hits, lambda a: F.when(F.size(a) <= _FEW, few(a)).otherwise(let(a, lambda b: uncontained(b, sorted({r.rank for r in ordered})))))
     return F.when(norm.rlike(gate([r.keyword for r in ordered])), left).otherwise(F.array().cast(FOUND))
 
 

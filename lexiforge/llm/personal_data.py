@@ -24,7 +24,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiforge.llm.columns import let, spans
+from lexiforge.llm.columns import let, running_max, spans
 from lexiforge.llm.common import table
 
 # Matches begin where a run of their first characters begins, or where the match before ended; so a long run that is no
@@ -142,12 +142,33 @@ def _kind(m: Column) -> Column:
     return out.otherwise(KINDS.index("secret"))
 
 
+#: Pairs of candidates and base spans of a text up to which all are compared; more are swept, with the same result.
+_FEW = 4096
+
+
+def untouched(found: Column, base: Column) -> Column:
+    """The candidates (by start) that overlap no base span, in n log n: among base spans that begin before a candidate ends,
+    the furthest end decides.  Candidates do not overlap each other, so their ends are in order too."""
+    marks = F.concat(
+        F.transform(base, lambda b: F.struct(b["start"].alias("at"), F.lit(1).alias("kind"), b["end"].alias("value"))),
+        F.transform(found, lambda x, i: F.struct(x["end"].alias("at"), F.lit(0).alias("kind"), i.alias("value"))),
+    )  # a candidate goes before the base spans that begin where it ends
+
+    def free(m: Column) -> Column:
+        furthest = running_max(F.transform(m, lambda x: F.when(x["kind"] == 1, x["value"]).otherwise(-1)))
+        ends = let(furthest, lambda f: F.transform(F.filter(F.transform(m, lambda x, i: F.struct(x["kind"].alias("kind"), x["value"].alias("value"), F.get(f, i).alias("end"))), lambda x: x["kind"] == 0), lambda x: F.struct(x["value"].alias("value"), x["end"].alias("end"))))
+        return let(F.sort_array(ends), lambda e: F.filter(found, lambda x, i: F.get(e, i)["end"] <= x["start"]))
+
+    return let(F.sort_array(marks), free)
+
+
 def wider_spans(text: Column, base: Column) -> Column:
     """Candidates of the wider patterns that touch no base span; numbers and names do not overlap."""
 
     def found(t: Column, pattern: str) -> Column:
         rows = F.transform(spans(t, pattern, 64), lambda x: F.struct(x["start"].alias("start"), _kind(x["match"]).alias("kind"), x["end"].alias("end"), x["match"].alias("match"), x["before"].alias("before"), x["after"].alias("after")))
-        return F.filter(rows, lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+        few = lambda a: F.filter(a, lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+        return let(rows, lambda a: F.when(F.size(a) * F.size(base) <= _FEW, few(a)).otherwise(let(a, lambda c: untouched(c, base))))
 
     none = F.array().cast(CANDIDATES)
     return F.concat(F.when(text.rlike("[0-9]"), found(text, _NUMBERS)).otherwise(none), F.when(text.rlike(_PERSON), found(text, _PERSON)).otherwise(none))

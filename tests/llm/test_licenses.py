@@ -1,4 +1,6 @@
+import random
 import re
+import time
 
 import pytest
 from lexiforge.llm import licenses as L
@@ -69,3 +71,30 @@ def test_whole_table(spark):
     assert {r.doc_id: tuple(r)[1:6] for r in rows} == {i: brute(t) for i, t in docs.items()}
     assert any(r.n_base for r in rows)
     assert all(bool(r.labels) == (r.score > 0) for r in rows)
+
+
+def test_sweep_equals_comparing_all(spark):
+    rng = random.Random(2)
+    rows = []
+    for i in range(60):
+        hits = [(low, low + rng.randrange(1, 9), rng.choice((0, 1, 2)) * 1000 + rng.randrange(5), "x") for low in (rng.randrange(40) for _ in range(rng.randrange(1, 90)))]
+        rows.append((i, hits))
+    df = spark.createDataFrame(rows, f"id int, hits {L.FOUND}")
+    got = {r.id: {tuple(x) for x in r.k} for r in df.select("id", L.uncontained(F.col("hits"), [0, 1, 2]).alias("k")).collect()}
+    for i, hits in rows:
+        beaten = lambda x, y: y[0] <= x[0] and x[1] <= y[1] and (y[2] // 1000 <= x[2] // 1000 if y[1] - y[0] > x[1] - x[0] else y[2] < x[2])
+        assert got[i] == {x for x in hits if not any(beaten(x, y) for y in hits)}
+
+
+def test_dense_text_of_a_megabyte(spark):
+    text = "Licensed under the Apache License, Version 2.0; see the MIT License. " * 15_000
+    began = time.time()
+    row = scan(spark, [text])[0]
+    assert row.n_base == 30_000 and "apache-2" in row.labels.split(",") and time.time() - began < 120
+
+
+def test_empty_table_and_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, "MIT License"), (1, "MIT License"), (None, "MIT License")], "doc_id long, text string")
+    rows = docs.select("doc_id", L.scanned(F.col("text")).alias("_s")).collect()
+    assert [r._s.base_labels for r in rows] == ["mit"] * 3 and len({r._s for r in rows}) == 1
+    assert docs.limit(0).select(L.scanned(F.col("text")).alias("_s")).collect() == []
