@@ -158,17 +158,3 @@ def test_checksum_of_account_numbers(spark):
     bad = [x[:-1] + str((int(x[-1]) + 1) % 10) for x in good]
     df = spark.createDataFrame([(x,) for x in good + bad], "x string").select(P.iban_valid(F.col("x")).alias("v"))
     assert [r.v for r in df.collect()] == [True] * len(good) + [False] * len(bad)
-
-
-def test_sweep_equals_comparing_all(spark):
-    rng = random.Random(9)
-    rows = []
-    for i in range(60):
-        cuts = sorted(rng.sample(range(300), 2 * rng.randrange(1, 40)))
-        found = [(a, 5, b, "m", "", "") for a, b in zip(cuts[::2], cuts[1::2], strict=True)]
-        base = sorted((a, rng.randrange(4), a + rng.randrange(1, 9), "b", "", "") for a in (rng.randrange(300) for _ in range(rng.randrange(0, 40))))
-        rows.append((i, found, base))
-    df = spark.createDataFrame(rows, f"id int, found {P.CANDIDATES}, base {P.CANDIDATES}")
-    got = {r.id: [(x.start, x.end) for x in r.k] for r in df.select("id", P.untouched(F.col("found"), F.col("base")).alias("k")).collect()}
-    for i, found, base in rows:
-        assert got[i] == [(f[0], f[2]) for f in found if not any(b[0] < f[2] and f[0] < b[2] for b in base)]
