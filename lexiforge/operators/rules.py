@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -93,7 +92,3 @@ def signals(text: Column, lexicons: Lexicons, strong: Sequence[str], weak: Seque
     level = F.when(keyword_hits(text, tuple(strong)) > 0, 3).when(keyword_hits(text, tuple(weak)) > 0, 1).otherwise(2)
     chapter = F.regexp_extract(text, r"(?i)(?:chapter\s+|第)([0-9]+)", 1)
     return F.struct(first_hit(text, lexicons).alias("polarity"), level.alias("intensity"), F.when(chapter != "", chapter.cast("long")).alias("chapter"))
-
-
-def any_of(predicates: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a | b, predicates, F.lit(False))
