@@ -1,5 +1,5 @@
 import pytest
-from lexiforge.plans import reports, selections  # noqa: F401
+from lexiforge.plans import reports, selections, structures  # noqa: F401
 from lexiforge.plans.catalogue import QUERIES, SQL
 
 from tests.oracle import compare, connect
