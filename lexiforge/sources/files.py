@@ -14,12 +14,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-ENCODINGS = ("utf-8", "gb18030", "utf-16", "latin-1")
+from lexiforge.sources.encodings import read_text
+
+ENCODINGS = ("utf-8", "gb18030", "latin-1")
 _MARKS = ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16"))
 
 
 def scan(spark: SparkSession, path: str) -> DataFrame:
-    """(path, kind, modificationTime, length, content) of all files under a folder."""
+    """(path, kind, modificationTime, length, content) of all files under a folder; Spark passes over empty ones."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return files.withColumn("kind", F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)))
 
@@ -31,8 +33,7 @@ def decode_text(data: bytes, encodings: tuple[str, ...] = ENCODINGS) -> tuple[st
             return data.decode(name, "replace"), name
     for name in encodings:
         try:
-            if name != "utf-16":
-                return data.decode(name), name
+            return data.decode(name), name
         except UnicodeDecodeError:
             continue
     return data.decode("utf-8", "replace"), "utf-8"
@@ -67,6 +68,32 @@ def texts(files: DataFrame, kinds: tuple[str, ...] = ("txt", "md", "html", "epub
     return rows.select("path", "kind", "_t.text", "_t.encoding")
 
 
+#: Fixed value: the CJK share under which a converted text is suspicious.
+SUSPICIOUS = 0.10
+
+
+def inventory(files: DataFrame, kinds: tuple[str, ...] = ("txt", "epub", "mobi")) -> DataFrame:
+    """(kind, n, bytes) of scanned files; kinds that are not named are ``other``."""
+    kind = F.when(F.col("kind").isin(*kinds), F.col("kind")).otherwise("other")
+    return files.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), F.sum("length").alias("bytes"))
+
+
+def converted(files: DataFrame, done: DataFrame | None = None, kinds: tuple[str, ...] = ("txt", "md")) -> DataFrame:
+    """(path, text, encoding, cjk_ratio) of scanned text files, by detected encodings; those that ``done`` (path,
+    modificationTime) has in the same or a later state are skipped."""
+    rows = files.where(F.col("kind").isin(*kinds))
+    if done is not None:
+        known = done.groupBy("path").agg(F.max("modificationTime").alias("_done"))
+        rows = rows.join(known, "path", "left").where("_done is null or _done < modificationTime").drop("_done")
+    return rows.select("path", read_text("content").alias("_t")).select("path", "_t.text", "_t.encoding", "_t.cjk_ratio")
+
+
+def quality_report(read: DataFrame) -> DataFrame:
+    """(path, encoding, cjk_ratio, n_chars, suspicious) of converted files; what could not be read is suspicious."""
+    low = F.coalesce(F.col("cjk_ratio") < SUSPICIOUS, F.lit(True))
+    return read.select("path", "encoding", F.round("cjk_ratio", 4).alias("cjk_ratio"), F.length("text").alias("n_chars"), low.alias("suspicious"))
+
+
 def failures(read: DataFrame) -> DataFrame:
     return read.where("text is null").select("path", "kind")
 
