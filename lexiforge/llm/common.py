@@ -47,17 +47,23 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return _written(df, shared_path(df.sparkSession, name))
 
 
+#: Rows of a batch that goes to Python while tables are written: whole texts are in them.
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"
+
+
 def _written(df: DataFrame, path: str) -> DataFrame:
     spark = df.sparkSession
-    before = spark.conf.get(_CLEAN_UP, None)
+    held = {name: spark.conf.get(name, None) for name in (_CLEAN_UP, _BATCH_ROWS[0])}
     spark.conf.set(_CLEAN_UP, "true")
+    spark.conf.set(*_BATCH_ROWS)
     try:
         df.write.parquet(path)
     finally:
-        if before is None:
-            spark.conf.unset(_CLEAN_UP)
-        else:
-            spark.conf.set(_CLEAN_UP, before)
+        for name, before in held.items():
+            if before is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
