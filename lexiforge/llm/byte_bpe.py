@@ -26,9 +26,10 @@ from pyspark.sql.types import StructType
 
 from lexiforge.llm.common import table
 
-#: States and pieces a worker keeps; both are built again when they are full.
-MAX_STATES = 400_000
-MAX_PIECES = 300_000
+#: States a worker keeps, which are built again when they are full, and pieces of a generation, of which it keeps two.
+#: They take some 500 and 250 bytes each.
+MAX_STATES = 100_000
+MAX_PIECES = 60_000
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -88,6 +89,10 @@ class Merges:
 Tokens = tuple[int, ...]
 
 
+#: Stands for the transitions of a state from which none has been taken yet.
+_NO_WAY: dict[int, tuple[int, Tokens]] = {}
+
+
 class Transducer:
     """Bytes to tokens.  ``states[s]`` maps a byte to the next state and the tokens that the transition emits, and is filled
     on demand; ``rest[s]`` are the tokens still to be emitted if the piece ends there."""
@@ -115,6 +120,7 @@ class Transducer:
             for byte, child in self.next[node].items():
                 self.fail[child] = self._go(self.fail[node], byte)
                 queue.append(child)
+        self.states: list[dict[int, tuple[int, Tokens]]] = []
         self._clear()
 
     def _go(self, node: int, byte: int) -> int:
@@ -125,7 +131,7 @@ class Transducer:
         return self.next[node][byte]
 
     def _clear(self) -> None:
-        self.states: list[dict[int, tuple[int, Tokens]]] = []
+        self.states.clear()
         self.rest: list[Tokens] = []
         self._of: list[tuple[int, tuple[tuple[int, Tokens], ...]]] = []
         self._known: dict[tuple, int] = {}
@@ -136,51 +142,66 @@ class Transducer:
         state = self._known.get(key)
         if state is None:
             state = self._known[key] = len(self.states)
-            self.states.append({})
+            self.states.append(_NO_WAY)
             self._of.append(key)
             self.rest.append(places[-1][1])
         return state
 
-    def _chain(self, node: int) -> list[int]:
-        """The suffixes that may grow into a token, as nodes, the longest first and the root last."""
-        out = [node]
-        while node:
-            node = self.fail[node]
-            out.append(node)
-        return out
-
     def step(self, state: int, byte: int) -> tuple[int, Tokens]:
-        """The transition, determinised when first taken.  A state holds, for each suffix that may still grow, the last
-        token before it (-1: none) and the tokens before it that are not emitted."""
+        """The transition, determinised when first taken.  A state holds, for each suffix that may still grow, the longest
+        first and the empty one last, the last token before it (-1: none) and the tokens before it that are not emitted."""
         node, places = self._of[state]
-        depth, token_of, part = self.depth, self.token, self.merges.part
-        before_at = {depth[n]: p for n, p in zip(self._chain(node), places, strict=True)}
-        to = self._go(node, byte)
-        chain = self._chain(to)
-        for n in chain:
-            token = token_of[n]
-            if token >= 0 and ((before := before_at[depth[n] - 1])[0] < 0 or part(before[0], token)):
-                break
-        else:
+        depth, fail, token_of, part = self.depth, self.fail, self.token, self.merges.part
+        to = n = self._go(node, byte)
+        now, last, at = [], None, 0
+        while n:
+            while depth[node] >= depth[n]:  # the suffix that grew into this one
+                node, at = fail[node], at + 1
+            before = places[at]
+            now.append(before)
+            if last is None and (token := token_of[n]) >= 0 and (before[0] < 0 or part(before[0], token)):
+                last = token, (*before[1], token)
+            n = fail[n]
+        if last is None:
             raise ValueError(f"byte {byte} is in no token")
-        now = [*(before_at[depth[n] - 1] for n in chain[:-1]), (token, (*before[1], token))]
-        agreed = 0
-        for same in zip(*(tokens for _, tokens in now), strict=False):
-            if same.count(same[0]) < len(same):
-                break
-            agreed += 1
-        emitted = now[0][1][:agreed]
-        out = self._state(to, tuple((last, tokens[agreed:]) for last, tokens in now)), emitted
+        now.append(last)
+        first = now[0][1]
+        agreed = len(first)
+        for _, tokens in now:
+            while tokens[:agreed] != first[:agreed]:
+                agreed -= 1
+        if agreed:
+            now = [(token, tokens[agreed:]) for token, tokens in now]
+        out = self._state(to, tuple(now)), first[:agreed]
+        if not self.states[state]:
+            self.states[state] = {}
         self.states[state][byte] = out
         return out
 
+    def _fewer(self, state: int) -> int:
+        """Forgets all states but this one and those with two transitions or more, which were surely met again (these too if
+        they fill half the room), and returns the new number of this one."""
+        ways, of = self.states.copy(), self._of
+        kept = [s for s, w in enumerate(ways) if len(w) > 1 and s]
+        if len(kept) > self.max_states // 2:
+            kept = []
+        self._clear()
+        number = {s: self._state(*of[s]) for s in (0, *kept, state)}
+        for s, now in number.items():
+            left = {byte: (number[to], emitted) for byte, (to, emitted) in ways[s].items() if to in number}
+            if left:
+                self.states[now] = left
+        return number[state]
+
     def encode(self, data: bytes) -> Tokens:
-        if len(self.states) > self.max_states:
-            self._clear()
         state, states, out = 0, self.states, []
         for byte in data:
             to = states[state].get(byte)
-            state, emitted = to if to is not None else self.step(state, byte)
+            if to is None:
+                if len(states) > self.max_states:
+                    state = self._fewer(state)
+                to = self.step(state, byte)
+            state, emitted = to
             if emitted:
                 out += emitted
         out += self.rest[state]
@@ -256,8 +277,11 @@ class Codec:
         self.bytes_of = self.transducer.merges.bytes_of
         self.utf8 = Utf8Machine(self.bytes_of)
         self.pieces: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def encode(self, text: str) -> list[int]:
+        if len(self.pieces) >= MAX_PIECES:
+            self.older, self.pieces = self.pieces, {}
         pieces, out = self.pieces, []
         for piece in self.split(text):
             tokens = pieces.get(piece)
@@ -267,12 +291,12 @@ class Codec:
         return out
 
     def encode_piece(self, piece: str) -> tuple[int, ...]:
-        data = piece.encode()
-        whole = self.ranks.get(data)
-        tokens = (whole,) if whole is not None else self.transducer.encode(data)
-        if len(piece) < 64:
-            if len(self.pieces) >= MAX_PIECES:
-                self.pieces.clear()
+        tokens = self.older.get(piece)
+        if tokens is None:
+            data = piece.encode()
+            whole = self.ranks.get(data)
+            tokens = (whole,) if whole is not None else self.transducer.encode(data)
+        if len(piece) < 64 and len(self.pieces) < MAX_PIECES:
             self.pieces[piece] = tokens
         return tokens
 

@@ -1,5 +1,6 @@
 import hashlib
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -85,3 +86,30 @@ def test_whole_table(spark, theirs):
     for r in B.op7_byte_bpe(spark, DATA).collect():
         ids = theirs.encode_ordinary(docs[r.doc_id])
         assert tuple(r)[1:] == (len(ids), sha(" ".join(map(str, ids)).encode()), sha(docs[r.doc_id].encode()))
+
+
+def test_states_and_pieces_are_bounded_within_a_text(ours, theirs, monkeypatch):
+    rng = np.random.default_rng(3)
+    piece = rng.integers(97, 123, 20_000, np.uint8).tobytes()
+    small = B.Transducer(B.read_ranks(B.public_ranks()[0]), max_states=500)
+    assert small.encode(piece) == ours.transducer.encode(piece)
+    assert len(small.states) <= 502
+    monkeypatch.setattr(B, "MAX_PIECES", 20)
+    ranks, pattern = B.public_ranks()
+    c = B.Codec(B.read_ranks(ranks), pattern)
+    for words in rng.integers(0, 60, (30, 100)).tolist():
+        text = " ".join(f"w{i}x" for i in words)
+        assert c.encode(text) == theirs.encode_ordinary(text)
+        assert len(c.pieces) <= 20 and len(c.older) <= 20
+
+
+def test_hot_states_outlive_the_rest():
+    t = B.Transducer(B.read_ranks(B.public_ranks()[0]), max_states=300)
+    rng = np.random.default_rng(5)
+    words = [b"the" + rng.integers(97, 123, 9, np.uint8).tobytes() for _ in range(200)]
+    for w in words:
+        t.encode(w)
+    state = 0
+    for byte in b"the":
+        assert byte in t.states[state]
+        state = t.states[state][byte][0]
