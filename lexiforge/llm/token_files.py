@@ -19,6 +19,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,8 @@ LEAST = 6
 PART_BYTES = 32 << 20
 #: Pieces a worker remembers the ids of.
 MAX_PIECES = 2_000_000
+#: Plain pieces that the tokenizer is asked for in one text.
+TOGETHER = 256
 #: Ids that reading back expands at a time, and parts whose starts are summed together.
 READ_IDS = 1 << 16
 PARTS = 1024
@@ -225,14 +228,18 @@ class _Grown:
 
 
 class PieceEncoder:
-    """A tokenizer that drops white space, asked piece by piece: each distinct piece costs the tokenizer one call for as
-    long as it is remembered.  Pieces are found by one 64-bit hash and recognised by another."""
+    """A tokenizer that drops white space, asked piece by piece: the tokenizer sees each distinct piece once for as long as
+    it is remembered.  Plain pieces (letters, a digit or marks, all ASCII) are asked for many at a time, with blanks between
+    them; each ends at a token that ends a word.  Pieces are found by one 64-bit hash and recognised by another."""
 
     def __init__(self, path: str, limit: int = MAX_PIECES) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        known = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(known.values()) + 1, bool)  # the tokens that end a word
+        self.last[[i for token, i in known.items() if token.endswith("</w>")]] = True
         self._forget()
 
     def _forget(self) -> None:
@@ -240,15 +247,34 @@ class PieceEncoder:
         self.ids, self.ends, self.second = _Grown(np.int32), _Grown(np.int64), _Grown(W.U64)
         self.ends.append(np.zeros(1, np.int64))
 
-    def _ask(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, h: np.ndarray, second: np.ndarray, texts: list[str]) -> np.ndarray:
-        found = self._ask(texts)
+    def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and how many each has."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.int32, int(size.sum())), size
+
+    def _ask(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces one after another, and how many each has."""
+        odd = np.zeros(len(data) + 1, np.int32)
+        np.cumsum(_KIND[data] == 4, out=odd[1:])
+        plain, raw = odd[end] == odd[begin], data.tobytes()
+        cut = lambda pick: [raw[a:b] for a, b in zip(begin[pick].tolist(), end[pick].tolist(), strict=True)]
+        words = cut(plain)
+        ids, _ = self._encoded([b" ".join(words[i : i + TOGETHER]).decode() for i in range(0, len(words), TOGETHER)])
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(words) or len(ids) != (ends[-1] if len(ends) else 0):  # a tokenizer that does not mark ends of words
+            return self._encoded([w.decode() for w in cut(slice(None))])
+        others, other_size = self._encoded([w.decode() for w in cut(~plain)])
+        size = np.empty(len(begin), np.int64)
+        size[plain], size[~plain] = np.diff(ends, prepend=0), other_size
+        to = np.empty(len(begin), np.int64)
+        to[plain], to[~plain] = ends, len(ids) + np.cumsum(other_size)
+        return W.gather(np.concatenate((ids, others)), to - size, to)[0], size
+
+    def _learn(self, h: np.ndarray, second: np.ndarray, ids: np.ndarray, size: np.ndarray) -> np.ndarray:
         numbers = np.arange(self.ends.size - 1, self.ends.size - 1 + len(h))
-        size = np.array([len(x) for x in found], np.int64)
         self.ends.append(self.ids.size + np.cumsum(size))
-        self.ids.append(np.fromiter((i for x in found for i in x), np.int32, int(size.sum())))
+        self.ids.append(ids)
         self.second.append(second)
         level = h, numbers
         while self.levels and len(self.levels[-1][0]) <= 2 * len(level[0]):
@@ -276,18 +302,17 @@ class PieceEncoder:
         if self.ends.size + new.sum() > self.limit:
             self._forget()
             new[:] = True
-        raw, second = w.data.tobytes(), w.second_hashes()
-        texts = lambda pick: [raw[a:b].decode() for a, b in zip(w.begin[pick].tolist(), w.end[pick].tolist(), strict=True)]
+        second = w.second_hashes()
         if new.any():
-            number[new] = self._learn(distinct[new], second[example[new]], texts(example[new]))
+            at = example[new]
+            number[new] = self._learn(distinct[new], second[at], *self._ask(w.data, w.begin[at], w.end[at]))
         number = number[which]
         begin, end, flat = self.ends.data[number], self.ends.data[number + 1], self.ids.data[: self.ids.size]
         if (other := np.flatnonzero(self.second.data[number] != second)).size:  # two pieces with one hash
-            found = self._ask(texts(other))
-            size = np.array([len(x) for x in found])
+            found, size = self._ask(w.data, w.begin[other], w.end[other])
             end[other] = len(flat) + np.cumsum(size)
             begin[other] = end[other] - size
-            flat = np.concatenate((flat, np.fromiter((i for x in found for i in x), np.int32)))
+            flat = np.concatenate((flat, found))
         ids, ends = W.gather(flat, begin, end)
         return ids, np.diff(ends[w.first])
 

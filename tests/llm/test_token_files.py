@@ -105,3 +105,23 @@ def test_starts_of_many_parts(spark):
 def test_whole_table(spark, theirs):
     docs = sorted(tuple(r) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect())
     assert sorted((tuple(r) for r in T.op8_token_files(spark, DATA).collect()), key=str) == brute(docs, theirs)
+
+
+def test_plain_pieces_are_asked_for_together(monkeypatch, theirs):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = [" ".join(f"{a}{b}{c}q {a}9{c}!?{b}" for a in letters for b in letters[:7] for c in letters[:7]), "it's é ÀB <|endoftext|> ½ </w> a</w>b", "", "..."]
+    encoder, asked = T.PieceEncoder(T.public_tokenizer()), []
+    monkeypatch.setitem(T._ENCODERS, T.public_tokenizer(), encoder)
+
+    class Counting:
+        def encode_batch_fast(self, x, tokenizer=encoder.tokenizer, **how):
+            asked.extend(x)
+            return tokenizer.encode_batch_fast(x, **how)
+
+    encoder.tokenizer = Counting()
+    want = [theirs(t) for t in texts]
+    assert ours(texts) == want and len(asked) < 30
+    plain = T.PieceEncoder(T.public_tokenizer())
+    plain.last[:] = False  # as if no token ended a word
+    monkeypatch.setitem(T._ENCODERS, T.public_tokenizer(), plain)
+    assert ours(texts) == want
