@@ -28,8 +28,11 @@ from lexiforge.llm.common import table
 
 #: States a worker keeps, which are built again when they are full, and pieces of a generation, of which it keeps two.
 #: They take some 500 and 250 bytes each.
-MAX_STATES = 100_000
-MAX_PIECES = 60_000
+MAX_STATES = 400_000
+MAX_PIECES = 150_000
+#: The same for workers beside which executors have little room left.
+FEW_STATES = 100_000
+FEW_PIECES = 60_000
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -270,17 +273,17 @@ class Utf8Machine:
 class Codec:
     """Splits texts by ``pattern`` and encodes each piece on its own; decodes ids."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], pattern: str, max_states: int = MAX_STATES, max_pieces: int = MAX_PIECES) -> None:
+        self.ranks, self.max_pieces = ranks, max_pieces
         self.split = regex.compile(pattern).findall
-        self.transducer = Transducer(ranks)
+        self.transducer = Transducer(ranks, max_states)
         self.bytes_of = self.transducer.merges.bytes_of
         self.utf8 = Utf8Machine(self.bytes_of)
         self.pieces: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
 
     def encode(self, text: str) -> list[int]:
-        if len(self.pieces) >= MAX_PIECES:
+        if len(self.pieces) >= self.max_pieces:
             self.older, self.pieces = self.pieces, {}
         pieces, out = self.pieces, []
         for piece in self.split(text):
@@ -296,7 +299,7 @@ class Codec:
             data = piece.encode()
             whole = self.ranks.get(data)
             tokens = (whole,) if whole is not None else self.transducer.encode(data)
-        if len(piece) < 64 and len(self.pieces) < MAX_PIECES:
+        if len(piece) < 64 and len(self.pieces) < self.max_pieces:
             self.pieces[piece] = tokens
         return tokens
 
@@ -304,20 +307,20 @@ class Codec:
         return self.utf8.feed_tokens(ids) + self.utf8.end()
 
 
-_CODECS: dict[tuple[int, str], Codec] = {}
+_CODECS: dict[tuple[int, str, bool], Codec] = {}
 
 
-def codec(ranks: bytes, pattern: str) -> Codec:
-    """The codec of a rank file's bytes; a Python worker compiles it once."""
-    key = hash(ranks), pattern
+def codec(ranks: bytes, pattern: str, few: bool = False) -> Codec:
+    """The codec of a rank file's bytes, with ``few`` states and pieces or as many as usual; a Python worker compiles it once."""
+    key = hash(ranks), pattern, few
     if key not in _CODECS:
-        _CODECS[key] = Codec(read_ranks(ranks), pattern)
+        _CODECS[key] = Codec(read_ranks(ranks), pattern, *((FEW_STATES, FEW_PIECES) if few else (MAX_STATES, MAX_PIECES)))
     return _CODECS[key]
 
 
-def encode(df: DataFrame, ranks: bytes, pattern: str, text: str = "text") -> DataFrame:
-    """``df`` with ``ids``, an array of the token ids of ``text``."""
-    return _mapped(df, ranks, pattern, text, "ids array<int>", lambda c, texts: [_id_lists([c.encode(t or "") for t in texts.to_pylist()])])
+def encode(df: DataFrame, ranks: bytes, pattern: str, text: str = "text", few: bool = False) -> DataFrame:
+    """``df`` with ``ids``, an array of the token ids of ``text``.  ``few`` trades time for workers of half the size."""
+    return _mapped(df, ranks, pattern, text, "ids array<int>", lambda c, texts: [_id_lists([c.encode(t or "") for t in texts.to_pylist()])], few)
 
 
 def decode(df: DataFrame, ranks: bytes, pattern: str, ids: str = "ids") -> DataFrame:
@@ -347,9 +350,9 @@ def _id_lists(lists: list[list[int]]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.fromiter((i for x in lists for i in x), np.int32, offsets[-1])))
 
 
-def _mapped(df: DataFrame, ranks: bytes, pattern: str, column: str, added: str, of) -> DataFrame:
+def _mapped(df: DataFrame, ranks: bytes, pattern: str, column: str, added: str, of, few: bool = False) -> DataFrame:
     """``df`` with columns that ``of`` makes of ``column``; a batch is worked through a few hundred rows at a time."""
-    shared = df.sparkSession.sparkContext.broadcast((ranks, pattern))
+    shared = df.sparkSession.sparkContext.broadcast((ranks, pattern, few))
     at = df.columns.index(column)
     new = StructType.fromDDL(added).fields
     kept = [i for i, c in enumerate(df.columns) if c not in {f.name for f in new}]

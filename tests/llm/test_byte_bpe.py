@@ -88,15 +88,14 @@ def test_whole_table(spark, theirs):
         assert tuple(r)[1:] == (len(ids), sha(" ".join(map(str, ids)).encode()), sha(docs[r.doc_id].encode()))
 
 
-def test_states_and_pieces_are_bounded_within_a_text(ours, theirs, monkeypatch):
+def test_states_and_pieces_are_bounded_within_a_text(ours, theirs):
     rng = np.random.default_rng(3)
     piece = rng.integers(97, 123, 20_000, np.uint8).tobytes()
     small = B.Transducer(B.read_ranks(B.public_ranks()[0]), max_states=500)
     assert small.encode(piece) == ours.transducer.encode(piece)
     assert len(small.states) <= 502
-    monkeypatch.setattr(B, "MAX_PIECES", 20)
     ranks, pattern = B.public_ranks()
-    c = B.Codec(B.read_ranks(ranks), pattern)
+    c = B.Codec(B.read_ranks(ranks), pattern, max_pieces=20)
     for words in rng.integers(0, 60, (30, 100)).tolist():
         text = " ".join(f"w{i}x" for i in words)
         assert c.encode(text) == theirs.encode_ordinary(text)
