@@ -19,7 +19,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -88,49 +88,71 @@ class Grammar:
 
 
 _SLOT_BITS = 20
+#: A bijection of 32-bit numbers, which orders pairs of one frequency without regard to their places.
+_SHUFFLE = 0x9E3779B1
+
+
+def _numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys by their first places, and for each key its number among them."""
+    found = pa.array(keys).dictionary_encode()
+    return found.dictionary.to_numpy(), found.indices.to_numpy()
 
 
 def _frequent(key: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Which of the keys occur ``least`` times or more, the distinct ones, the number of each that does, and counts."""
-    slot = ((key.astype(W.U64) * W.U64(0x9E3779B97F4A7C15)) >> W.U64(64 - _SLOT_BITS)).astype(np.int32)
-    at = np.flatnonzero(np.bincount(slot, minlength=1 << _SLOT_BITS)[slot] >= least)
-    known, which, count = np.unique(key[at], return_inverse=True, return_counts=True)
-    often = count[which] >= least
-    return at[often], known, which[often], count
+    at = None
+    if len(key) >> (_SLOT_BITS - 4):  # enough for the slots to be worth their while
+        slot = ((key.view(W.U64) * W.U64(0x9E3779B97F4A7C15)) >> W.U64(64 - _SLOT_BITS)).view(np.int64)
+        at = np.flatnonzero(np.bincount(slot, minlength=1 << _SLOT_BITS)[slot] >= least)
+        key = key[at]
+    known, which = _numbered(key)
+    count = np.bincount(which, minlength=len(known))
+    often = np.flatnonzero((count >= least)[which])
+    return often if at is None else at[often], known, which[often], count
+
+
+def _chosen(active: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Which of the places have a pair of higher rank than those that overlap it; equal ranks side by side are a run of one
+    symbol, of whose places every other one is chosen."""
+    beside, step = np.diff(active) == 1, np.diff(rank)
+    take = np.ones(len(active), bool)
+    take[:-1] &= ~(beside & (step > 0))
+    take[1:] &= ~(beside & (step < 0))
+    on = np.flatnonzero(beside & (step == 0)) + 1  # places that go on with a run
+    if len(on):
+        head = np.flatnonzero(np.diff(on, prepend=-1) != 1)
+        within = on - np.repeat(on[head] - 1, np.diff(head, append=len(on)))
+        take[on[within % 2 == 1]] = False
+    return take
 
 
 def compress(ids: np.ndarray, least: int = LEAST) -> Grammar:
     base = int(ids.max()) + 1 if len(ids) else 0
-    sequence, rules, lengths = ids.astype(np.int64), [np.zeros((0, 2), np.int64)], np.zeros(0, np.int64)
+    sequence, rules, lengths = ids.astype(np.int32), [np.zeros((0, 2), np.int64)], np.zeros(0, np.int64)
     active = np.arange(len(sequence) - 1)  # every place of every pair that may be frequent
     while len(active):
-        hit, known, which, count = _frequent((sequence[active] << 32) | sequence[active + 1], least)
+        hit, known, which, count = _frequent((sequence[active].astype(np.int64) << 32) | sequence[active + 1], least)
         active = active[hit]
         if not len(active):
             break
-        # equal ranks side by side are a run of one symbol, of whose places every other one may be taken
-        rank = count[which] * len(known) + which
-        beside = np.diff(active) == 1
-        same, rises, falls = beside & (rank[1:] == rank[:-1]), beside & (rank[1:] > rank[:-1]), beside & (rank[1:] < rank[:-1])
-        place = np.arange(len(active))
-        head = np.maximum.accumulate(np.where(np.append(True, ~same), place, 0))
-        take = (place - head) % 2 == 0
-        take[:-1] &= ~rises
-        take[1:] &= ~falls
+        rank = (count << 32) | ((np.arange(len(known)) * _SHUFFLE) & 0xFFFFFFFF)
+        take = _chosen(active, rank[which])
         tally = np.bincount(which[take], minlength=len(known))
         used = np.flatnonzero(tally >= min(2, least))
         if not len(used):
             break
-        symbol = np.full(len(known), -1, np.int64)
+        used = used[np.argsort(known[used])]
+        symbol = np.full(len(known), -1, np.int32)
         symbol[used] = base + len(lengths) + np.arange(len(used))
-        take &= symbol[which] >= 0
         made = np.stack((known[used] >> 32, known[used] & 0xFFFFFFFF), axis=1)
         rules.append(made)
         size = np.ones(made.shape, np.int64)
         size[made >= base] = lengths[made[made >= base] - base]
         lengths = np.append(lengths, size.sum(axis=1))
+        to = symbol[which]
+        take &= to >= 0
         at = active[take]
-        sequence[at] = symbol[which[take]]
+        sequence[at] = to[take]
         keep = np.ones(len(sequence), bool)
         keep[at + 1] = False
         look = np.zeros(len(sequence), bool)
@@ -141,7 +163,7 @@ def compress(ids: np.ndarray, least: int = LEAST) -> Grammar:
         look[at[at > 0] - 1] = True
         look[len(sequence) - 1 :] = False
         active = np.flatnonzero(look)
-    return Grammar(base, np.concatenate(rules), lengths, sequence)
+    return Grammar(base, np.concatenate(rules), lengths, sequence.astype(np.int64))
 
 
 SHARD = "part int, shard int, n_ids long, base int, docs binary, counts binary, rules binary, lengths binary, sequence binary"
@@ -181,37 +203,49 @@ _KIND[[*range(0x80, 0x100), 0x27, 0x3C, *range(0x00, 0x09), *range(0x0E, 0x20),
 _LATIN = np.zeros(256, bool)
 _LATIN[0x80:0xC0] = True
 _LATIN[[0x97, 0xB7]] = False
-_SMALL = np.zeros(256, np.uint8)
-_SMALL[0x41:0x5B] = 32
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 32
 _SMALL_LATIN = np.zeros(256, np.uint8)
 _SMALL_LATIN[0x80:0x9F] = 32
 _SMALL_LATIN[0x97] = 0
 
 
+def _mapped(data: np.ndarray, to: np.ndarray) -> np.ndarray:
+    return np.frombuffer(bytearray(data).translate(to.tobytes()), np.uint8)
+
+
+def _kinds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The kind of each byte, and where the letters from U+00C0 to U+00FF begin."""
+    kind = _mapped(data, _KIND)
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    lead = lead[_LATIN[data[lead + 1]]]
+    kind[lead] = kind[lead + 1] = 1
+    return kind, lead
+
+
 def pieces(data: np.ndarray, offsets: np.ndarray) -> W.Words:
     """What the tokenizer encodes each on its own: of a word of letters up to U+00FF, digits and ASCII marks its runs of
     letters, in small letters, its single digits and its runs of marks; any other word is a piece, unchanged."""
     w = W.scan(data, offsets, W.SPACE)
     if not len(w.begin):
         return w
-    kind = _KIND[data]
-    lead = np.flatnonzero((data[:-1] == 0xC3) & _LATIN[data[1:]])
-    kind[lead] = kind[lead + 1] = 1
-    small = data + np.where(kind == 1, _SMALL[data], 0).astype(np.uint8)
+    kind, lead = _kinds(data)
+    small = _mapped(data, _LOWER)
     small[lead + 1] = data[lead + 1] + _SMALL_LATIN[data[lead + 1]]
-    odd = np.zeros(len(data) + 1, np.int32)
-    np.cumsum(kind == 4, out=odd[1:])
-    whole = odd[w.end] > odd[w.begin]
-    inside = np.zeros(len(data) + 1, np.int8)
-    inside[w.begin[whole]] += 1
-    inside[w.end[whole]] -= 1
-    inside = np.cumsum(inside[:-1], dtype=np.int8).view(bool)
     cut = np.zeros(len(data) + 1, bool)
-    cut[1:-1] = ((kind[1:] != kind[:-1]) | (kind[1:] == 2)) & (kind[1:] > 0) & (kind[:-1] > 0) & ~(inside[1:] & inside[:-1])
+    cut[1:-1] = ((kind[1:] != kind[:-1]) | (kind[1:] == 2)) & (kind[1:] > 0) & (kind[:-1] > 0)
+    if (odd := np.flatnonzero(kind == 4)).size:
+        whole = np.unique(np.searchsorted(w.begin, odd, side="right") - 1)
+        inside = np.zeros(len(data) + 1, np.int8)
+        inside[w.begin[whole]] += 1
+        inside[w.end[whole]] -= 1
+        inside = np.cumsum(inside[:-1], dtype=np.int8).view(bool)
+        cut[1:-1] &= ~(inside[1:] & inside[:-1])
+        small = np.where(inside, data, small)
     begins, ends = cut.copy(), cut
     begins[w.begin] = ends[w.end] = True
     begin = np.flatnonzero(begins)
-    return W.Words(np.where(inside, data, small), begin, np.flatnonzero(ends), np.searchsorted(begin, offsets), offsets)
+    return W.Words(small, begin, np.flatnonzero(ends), np.searchsorted(begin, offsets), offsets)
 
 
 class _Grown:
@@ -229,14 +263,17 @@ class _Grown:
 
 class PieceEncoder:
     """A tokenizer that drops white space, asked piece by piece: the tokenizer sees each distinct piece once for as long as
-    it is remembered.  Plain pieces (letters, a digit or marks, all ASCII) are asked for many at a time, with blanks between
-    them; each ends at a token that ends a word.  Pieces are found by one 64-bit hash and recognised by another."""
+    it is remembered.  Plain pieces (letters, a digit or marks, which ``pieces`` has cut and put in small letters already) go
+    to its model many at a time, parted at blanks only; each ends at a token that ends a word.  Pieces are found by one
+    64-bit hash and recognised by another."""
 
     def __init__(self, path: str, limit: int = MAX_PIECES) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.parted = Tokenizer(self.tokenizer.model)
+        self.parted.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         known = self.tokenizer.get_vocab()
         self.last = np.zeros(max(known.values()) + 1, bool)  # the tokens that end a word
         self.last[[i for token, i in known.items() if token.endswith("</w>")]] = True
@@ -247,24 +284,26 @@ class PieceEncoder:
         self.ids, self.ends, self.second = _Grown(np.int32), _Grown(np.int64), _Grown(W.U64)
         self.ends.append(np.zeros(1, np.int64))
 
-    def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _encoded(self, tokenizer, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and how many each has."""
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        found = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         size = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter(chain.from_iterable(found), np.int32, int(size.sum())), size
 
     def _ask(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the pieces one after another, and how many each has."""
-        odd = np.zeros(len(data) + 1, np.int32)
-        np.cumsum(_KIND[data] == 4, out=odd[1:])
-        plain, raw = odd[end] == odd[begin], data.tobytes()
-        cut = lambda pick: [raw[a:b] for a, b in zip(begin[pick].tolist(), end[pick].tolist(), strict=True)]
-        words = cut(plain)
-        ids, _ = self._encoded([b" ".join(words[i : i + TOGETHER]).decode() for i in range(0, len(words), TOGETHER)])
+        text, at = W.gather(np.append(data, np.uint8(0x20)), begin, end + 1)
+        text[at[1:] - 1] = 0x20  # a blank behind each piece
+        plain = ~np.logical_or.reduceat(_kinds(text)[0] == 4, at[:-1])
+        raw = text.tobytes()
+        single = lambda pick: [raw[a : b - 1].decode() for a, b in zip(at[:-1][pick].tolist(), at[1:][pick].tolist(), strict=True)]
+        together, cut = W.gather(text, at[:-1][plain], at[1:][plain])
+        cut, together = [*cut[:-1:TOGETHER].tolist(), len(together)], together.tobytes()
+        ids, _ = self._encoded(self.parted, [together[a:b].decode() for a, b in pairwise(cut)])
         ends = np.flatnonzero(self.last[ids]) + 1
-        if len(ends) != len(words) or len(ids) != (ends[-1] if len(ends) else 0):  # a tokenizer that does not mark ends of words
-            return self._encoded([w.decode() for w in cut(slice(None))])
-        others, other_size = self._encoded([w.decode() for w in cut(~plain)])
+        if len(ends) != plain.sum() or len(ids) != (ends[-1] if len(ends) else 0):  # a tokenizer that does not mark ends of words
+            return self._encoded(self.tokenizer, single(slice(None)))
+        others, other_size = self._encoded(self.tokenizer, single(~plain))
         size = np.empty(len(begin), np.int64)
         size[plain], size[~plain] = np.diff(ends, prepend=0), other_size
         to = np.empty(len(begin), np.int64)
@@ -296,16 +335,22 @@ class PieceEncoder:
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and how many each text has."""
         w = pieces(data, offsets)
-        distinct, example, which = np.unique(w.hashes(), return_index=True, return_inverse=True)
-        number = self._numbers(distinct)
-        new = number < 0
+        distinct, which = _numbered(w.hashes())
+        order = np.argsort(distinct)
+        distinct = distinct[order]
+        found = self._numbers(distinct)
+        new = found < 0
         if self.ends.size + new.sum() > self.limit:
             self._forget()
             new[:] = True
         second = w.second_hashes()
         if new.any():
-            at = example[new]
-            number[new] = self._learn(distinct[new], second[at], *self._ask(w.data, w.begin[at], w.end[at]))
+            at = np.empty(len(order), np.int64)
+            at[which] = np.arange(len(which))
+            at = at[order[new]]  # a place of each
+            found[new] = self._learn(distinct[new], second[at], *self._ask(w.data, w.begin[at], w.end[at]))
+        number = np.empty(len(order), np.int64)
+        number[order] = found
         number = number[which]
         begin, end, flat = self.ends.data[number], self.ends.data[number + 1], self.ids.data[: self.ids.size]
         if (other := np.flatnonzero(self.second.data[number] != second)).size:  # two pieces with one hash
