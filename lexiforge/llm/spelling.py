@@ -48,6 +48,8 @@ _HELD = 200_000
 RANGE_WORDS, MAX_RANGES, _DRAWN = 50_000, 4096, 50
 #: Words that one task cuts at all positions.
 _CUT_WORDS = 20_000
+#: Words of one file of the tables that are written between the steps.
+_FILE_WORDS = 50_000
 
 
 def as_written(doc_id: int | None, run: str) -> str:
@@ -85,6 +87,12 @@ def word_counts(docs: DataFrame, least_length: int = LEAST_LENGTH, least_count:
     return found.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least_count)
 
 
+def files(spark: SparkSession, count: int) -> int:
+    """How many files a table of ``count`` words is written to, however many partitions its joins were dealt to.  Hadoop
+    without native code starts processes for each local file, which count with the executor's whole memory till they run."""
+    return max(spark.sparkContext.defaultParallelism, -(-count // _FILE_WORDS))
+
+
 def common_prefix(a: str, b: str) -> int:
     n = min(len(a), len(b))
     if a[:n] == b[:n]:
@@ -175,7 +183,8 @@ def neighbours(words: DataFrame, count: int, range_words: int = RANGE_WORDS) ->
     tables = Scratch(spark)
     forward = trie_nodes(words.select("word"), count, range_words).withColumnRenamed("nodes", "prefix")
     backward = trie_nodes(words.select(F.reverse("word").alias("word")), count, range_words).select(F.reverse("word").alias("word"), F.col("nodes").alias("suffix"))
-    placed = tables.write(words.join(forward, "word").join(backward, "word"), "placed")
+    n_files = files(spark, count)
+    placed = tables.write(words.join(forward, "word").join(backward, "word").coalesce(n_files), "placed")
     size = F.size("prefix") - 1
     letter = lambda i: F.substring("word", i + 1, F.lit(1))
     skip = lambda i: F.struct(F.get("prefix", i).alias("p"), F.get("suffix", size - i - 1).alias("s"), F.lit(True).alias("skip"), ((i == 0) | (letter(i) != letter(i - 1))).alias("first"))
@@ -198,7 +207,7 @@ def neighbours(words: DataFrame, count: int, range_words: int = RANGE_WORDS) ->
     ))
     near = pair.select(F.explode(each).alias("e")).groupBy("e.place").agg(F.sum("e.near").alias("n_near"), F.max(F.struct("e.best.n", "e.best.order")).alias("best"))
     near = near.select("place", "n_near", F.col("best.n").alias("best_n"), (-F.col("best.order")).alias("best"))
-    return placed.select("word", "n", "place"), tables.write(near, "near")
+    return placed.select("word", "n", "place"), tables.write(near.coalesce(n_files), "near")
 
 
 def roots(links: DataFrame) -> DataFrame:
@@ -206,9 +215,11 @@ def roots(links: DataFrame) -> DataFrame:
     length of what is followed, so that chains of forms, which double their counts, end after six rounds."""
     tables = Scratch(links.sparkSession)
     now = tables.write(links.select("place", F.col("to").alias("root")), "roots")
+    n_files = files(links.sparkSession, now.count())
     while True:
         onward = now.select(F.col("place").alias("root"), F.col("root").alias("onward"))
-        moved = tables.write(now.join(onward, "root", "left").select("place", F.coalesce("onward", "root").alias("root"), F.col("onward").isNotNull().alias("moved")), "roots")
+        moved = now.join(onward, "root", "left").select("place", F.coalesce("onward", "root").alias("root"), F.col("onward").isNotNull().alias("moved"))
+        moved = tables.write(moved.coalesce(n_files), "roots")
         tables.drop(now)
         now = moved
         if now.where("moved").isEmpty():
@@ -219,9 +230,11 @@ def variants(words: DataFrame, ratio: int = RATIO, range_words: int = RANGE_WORD
     """(word, n, n_near, form, form_n, root) for distinct ``words`` (word, n)."""
     tables = Scratch(words.sparkSession)
     words = tables.write(words.select("word", "n"), "words")
-    placed, near = neighbours(words, words.count(), range_words)
+    count = words.count()
+    n_files = files(words.sparkSession, count)
+    placed, near = neighbours(words, count, range_words)
     known = placed.join(near, "place", "left").withColumn("to", F.when(F.col("best_n") >= ratio * F.col("n"), F.col("best")))
-    known = tables.write(known, "known")
+    known = tables.write(known.coalesce(n_files), "known")
     rooted = roots(known.where("to is not null").select("place", "to"))
     named = lambda place, word: known.select(F.col("place").alias(place), F.col("word").alias(word))
     out = known.join(rooted, "place", "left").join(named("to", "form"), "to", "left").join(named("root", "_root"), "root", "left")
@@ -229,7 +242,7 @@ def variants(words: DataFrame, ratio: int = RATIO, range_words: int = RANGE_WORD
     return out.select(
         "word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), "form",
         F.when(F.col("to").isNotNull(), F.col("best_n")).alias("form_n"), F.coalesce("_root", "word").alias("root"),
-    )
+    ).coalesce(n_files)
 
 
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
