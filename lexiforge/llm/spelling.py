@@ -246,4 +246,6 @@ def variants(words: DataFrame, ratio: int = RATIO, range_words: int = RANGE_WORD
 
 
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return variants(word_counts(table(spark, sf_dir, "documents")))
+    docs = table(spark, sf_dir, "documents")
+    # words are fewer than the bytes they are read from: not more files than parts of the input
+    return variants(word_counts(docs).coalesce(max(spark.sparkContext.defaultParallelism, docs.rdd.getNumPartitions())))

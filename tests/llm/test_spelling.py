@@ -74,6 +74,7 @@ def test_tables_have_files_for_their_words_not_for_partitions(spark, monkeypatch
         out = S.variants(df)
         assert out.rdd.getNumPartitions() <= 4
         assert result(out) == brute(counts)
+        S.op13_spelling_variants(spark, DATA)
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
