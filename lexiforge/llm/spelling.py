@@ -89,7 +89,7 @@ def word_counts(docs: DataFrame, least_length: int = LEAST_LENGTH, least_count:
 
 def files(spark: SparkSession, count: int) -> int:
     """How many files a table of ``count`` words is written to, however many partitions its joins were dealt to.  Hadoop
-    without native code starts processes for each local file, which count with the executor's whole memory till they run."""
+    without native code starts processes for each local file, and small files are read slowly."""
     return max(spark.sparkContext.defaultParallelism, -(-count // _FILE_WORDS))
 
 
