@@ -10,11 +10,22 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, TimestampNTZType
 
 #: Rows of a range, over all groups, and the most ranges.
 RANGE_ROWS, MAX_RANGES = 500_000, 1000
 
 
+def _place(rows: DataFrame, name: str) -> Column:
+    """Numbers that rise with a column.  Times without a zone are counted on the calendar: in the session's zone the clock
+    may go back, and the order of ranges with it."""
+    c = F.col(name)
+    if not isinstance(rows.schema[name].dataType, (TimestampNTZType, DateType)):
+        return c.cast("double")
+    c = c.cast("timestamp_ntz")
+    return F.unix_date(c.cast("date")).cast("double") * 86_400 + F.hour(c) * 3600 + F.minute(c) * 60 + F.date_part(F.lit("SECOND"), c)
+
+
 def ranged(rows: DataFrame, order: list[str]) -> DataFrame:
     """``rows`` with ``__range``, the number of their range; equal values of the first ordering column are in one range, and
     nulls, which come first, are in the first."""
@@ -22,7 +33,7 @@ def ranged(rows: DataFrame, order: list[str]) -> DataFrame:
     wanted = min(MAX_RANGES, -(-count // RANGE_ROWS))
     if wanted < 2:
         return rows.withColumn("__range", F.lit(0))
-    place = F.col(order[0]).cast("double")
+    place = _place(rows, order[0]).cast("double")
     cuts = np.unique(rows.select(place.alias("_o")).approxQuantile("_o", [i / wanted for i in range(1, wanted)], 0.1 / wanted))
 
     @F.pandas_udf("int")

@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexiforge.operators import dedup, ordered, validate
+from lexiforge.plans import catalogue
 from lexiforge.streaming import stateful
+from tests.oracle import compare, connect
 
 ROWS = "user_id long, ts timestamp, event_id long, value double"
 
@@ -50,6 +52,33 @@ def test_no_range_holds_a_group(spark, monkeypatch):
     assert max(sizes) < 3000 and sum(sizes) == 30_000
 
 
+@pytest.mark.parametrize("zone", ("UTC", "America/New_York"))
+def test_times_without_a_zone(spark, zone, monkeypatch):
+    """As in the event tables; in New York clocks went back on 3 November 2024, so that 1:30 came twice."""
+    monkeypatch.setattr(ordered, "RANGE_ROWS", 10)
+    times = [datetime(2024, 11, 3) + timedelta(minutes=3, microseconds=7) * i for i in range(100)] + [datetime(2024, 3, 10) + timedelta(minutes=3) * i for i in range(100)]
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        df = spark.createDataFrame([(1, t, i, 0.0) for i, t in enumerate(times)] + [(1, None, 999, 0.0)], ROWS.replace("timestamp", "timestamp_ntz"))
+        got = ordered.with_number(ordered.with_row_before(df, "user_id", ["ts", "event_id"], ["event_id"]), "user_id", ["ts", "event_id"], "i")
+        got = {r.event_id: (r.i, r._before.event_id if r._before else None) for r in got.collect()}
+        days = ordered.ranged(df.withColumn("ts", F.col("ts").cast("date")), ["ts"]).select("__range").distinct().count()
+        n = stateful.sessions(df, "user_id", "ts").collect(), stateful.count_windows(df, "user_id", ["ts", "event_id"], "value").count()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    order = [999, *sorted(range(200), key=times.__getitem__)]
+    assert got == {e: (i + 1, order[i - 1] if i else None) for i, e in enumerate(order)}
+    assert days > 1 and sorted(r.n for r in n[0]) == [100, 100] and n[1] == 20
+
+
+@pytest.mark.parametrize("name", ("audit_count_windows",))
+def test_queries_equal_their_sql_over_many_ranges(spark, name, monkeypatch):
+    monkeypatch.setattr(ordered, "RANGE_ROWS", 100)
+    sf_dir = "/root/testdata/sf0.001"
+    assert compare(catalogue.QUERIES[name](spark, sf_dir), connect(sf_dir), catalogue.SQL[name]) is None
+
+
 def test_empty_tables(spark):
     df = spark.createDataFrame([], ROWS)
     assert stateful.count_windows(df, "user_id", ["ts"], "value").collect() == [] and stateful.sessions(df, "user_id", "ts").collect() == []
