@@ -72,7 +72,7 @@ def test_times_without_a_zone(spark, zone, monkeypatch):
     assert days > 1 and sorted(r.n for r in n[0]) == [100, 100] and n[1] == 20
 
 
-@pytest.mark.parametrize("name", ("audit_count_windows", "json_snapshot_diff", "regressions"))
+@pytest.mark.parametrize("name", ("audit_count_windows", "json_snapshot_diff", "regressions", "session_timeout"))
 def test_queries_equal_their_sql_over_many_ranges(spark, name, monkeypatch):
     monkeypatch.setattr(ordered, "RANGE_ROWS", 100)
     sf_dir = "/root/testdata/sf0.001"
