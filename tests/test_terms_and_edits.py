@@ -80,6 +80,29 @@ def test_overlap_equals_brute_force(spark, part, monkeypatch):
         assert {tuple(r) for r in got} == want and len(got) == len(want)
 
 
+@pytest.mark.parametrize(("few", "cells"), ((0, 1 << 20), (1000, 1 << 20), (1000, 200)))
+def test_overlap_by_join_and_past_few_sets(spark, few, cells, monkeypatch):
+    """Both ways give the same; where one side has few sets, the other one is not exploded into items and shuffled."""
+    monkeypatch.setattr(overlap, "FEW_SETS", few)
+    monkeypatch.setattr(overlap, "_CELLS", cells)
+    rng = random.Random(6)
+    made = lambda: [rng.choice(["the", "of", None, *map(str, range(30))]) for _ in range(rng.randrange(0, 12))]
+    left, right = [(f"l{i}", made()) for i in range(50)] + [("x", None), (None, ["the"])], [(i, made()) for i in range(70)] + [(901, None), (None, ["of"])]
+    one, two = spark.createDataFrame(left, "a string, items array<string>"), spark.createDataFrame(right, "b int, items array<string>").coalesce(1)
+    plans, write = [], overlap.written
+    monkeypatch.setattr(overlap, "written", lambda df, *x: (plans.append(df._jdf.queryExecution().toString()), write(df, *x))[1])
+    got = overlap.overlapping(one, "a", two, "b", "items")
+    assert got.dtypes == [("a", "string"), ("b", "int"), ("common", "bigint")] and len(plans) == (few > 0) and not any("Exchange hashpartitioning" in p for p in plans)
+    want = set()
+    for (i, p), (j, q) in ((x, y) for x in left for y in right if x[0] is not None and y[0] is not None):
+        p_, q_ = set(p or ()) - {None}, set(q or ()) - {None}
+        if p_ & q_ and len(p_ & q_) >= 0.5 * min(len(p_), len(q_)):
+            want.add((i, j, len(p_ & q_)))
+    rows = [tuple(r) for r in got.collect()]
+    assert set(rows) == want and len(rows) == len(want) > 20
+    assert overlap.overlapping(one.limit(0), "a", two, "b", "items").collect() == []
+
+
 def test_conflicts(spark):
     rows = [(1, 10, "ann", "low", "hill"), (1, 11, "ann", "high", "town"), (1, 11, "bob", "low", "town"), (1, 12, "bob", "low", None), (2, 20, "ann", "x", "hill"), (1, 13, "ann", None, "town"), (1, 10, "bob", "high", "hill"), (1, 11, None, "a", "b")]
     df = spark.createDataFrame(rows, "chapter long, id long, who string, state string, place string")
