@@ -212,3 +212,41 @@ def test_file_states(spark):
     before, now = spark.createDataFrame([("a", 1, 1, "x"), ("b", 1, 1, "y"), ("c", 1, 1, "z")], kind), spark.createDataFrame([("a", 2, 1, "x"), ("b", 1, 1, "y"), ("d", 1, 1, "q")], kind)
     assert sorted(tuple(r) for r in stateful.file_states(now, before).collect()) == [("a", "modified"), ("c", "deleted"), ("d", "created")]
     assert sorted(tuple(r) for r in stateful.file_states(now, before, verify_hash=True).collect()) == [("c", "deleted"), ("d", "created")]
+
+
+def test_signatures_equal_their_definition_and_take_less_time():
+    import time
+
+    import numpy as np
+
+    rng = random.Random(3)
+    mix = lambda x: dedup._mix(np.array([x % 2**64], np.uint64))[0]
+    one = lambda t, i: min((int(x) * (int(dedup._STEPS[2 * i]) | 1) + int(dedup._STEPS[2 * i + 1])) % 2**64 for x in t)
+    for n in (0, 1, 4, 5, 6, 40, 300):
+        text = "".join(rng.choice("abé漢") for _ in range(n))
+        want = set()
+        for at in range(max(n - 4, min(n, 1))):
+            h = min(n, 5)
+            for c in text[at : at + 5]:
+                h = int(mix(h * 0x9E3779B97F4A7C15 + ord(c)))
+            want.add(h)
+        tokens = dedup.shingles(text)
+        assert tokens.tolist() == sorted(want)
+        if n:
+            assert dedup.signature(tokens, 128).tolist() == [one(tokens, i) for i in range(128)]
+    texts = ["".join(rng.choice("abcdefghij ") for _ in range(2000)) for _ in range(20)]
+
+    def least(f):
+        took = []
+        for _ in range(5):
+            began = time.process_time()
+            for t in texts:
+                f(t)
+            took.append(time.process_time() - began)
+        return min(took)
+
+    def before(t):  # a permutation at a time
+        codes = np.unique(dedup.shingles(t))
+        return np.array([(codes * (dedup._STEPS[2 * i] | np.uint64(1)) + dedup._STEPS[2 * i + 1]).min() for i in range(128)], np.uint64)
+
+    assert least(lambda t: dedup.signature(dedup.shingles(t), 128)) < 0.8 * least(before)
